@@ -39,7 +39,6 @@ from . import common
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LEAF_CHARS = 2048
 LEAF_BYTES = 64
-CACHE = 300_000
 
 
 def spelled(pattern: str) -> str:
@@ -49,7 +48,12 @@ def spelled(pattern: str) -> str:
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary; one object a task."""
+    """Encoder and decoder for one vocabulary; one object a worker."""
+
+    #: Marks cut off before a word is encoded, where that is dear; never an apostrophe.
+    marks = ""
+    #: Stretches kept in each of two generations.
+    cache = 250_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         self.ranks, self.leaf_chars, self.leaf_bytes = ranks, max(4, leaf_chars), max(2, leaf_bytes)
@@ -57,8 +61,10 @@ class Codec:
         self.find = regex.compile(spelled(pattern)).finditer
         self.chunks = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.gap = regex.compile(f"[{SPACE}] ").search
-        self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        if ranks:
+            self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, list[int]] = {}
+        self.aged: dict[str, list[int]] = {}
         self.digits = {i: str(i) for i in self.bytes_of}
 
     # tokens of one pre-token
@@ -131,16 +137,26 @@ class Codec:
             ahead *= 2
 
     def chunk(self, text: str) -> list[int]:
-        """Ids of a stretch."""
-        if len(text) <= self.leaf_bytes:
-            out = self.base(text)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[text] = out
+        """Ids of a stretch that is not in the young cache."""
+        if len(text) > self.leaf_bytes:
+            out = []
+            for s, e in self.spans(text):
+                out += self.piece(text[s:e].encode())
             return out
-        out = []
-        for s, e in self.spans(text):
-            out += self.piece(text[s:e].encode())
+        if self.marks:
+            # letters, then marks that begin no contraction: the change is a match edge
+            word = text.rstrip(self.marks)
+            if len(word) < len(text) and word[-1:].isalpha():
+                marks, known = text[len(word) :], self.known.get
+                return (known(word) or self.short(word)) + (known(marks) or self.short(marks))
+        return self.short(text)
+
+    def short(self, text: str) -> list[int]:
+        """By the library, and remembered."""
+        out = self.aged.get(text) or self.base(text)
+        if len(self.known) >= self.cache:
+            self.aged, self.known = self.known, {}
+        self.known[text] = out
         return out
 
     def leaf(self, text: str) -> list[str]:
@@ -167,9 +183,9 @@ class Codec:
         return left
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known.get, []
+        out, chunk = [], self.chunk
         for part in self.stretches(text):
-            out += known(part) or self.chunk(part)
+            out += self.known.get(part) or chunk(part)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
