@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_files import op7_token_files
+from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_bpe": op4_bpe,
+    "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op10_url_filter": OP10_SQL,
+}
