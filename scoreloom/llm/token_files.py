@@ -235,7 +235,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), got.counts.tolist())], pa.int64()),
                 })
 
-    return files.join(starts, "part").select("part_start", "ids_before", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # at most one row for each of the writer's partitions, so small enough to send to all tasks; payloads stay where they are
+    return files.join(F.broadcast(starts), "part").select("part_start", "ids_before", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
