@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .near_dedup import op2_near_dedup
+from .packing import op8_packing
 from .quality_model import op9_quality_model
 from .quality_rules import op3_quality_rules
 from .secret_scan import op5_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op8_packing": op8_packing,
     "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
 }
