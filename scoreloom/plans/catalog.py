@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import dashboard_queries, run_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
