@@ -144,9 +144,9 @@ class Codec:
                 out += self.piece(text[s:e].encode())
             return out
         if self.marks:
-            # letters, then marks that begin no contraction: the change is a match edge
+            # letters or digits, then marks that begin no contraction: the change is a match edge
             word = text.rstrip(self.marks)
-            if len(word) < len(text) and word[-1:].isalpha():
+            if len(word) < len(text) and word[-1:].isalnum():
                 marks, known = text[len(word) :], self.known.get
                 return (known(word) or self.short(word)) + (known(marks) or self.short(marks))
         return self.short(text)

@@ -141,8 +141,8 @@ class LibraryCodec(Codec):
     stretches go to the library whole, short words to its model.
     """
 
-    marks = ".,;:!?%&#*$"
-    cache = 500_000
+    marks = ".,;:!?%&#*$|"
+    cache = 900_000
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,7 +171,15 @@ class LibraryCodec(Codec):
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def chunk(self, text: str) -> bytes:
-        return self.whole(text) if len(text) > self.leaf_bytes else super().chunk(text)
+        if len(text) > self.leaf_bytes:
+            return self.whole(text)
+        if "\n" in text:
+            # before white space there is a match edge, and after a single line feed before other characters
+            if len(parts := self.chunks(text)) > 1:
+                return b"".join([self.known.get(x) or self.chunk(x) for x in parts])
+            if text[0] == "\n" and len(text) > 1 and not text[1].isspace():
+                return (self.known.get("\n") or self.short("\n")) + (self.known.get(text[1:]) or self.chunk(text[1:]))
+        return super().chunk(text)
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers."""
