@@ -42,8 +42,8 @@ SEED = 42
 DISTANCE = 3
 CAP = 2000
 FAN = 8
-BLOCK_ROWS = 1 << 15
-PAIRS = 1 << 20
+BLOCK_ROWS = 1 << 14
+PAIRS = 1 << 17
 
 
 # fingerprints
