@@ -131,7 +131,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return docs.select("doc_id", F.hash("text").alias("text_key"), "text")
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def segments(docs: DataFrame) -> DataFrame:
                 rows = pa.array(doc + first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["doc_id", "text_key", "a", "n", "h", "g"])
 
-    return with_key(docs).mapInArrow(run, "doc_id bigint, text_key bigint, a int, n int, h bigint, g bigint")
+    return with_key(docs).mapInArrow(run, "doc_id bigint, text_key int, a int, n int, h bigint, g bigint")
 
 
 class WindowIndex:
@@ -166,7 +166,7 @@ class WindowIndex:
         return name, path
 
     def all_segments(self) -> DataFrame:
-        return self.spark.read.schema("doc_id bigint, text_key bigint, a int, n int, h bigint, g bigint").parquet(*self.batches)
+        return self.spark.read.schema("doc_id bigint, text_key int, a int, n int, h bigint, g bigint").parquet(*self.batches)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Indexes a batch; returns its grams that repeat, there or in older runs: h, mixed."""
@@ -223,7 +223,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 lanes = [pa.array(Sums(words.hash, k).of(at, at + WINDOW).view(np.int64)) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(a, pa.int32()), *lanes], [*KEY, "a", "w1", "w2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, a int, w1 bigint, w2 bigint")
+    return docs.mapInArrow(run, "doc_id bigint, text_key int, a int, w1 bigint, w2 bigint")
 
 
 def repeats(docs: DataFrame, index: WindowIndex, corpus: DataFrame) -> DataFrame:
