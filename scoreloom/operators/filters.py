@@ -123,3 +123,36 @@ def changed(view: str) -> Column:
 def tier(share: Column) -> Column:
     """P16."""
     return F.when(share >= 0.95, "excellent").when(share >= 0.75, "good").when(share >= 0.5, "average").when(share.isNotNull(), "below")
+
+
+def has_extra_images(options: list[str], associated: str | None = None) -> Column:
+    """An option image, or an associated one."""
+    out = F.coalesce(*[F.col(c) for c in options]).isNotNull()
+    return out | (F.coalesce(F.size(associated), F.lit(0)) > 0) if associated else out
+
+
+@dataclass
+class OverviewQuery:
+    """P10: what the list of runs is asked for; an unknown sort falls back to time."""
+
+    text: str | None = None
+    models: list[str] = field(default_factory=list)
+    modes: list[str] = field(default_factory=list)
+    has_failures: bool | None = None
+    date_from: str | None = None
+    date_to: str | None = None
+    sort: str = "ts"
+    descending: bool = True
+
+    SORTS = ("ts", "accuracy", "answered", "failed")
+
+    @classmethod
+    def parse(cls, given: dict[str, list[str]]) -> OverviewQuery:
+        one = lambda k: (given.get(k, [None])[0] or "").strip() or None
+        sort = one("sort")
+        return cls(one("q"), given.get("models", []), given.get("modes", []), {"true": True, "false": False}.get(one("has_failures") or "any"), one("date_from"), one("date_to"), sort if sort in cls.SORTS else "ts", one("order") != "asc")
+
+    def apply(self, runs: DataFrame) -> DataFrame:
+        """Nulls sort as the least."""
+        rows = runs.where(run_condition(self.text, self.models, self.modes, self.has_failures, self.date_from, self.date_to))
+        return rows.orderBy(F.desc_nulls_last(self.sort) if self.descending else F.asc_nulls_first(self.sort), "run_id")

@@ -217,3 +217,57 @@ def positions(bins: DataFrame) -> DataFrame:
 def stars(percentile_: Column) -> Column:
     """C08."""
     return F.when(percentile_ >= 0.99, 4).when(percentile_ >= 0.95, 3).when(percentile_ >= 0.75, 2).when(percentile_ >= 0.5, 1).when(percentile_.isNotNull(), 0)
+
+
+def cover(groups: DataFrame, grades: DataFrame) -> DataFrame:
+    """Grades that together are a label's numbers. year, group, grades, how.
+
+    The grade with that name, else the one with those members; else grades inside
+    what is left, in order of position, then grades that overlap it; a label that
+    stays uncovered has no row. The folds run over a year's few grades as an array.
+    """
+    per_year = grades.groupBy("year").agg(F.array_sort(F.collect_list(F.struct("position", "grade", "members"))).alias("all"))
+    both = groups.join(per_year, "year").withColumn("want", F.array_distinct(grade_numbers("group"))).where(F.size("want") > 0)
+    start = F.struct(F.col("want").alias("left"), F.array().cast("array<string>").alias("taken"))
+
+    def take(state: Column, g: Column, fits: Column) -> Column:
+        return F.struct(F.when(fits, F.array_except(state["left"], g["members"])).otherwise(state["left"]).alias("left"), F.when(fits, F.array_append(state["taken"], g["grade"])).otherwise(state["taken"]).alias("taken"))
+
+    inside = F.aggregate("all", start, lambda s, g: take(s, g, (F.size(g["members"]) > 0) & (F.size(F.array_except(g["members"], s["left"])) == 0)))
+    staged = both.withColumn("inside", inside)
+    over = F.aggregate("all", F.col("inside"), lambda s, g: take(s, g, F.arrays_overlap(g["members"], s["left"]) & ~F.array_contains(s["taken"], g["grade"])))
+    named = F.try_element_at(F.filter("all", lambda g: g["grade"] == F.col("group")), F.lit(1))["grade"]
+    same = F.try_element_at(F.filter("all", lambda g: F.array_sort(g["members"]) == F.array_sort(F.col("want"))), F.lit(1))["grade"]
+    done = staged.withColumn("over", over).withColumn("named", named).withColumn("same", same)
+    picked = F.when(F.col("named").isNotNull(), F.array("named")).when(F.col("same").isNotNull(), F.array("same")).when(F.size("over.left") == 0, F.col("over.taken"))
+    how = F.when(F.col("named").isNotNull(), "id").when(F.col("same").isNotNull(), "members").otherwise("components")
+    return done.withColumn("grades", picked).where("grades is not null").select("year", "group", "grades", how.alias("how"))
+
+
+def id_midpoint(bin_id: Column, lo: Column, hi: Column) -> Column:
+    """From the range, else from the numbers in the bin's id; null without either."""
+    numbers = F.transform(F.regexp_extract_all(bin_id, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    by_id = F.when(F.size(numbers) >= 2, (F.get(numbers, F.lit(0)) + F.get(numbers, F.lit(1))) / 2).when(F.size(numbers) == 1, F.get(numbers, F.lit(0)))
+    return F.coalesce(midpoint(lo, hi), by_id)
+
+
+def five_numbers(rows: DataFrame) -> DataFrame:
+    """What is missing of minimum, quartiles and maximum is the median."""
+    return rows.select(*[F.coalesce(c, "median").alias(c) if c in ("low", "p25", "p75", "high") else F.col(c) for c in rows.columns])
+
+
+def grade_years(grades: DataFrame) -> DataFrame:
+    """Grade numbers with the years that have them."""
+    return grades.select("year", F.explode("members").alias("number")).groupBy("number").agg(F.array_sort(F.collect_set("year")).alias("years"))
+
+
+def quick_stats(entries: DataFrame) -> DataFrame:
+    """C04."""
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("grade").alias("grades"), F.sum("earned").alias("awarded"), F.sum("llm_max").alias("most"))
+
+
+def client_stats(entries: DataFrame, comparator: str = "mean") -> DataFrame:
+    """Wins without tolerance, mean percentile, best year by mean percentile (the first on ties)."""
+    wins = entries.agg(F.count(F.when(F.col("llm_total") > F.col(comparator), 1)).alias("llm_wins"), F.count(F.when(F.col("llm_total") < F.col(comparator), 1)).alias("human_wins"), F.avg("percentile").alias("mean_percentile"))
+    years = entries.groupBy("year").agg(F.avg("percentile").alias("p")).agg(F.max_by("year", F.struct("p", -F.col("year"))).alias("best_year"))
+    return wins.join(F.broadcast(years))

@@ -45,18 +45,26 @@ def rules(images: list[str] | None = None) -> list[tuple[str, str, Column]]:
     low = F.array(*[F.lower(F.trim(c, F.lit(BLANKS))) for c in OPTIONS])
     year, number, points = scoring.whole_number("year"), scoring.whole_number("problem_number"), F.col("points").try_cast("double")
     return [
+        # V04
         ("error", "empty_problem_statement", _blank(F.col("problem_statement"))),
+        # V05
         ("error", "invalid_answer", F.coalesce(~answer.isin(*scoring.LETTERS), F.lit(True))),
+        # V06
         ("error", "options_missing", ~text_ok & ~image_ok),
         ("warning", "mixed_options", any_text & any_image & ~(text_ok & image_ok)),
+        # V08
         ("warning", "duplicate_option_texts", text_ok & (F.size(F.array_distinct(low)) < len(OPTIONS))),
+        # V09
         ("error", "multimodal_flag_without_images", F.coalesce(scoring.boolish("multimodal"), F.lit(False)) & ~any_image),
         ("warning", "images_with_multimodal_false", ~F.coalesce(scoring.boolish("multimodal"), F.lit(True)) & any_image),
         ("warning", "multimodal_nonboolean", F.col("multimodal").isNotNull() & scoring.boolish("multimodal").isNull()),
+        # V11
         ("warning", "year_out_of_range", ~F.coalesce(year.between(1998, 2100), F.lit(False))),
         ("warning", "problem_number_range", F.coalesce(~number.between(1, 40), F.lit(False))),
+        # V12
         ("warning", "points_range", ~F.coalesce((points > 0) & (points < 10), F.lit(False))),
         ("warning", "points_nonstandard", F.coalesce(~points.isin(3.0, 4.0, 5.0), F.lit(True))),
+        # V13
         ("warning", "language_unexpected", F.coalesce(~F.lower("language").isin("de", "en"), F.lit(False))),
     ]
 
@@ -88,3 +96,19 @@ def ranked(issues: DataFrame, samples: int = 5) -> DataFrame:
     counts = issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("count"))
     few = issues.withColumn("place", F.row_number().over(Window.partitionBy("severity", "code").orderBy("id"))).where(F.col("place") <= samples).groupBy("severity", "code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return counts.join(few, ["severity", "code"]).orderBy(F.col("severity") != "error", F.desc("count"), "code")
+
+
+def answer_without_option(images: list[str] | None = None) -> Column:
+    """The answer's own option has neither text nor image. A row that passes V06 has all five, so this never adds an issue."""
+    images = images if images is not None else [f"{c}_image" for c in OPTIONS]
+    answer = F.upper(F.trim("answer", F.lit(BLANKS)))
+    out = F.lit(False)
+    for letter, text, image in zip(scoring.LETTERS, OPTIONS, images):
+        out = out | ((answer == letter) & _blank(F.col(text)) & F.col(image).isNull())
+    return out
+
+
+def missing_paths(rows: DataFrame, columns: list[str], known: DataFrame) -> DataFrame:
+    """Image paths that are not among the known ones (column path), once a row."""
+    paths = F.array_distinct(F.filter(F.array(*columns), lambda c: blob_kind(c) == "path"))
+    return rows.select("id", F.explode(paths).alias("path")).join(known.select("path"), "path", "left_anti").select(F.lit("error").alias("severity"), F.lit("image_path_missing").alias("code"), "id", "path")

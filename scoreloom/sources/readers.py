@@ -70,7 +70,7 @@ def run_results(spark: SparkSession, folder: str, order: tuple[str, ...] = ("par
 
 def runs(spark: SparkSession, top: str) -> DataFrame:
     """One row for each folder with both metrics.json and config.json."""
-    run_id = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    run_id = F.regexp_extract(F.input_file_name(), r"([^/]+)/(?:metrics|config)\.json", 1)
     metrics = spark.read.schema(schemas.METRICS).option("multiLine", True).json(f"{top}/*/metrics.json").withColumn("run_id", run_id)
     config = spark.read.schema(schemas.CONFIG).option("multiLine", True).json(f"{top}/*/config.json").withColumn("run_id", run_id)
     pack = lambda df, name: df.select("run_id", F.struct(*[c for c in df.columns if c != "run_id"]).alias(name))

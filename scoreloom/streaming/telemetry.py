@@ -61,6 +61,13 @@ def project(counted: DataFrame, total_items: int) -> DataFrame:
     })
 
 
+def throttled(events: DataFrame, *by: str, first: float = 0.5, most: float = 30.0) -> DataFrame:
+    """The interval that a limiter ends with: doubled by a throttle, cut by a fifth by a success. A group's events are folded in order."""
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("seq", (F.col("type") == "failure").alias("slow")))), lambda e: e["slow"])
+    step = lambda wait, slow: F.when(slow, F.when(wait == 0, first).otherwise(F.least(wait * 2, F.lit(most)))).otherwise(wait * 0.8)
+    return events.groupBy(*by).agg(F.aggregate(kinds, F.lit(0.0), step).alias("interval"), F.count(F.lit(1)).alias("events"))
+
+
 def recent(events: DataFrame, k: int, *by: str) -> DataFrame:
     """Newest k events of each group."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("seq")))
