@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.scoring import ratio
 
-N = F.count(F.lit(1))
+def count() -> Column:
+    return F.count(F.lit(1))
 LETTERS = scoring.LETTERS
 
 
@@ -27,7 +28,7 @@ def exploded_subsets(rows: DataFrame) -> DataFrame:
 def breakdown(rows: DataFrame, key: str) -> DataFrame:
     """Over all filtered rows, ordered by range key."""
     good = rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    out = good.groupBy(key).agg(N.alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.sum("points_earned").alias("earned"), F.sum("points").alias("possible"))
+    out = good.groupBy(key).agg(count().alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.sum("points_earned").alias("earned"), F.sum("points").alias("possible"))
     return out.select(key, "count", ratio(F.col("correct"), F.col("count")).alias("accuracy"), F.coalesce(ratio(F.col("earned"), F.col("possible")), F.lit(0.0)).alias("weighted_accuracy")).orderBy(scoring.range_key(key))
 
 
@@ -35,32 +36,32 @@ def confusion(rows: DataFrame) -> DataFrame:
     """25 cells, zero-filled."""
     spark = rows.sparkSession
     pairs = rows.select(F.upper("answer").alias("answer"), F.upper("predicted").alias("predicted")).where(F.col("answer").isin(*LETTERS) & F.col("predicted").isin(*LETTERS))
-    counts = pairs.groupBy("answer", "predicted").agg(N.alias("count"))
+    counts = pairs.groupBy("answer", "predicted").agg(count().alias("count"))
     cells = spark.createDataFrame([(a, b) for a in LETTERS for b in LETTERS], "answer string, predicted string")
     return cells.join(counts, ["answer", "predicted"], "left").select("answer", "predicted", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def predicted_counts(rows: DataFrame) -> DataFrame:
     """A23."""
-    return rows.where(F.length("predicted") > 0).groupBy(F.upper("predicted").alias("predicted")).agg(N.alias("count"))
+    return rows.where(F.length("predicted") > 0).groupBy(F.upper("predicted").alias("predicted")).agg(count().alias("count"))
 
 
 def top_warnings(rows: DataFrame, k: int = 10) -> DataFrame:
     """A24; ties by key."""
-    return rows.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(N.alias("count")).orderBy(F.desc("count"), "warning").limit(k)
+    return rows.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(count().alias("count")).orderBy(F.desc("count"), "warning").limit(k)
 
 
 def histogram(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Equal bins, as many as the root of the count between 5 and 20; one where all values are equal."""
     known = rows.where(F.col(value).isNotNull())
-    edges = known.groupBy(*by).agg(N.alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    edges = known.groupBy(*by).agg(count().alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     flat = F.abs(F.col("hi") - F.col("lo")) <= 1e-9 * F.greatest(F.abs("hi"), F.abs("lo"))
     edges = edges.withColumn("bins", F.when(flat, 1).otherwise(F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.sqrt("n")).cast("int")))))
     # a few rows, one for each group
     both = known.join(F.broadcast(edges), list(by)) if by else known.join(F.broadcast(edges))
     step = (F.col("hi") - F.col("lo")) / F.col("bins")
     place = F.when(F.col("bins") == 1, 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / step), F.col("bins") - 1)).cast("int")
-    counts = both.groupBy(*by, place.alias("bin")).agg(N.alias("count"))
+    counts = both.groupBy(*by, place.alias("bin")).agg(count().alias("count"))
     slots = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
     low = F.col("lo") + F.col("bin") * step
     high = F.when(F.col("bin") == F.col("bins") - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * step)
@@ -81,7 +82,7 @@ def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
 def subset_metrics(rows: DataFrame) -> DataFrame:
     """A27 without its distributions."""
     total = Window.partitionBy()
-    out = exploded_subsets(rows).groupBy("subset").agg(N.alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.count(F.when(F.col("multimodal"), 1)).alias("vision"), *summary_columns("points_earned", "points_"), *summary_columns("latency_ms", "latency_"))
+    out = exploded_subsets(rows).groupBy("subset").agg(count().alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.count(F.when(F.col("multimodal"), 1)).alias("vision"), *summary_columns("points_earned", "points_"), *summary_columns("latency_ms", "latency_"))
     # at most four rows here
     share = F.col("count") / F.max(F.when(F.col("subset") == "all", F.col("count"))).over(total)
     return out.select("subset", "count", share.alias("share"), ratio(F.col("correct"), F.col("count")).alias("accuracy"), ratio(F.col("vision"), F.col("count")).alias("multimodal_share"), "points_mean", F.get("points_cuts", F.lit(1)).alias("points_median"), "latency_mean", F.get("latency_cuts", F.lit(1)).alias("latency_median"))
@@ -90,7 +91,7 @@ def subset_metrics(rows: DataFrame) -> DataFrame:
 def distribution(rows: DataFrame, key: str, by_range: bool = False, limit: int | None = None) -> DataFrame:
     """Count and share of each value in each subset."""
     label = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("Unknown"))
-    counts = exploded_subsets(rows).groupBy("subset", label.alias("key")).agg(N.alias("count"))
+    counts = exploded_subsets(rows).groupBy("subset", label.alias("key")).agg(count().alias("count"))
     per = Window.partitionBy("subset")
     order = [scoring.range_key("key")] if by_range else [F.desc("count"), F.col("key")]
     out = counts.withColumn("share", F.col("count") / F.sum("count").over(per)).withColumn("place", F.row_number().over(per.orderBy(*order)))
@@ -109,25 +110,25 @@ def overview_facets(runs: DataFrame, active: Column, keys: list[str]) -> DataFra
     """Of each value all runs and those that the filter leaves."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("attribute"), F.col(k).cast("string").alias("value")) for k in keys]))
     marked = runs.withColumn("active", active).select("active", pairs.alias("p"))
-    return marked.groupBy("p.attribute", "p.value").agg(N.alias("total"), F.count(F.when(F.col("active"), 1)).alias("active"))
+    return marked.groupBy("p.attribute", "p.value").agg(count().alias("total"), F.count(F.when(F.col("active"), 1)).alias("active"))
 
 
 def difficulty(rows: DataFrame, key: str = "question_id") -> DataFrame:
     """Mean correctness and disagreement of each question."""
     hit = F.col("is_correct").cast("int")
-    return rows.where(F.col("is_correct").isNotNull()).groupBy(key).agg(F.avg(hit).alias("p_correct"), F.stddev_pop(hit).alias("disagreement"), N.alias("n"))
+    return rows.where(F.col("is_correct").isNotNull()).groupBy(key).agg(F.avg(hit).alias("p_correct"), F.stddev_pop(hit).alias("disagreement"), count().alias("n"))
 
 
 def yearly(difficulty_: DataFrame, questions: DataFrame, human: DataFrame, key: str = "question_id") -> DataFrame:
     """Mean human and model correctness by year, over questions that have a human value."""
     both = difficulty_.join(questions, key, "left").join(human, key, "left").where("human_p is not null and year is not null")
-    out = both.groupBy("year").agg(F.avg("human_p").alias("human"), F.avg("p_correct").alias("llm"), N.alias("questions"))
+    out = both.groupBy("year").agg(F.avg("human_p").alias("human"), F.avg("p_correct").alias("llm"), count().alias("questions"))
     return out.withColumn("ratio", F.coalesce(ratio(F.col("human"), F.col("llm")), F.lit(0.0)))
 
 
 def tag_means(difficulty_: DataFrame, tags: DataFrame, key: str = "question_id") -> DataFrame:
     """A35."""
-    return difficulty_.join(tags, key).select("p_correct", F.explode("tags").alias("tag")).groupBy("tag").agg(F.avg("p_correct").alias("mean"), N.alias("count"))
+    return difficulty_.join(tags, key).select("p_correct", F.explode("tags").alias("tag")).groupBy("tag").agg(F.avg("p_correct").alias("mean"), count().alias("count"))
 
 
 def page(rows: DataFrame, by: str, descending: bool, start: int, size: int, neutral: object = 0.0, tie: str = "id") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.scoring import ratio
 
-N = F.count(F.lit(1))
+def count() -> Column:
+    return F.count(F.lit(1))
 
 
 def _n(c: Column) -> Column:
@@ -39,7 +40,7 @@ def totals(rows: DataFrame, definition: int, *by: str) -> DataFrame:
 
 def slice_columns() -> list[Column]:
     """E11."""
-    correct, attempts, n = _n(F.col("correct")), _n(F.col("attempted")), N
+    correct, attempts, n = _n(F.col("correct")), _n(F.col("attempted")), count()
     return [
         n.alias("questions"), correct.alias("correct"), attempts.alias("attempts"), _n(F.col("declined")).alias("declines"), ratio(correct, n).alias("recall"), ratio(attempts, n).alias("attempt_rate"),
         ratio(_n(F.col("declined")), n).alias("decline_rate"), ratio(correct, attempts).alias("precision"), (100 * ratio(F.sum("net"), F.sum("worth"))).alias("net_pct"),
@@ -53,7 +54,7 @@ def f1(precision: Column, recall: Column) -> Column:
 def run_summary(rows: DataFrame) -> DataFrame:
     """E12."""
     base = rows.groupBy("run_id").agg(*slice_columns(), F.sum("raw").alias("raw_score"), F.sum("net").alias("net_score"), F.sum("completion_tokens").alias("tokens"))
-    exams = totals(rows, 2, "run_id").groupBy("run_id").agg(F.sum("total").alias("total_score"), N.alias("exams"))
+    exams = totals(rows, 2, "run_id").groupBy("run_id").agg(F.sum("total").alias("total_score"), count().alias("exams"))
     per_k = lambda x: 1000 * ratio(x, F.col("tokens"))
     out = base.join(exams, "run_id").withColumn("f1", f1(F.col("precision"), F.col("recall")))
     return out.withColumns({"points_per_k": per_k(F.col("raw_score")), "correct_per_k": per_k(F.col("correct")), "net_per_k": per_k(F.col("net_score")), "tokens_per_point": ratio(F.col("tokens"), F.col("raw_score"))})
@@ -68,7 +69,7 @@ def policy(rows: DataFrame, *by: str) -> DataFrame:
 
 def leaderboard(rows: DataFrame) -> DataFrame:
     """By accuracy; the points to be had are the first run's."""
-    out = rows.groupBy("run_id").agg(ratio(_n(F.col("correct")), N).alias("accuracy"), F.sum("points_earned").alias("earned"), F.sum("worth").alias("possible_own"), F.sum("total_tokens").alias("tokens"))
+    out = rows.groupBy("run_id").agg(ratio(_n(F.col("correct")), count()).alias("accuracy"), F.sum("points_earned").alias("earned"), F.sum("worth").alias("possible_own"), F.sum("total_tokens").alias("tokens"))
     first = out.agg(F.min_by("possible_own", "run_id").alias("possible"))
     return out.join(F.broadcast(first)).select("run_id", "accuracy", "earned", "possible", ratio(F.col("tokens"), F.col("earned")).alias("tokens_per_point")).orderBy(F.desc("accuracy"), "run_id")
 
@@ -77,7 +78,7 @@ def exam_wins(exams: DataFrame) -> DataFrame:
     """Share of exams each run wins (ties by run)."""
     first = Window.partitionBy("year", "group").orderBy(F.desc("pct"), "run_id")
     won = exams.withColumn("place", F.row_number().over(first))
-    return won.groupBy("run_id").agg(N.alias("exams"), _n(F.col("place") == 1).alias("wins")).withColumn("win_share", ratio(F.col("wins"), F.col("exams")))
+    return won.groupBy("run_id").agg(count().alias("exams"), _n(F.col("place") == 1).alias("wins")).withColumn("win_share", ratio(F.col("wins"), F.col("exams")))
 
 
 def modality_gap(rows: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def token_efficiency(rows: DataFrame, *by: str) -> DataFrame:
 def declined_profile(rows: DataFrame) -> DataFrame:
     """E23."""
     gone = rows.where("declined")
-    return gone.groupBy("modality").agg(N.alias("count"), F.avg("worth").alias("mean_points"), F.median("worth").alias("median_points"))
+    return gone.groupBy("modality").agg(count().alias("count"), F.avg("worth").alias("mean_points"), F.median("worth").alias("median_points"))
 
 
 def missing_cause(columns: list[str]) -> Column:
@@ -109,7 +110,7 @@ def missing_cause(columns: list[str]) -> Column:
 
 def structure(rows: DataFrame) -> DataFrame:
     """Items, shares of 3, 4 and 5 points, share with images."""
-    return rows.groupBy("year", "group").agg(N.alias("items"), *[ratio(_n(F.col("worth") == p), N).alias(f"share_{p}") for p in (3, 4, 5)], ratio(_n(F.col("multimodal")), N).alias("multimodal_share"))
+    return rows.groupBy("year", "group").agg(count().alias("items"), *[ratio(_n(F.col("worth") == p), count()).alias(f"share_{p}") for p in (3, 4, 5)], ratio(_n(F.col("multimodal")), count()).alias("multimodal_share"))
 
 
 def over_runs(exams: DataFrame) -> DataFrame:
