@@ -62,13 +62,13 @@ def subset_metrics(spark, sf):
     return d.subset_metrics(results(spark, sf))
 
 
-@query("A28_distribution", f"SELECT * FROM (SELECT subset, key, count, count / sum(count) OVER (PARTITION BY subset) AS share, row_number() OVER (PARTITION BY subset ORDER BY count DESC, key) AS place FROM (SELECT subset, coalesce(reasoning_mode, 'Unknown') AS key, count(*) AS count FROM {SUBSETS} GROUP BY ALL)) WHERE place <= 8")
+@query("A28_distribution", f"SELECT * FROM (SELECT subset, key, count, count / sum(count) OVER (PARTITION BY subset) AS share, CAST(row_number() OVER (PARTITION BY subset ORDER BY count DESC, key) AS INTEGER) AS place FROM (SELECT subset, coalesce(reasoning_mode, 'Unknown') AS key, count(*) AS count FROM {SUBSETS} GROUP BY ALL)) WHERE place <= 8")
 def distribution(spark, sf):
     return d.distribution(results(spark, sf), "reasoning_mode", limit=8)
 
 
 @query("A28_O02_grade_distribution", f"""
-SELECT subset, key, count, count / sum(count) OVER (PARTITION BY subset) AS share, row_number() OVER (PARTITION BY subset ORDER BY coalesce(try_cast(split_part(key, '-', 1) AS INTEGER), 1000000), coalesce(try_cast(split_part(key, '-', 2) AS INTEGER), 1000000), key) AS place
+SELECT subset, key, count, count / sum(count) OVER (PARTITION BY subset) AS share, CAST(row_number() OVER (PARTITION BY subset ORDER BY coalesce(try_cast(split_part(key, '-', 1) AS INTEGER), 1000000), coalesce(try_cast(split_part(key, '-', 2) AS INTEGER), 1000000), key) AS INTEGER) AS place
 FROM (SELECT subset, coalesce("group", 'Unknown') AS key, count(*) AS count FROM {SUBSETS} GROUP BY ALL)""")
 def grade_distribution(spark, sf):
     return d.distribution(results(spark, sf), "group", by_range=True)
@@ -220,7 +220,7 @@ def argmax_run(spark, sf):
     return acc.agg(F.max_by("run_id", "acc").alias("run_id"), F.max("acc").alias("accuracy"))
 
 
-@query("O12_null_last_sort", 'SELECT run_id, year, "group", place FROM (SELECT run_id, year, "group", row_number() OVER (PARTITION BY run_id ORDER BY p NULLS LAST, year, "group") AS place FROM (SELECT run_id, year, "group", CASE WHEN year % 2 = 0 THEN pct END AS p FROM ' + EXAM + ")) WHERE place <= 10")
+@query("O12_null_last_sort", 'SELECT run_id, year, "group", place FROM (SELECT run_id, year, "group", CAST(row_number() OVER (PARTITION BY run_id ORDER BY p NULLS LAST, year, "group") AS INTEGER) AS place FROM (SELECT run_id, year, "group", CASE WHEN year % 2 = 0 THEN pct END AS p FROM ' + EXAM + ")) WHERE place <= 10")
 def null_last_sort(spark, sf):
     x = exam_scores(spark, sf).withColumn("p", F.when(F.col("year") % 2 == 0, F.col("pct")))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.asc_nulls_last("p"), "year", "group"))

@@ -66,7 +66,7 @@ def token_sample(spark, sf):
     return t.token_sample(usage_events(spark, sf), "model")
 
 
-@query("T04_recent", "SELECT model, seq, type, place FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS place FROM usage) WHERE place <= 5")
+@query("T04_recent", "SELECT model, seq, type, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS INTEGER) AS place FROM usage) WHERE place <= 5")
 def recent(spark, sf):
     return t.recent(usage_events(spark, sf), 5, "model").select("model", "seq", "type", "place")
 

@@ -36,7 +36,7 @@ def usage(spark, sf):
 
 
 @query("F08_header_usage", """
-SELECT event_id, k AS prompt_tokens, 5 AS completion_tokens, k + 5 AS total_tokens, CASE WHEN k % 2 = 1 THEN 4 END AS reasoning_tokens FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+SELECT event_id, k AS prompt_tokens, CAST(5 AS BIGINT) AS completion_tokens, k + 5 AS total_tokens, CAST(CASE WHEN k % 2 = 1 THEN 4 END AS BIGINT) AS reasoning_tokens FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
 def header_usage(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint")
     header = F.when(k % 2 == 0, F.concat(F.lit('{"prompt_tokens": '), k, F.lit(', "completion_tokens": 5}'))).otherwise(F.concat(F.lit("input_tokens="), k, F.lit(", output_tokens=5; completion_tokens_details.reasoning_tokens=4")))

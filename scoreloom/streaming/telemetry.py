@@ -79,7 +79,7 @@ def token_sample(events: DataFrame, *by: str, size: int = SAMPLE) -> DataFrame:
     known = events.withColumn("total", total_tokens()).where("total > 0")
     last = recent(known, size, *by)
     means = known.groupBy(*by).agg(F.avg("total").alias("mean"))
-    cuts = last.groupBy(*by).agg(F.median("total").alias("median"), F.expr("percentile_disc(0.9) within group (order by total)").alias("p90"), F.count(F.lit(1)).alias("samples"))
+    cuts = last.groupBy(*by).agg(F.median("total").alias("median"), F.expr("percentile_disc(0.9) within group (order by total)").cast("bigint").alias("p90"), F.count(F.lit(1)).alias("samples"))
     return means.join(cuts, list(by))
 
 
