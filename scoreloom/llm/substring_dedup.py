@@ -28,10 +28,11 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,11 +118,15 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc, a - words.first[doc], b - a + 1, gram[where[a]], Sums(words.hash, 2).of(a, b + WINDOW)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+def _plain(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return (text.encode() for text in common.texts_of(batch))
+
+
+def _slices(batch: pa.RecordBatch, texts_of: Callable[[pa.RecordBatch], Iterator[bytes]] = _plain) -> Iterator[tuple[int, list[bytes]]]:
     """Rows of a batch in slices of about SLICE bytes: number of the first, texts."""
     first, texts, size = 0, [], 0
-    for text in common.texts_of(batch):
-        texts.append(text.encode())
+    for text in texts_of(batch):
+        texts.append(text)
         size += len(texts[-1]) + 1
         if size >= SLICE:
             yield first, texts
@@ -134,6 +139,23 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.hash("text").alias("text_key"), "text")
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """with_key(docs), the text compressed, for exchanges: texts are most of what they write."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([press(t.encode()) for t in common.texts_of(batch)], pa.binary())], ["doc_id", "text_key", "text"])
+
+    return with_key(docs).mapInArrow(run, "doc_id bigint, text_key int, text binary")
+
+
+def _bytes(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """Texts of squeezed() one by one."""
+    for x in batch.column("text"):
+        yield zstandard.decompress(x.as_py())
+
+
 def segments(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, a (first window), n (windows), h (gram hash), g (segment hash)."""
 
@@ -211,7 +233,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _slices(batch):
+            for first, texts in _slices(batch, _bytes):
                 words = Words(texts)
                 spans = batch.column("spans").slice(first, len(texts))
                 flat = spans.flatten()
@@ -232,16 +254,15 @@ def repeats(docs: DataFrame, index: WindowIndex, corpus: DataFrame) -> DataFrame
     corpus: the texts of all batches of the index, docs included.
     """
     grams = index.add(docs)
-    own = index.spark.read.schema(index.all_segments().schema).parquet(index.batches[-1])
+    hits = common.written(index.all_segments().join(grams, "h"), "repeated-segments")
     # spans of older documents go at the join with docs
-    sure = own.join(grams.where("not mixed").select("h"), "h").select(*KEY, "a", "n")
+    sure = hits.where("not mixed").select(*KEY, "a", "n")
     # kinds of segment under grams that have several
-    mixed = index.all_segments().join(grams.where("mixed").select("h"), "h")
-    mixed = common.written(mixed, "mixed-segments")
+    mixed = hits.where("mixed").drop("mixed")
     kinds = mixed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "a", "n")).alias("one"))
     kinds = common.written(kinds, "segment-kinds")
     again = mixed.join(kinds.where("copies > 1").select("h", "g"), ["h", "g"]).select(*KEY, "a", "n")
-    opened = common.written(windows(_joined(with_key(corpus), kinds.select("one.*"), "inner")), "windows")
+    opened = common.written(windows(_joined(squeezed(corpus), kinds.select("one.*"), "inner")), "windows")
     twice = opened.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("w1", "w2")
     parts = opened.join(twice, ["w1", "w2"]).select(*KEY, "a", F.lit(1).alias("n"))
     return sure.unionByName(again).unionByName(parts)
@@ -254,8 +275,8 @@ def dedup(docs: DataFrame, index: WindowIndex, corpus: DataFrame | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, kept = [], [], []
-            for text, spans in zip(common.texts_of(batch), batch.column("spans")):
-                words = text.encode().split()
+            for text, spans in zip(_bytes(batch), batch.column("spans")):
+                words = text.split()
                 counts.append(len(words))
                 if spans.is_valid and len(spans):
                     edge = np.zeros(len(words) + 1, np.int64)
@@ -268,7 +289,7 @@ def dedup(docs: DataFrame, index: WindowIndex, corpus: DataFrame | None = None)
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return _joined(with_key(docs), spans, "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return _joined(squeezed(docs), spans, "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
