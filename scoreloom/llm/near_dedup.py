@@ -18,6 +18,15 @@ Components come from alternating large and small stars over written tables, by
 joins that Spark can split. Exact copies share a fingerprint and are one row
 throughout; fingerprints, edges and components never come to the driver.
 
+keep_one() can link by Jaccard similarity of shingle sets instead, as SimHash
+of pairs at 0.8 differs in about 9 bits. Rows are then sets of shingles, named
+by a hash; each goes to BANDS buckets by ROWS of its minima under seeded orders
+(a pair at 0.8 shares none of them in 3 cases of a million), buckets with the
+same rows are searched once, and links are verified on the whole sets. In a
+bucket a search from row to row looks at what it hasn't reached only. A bucket
+over SET_CAP rows or SET_BYTES is cut in chunks, and its pairs of chunks are
+searched one by one.
+
 Rows: null text counts as empty and has fingerprint zero, linked like any
 other; repeated rows share a component; a null doc_id never names a component
 (it is null where all its doc_ids are); an empty table gives an empty result;
@@ -27,6 +36,7 @@ other columns are kept by keep_one() and not read otherwise.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -44,21 +54,31 @@ CAP = 2000
 FAN = 8
 BLOCK_ROWS = 1 << 14
 PAIRS = 1 << 17
+BANDS, ROWS = 24, 4
+SET_CAP = 4096
+SET_BYTES = 1 << 25
+#: The similarity that near copies have at least, 4/5.
+SIMILARITY = (4, 5)
 
 
 # fingerprints
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """One hash a shingle; a text with fewer words is one shingle, without words none."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
     line, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hashed(line, SEED)
+        return np.array([hashed(line, SEED)] if words else [], np.uint64)
     ends = list(accumulate([len(w) + 1 for w in words]))
     starts = [0, *ends]
-    hashes = np.array([hashed(line[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])], np.uint64)
+    return np.array([hashed(line[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if len(hashes) <= 1:
+        return int(hashes.sum())
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -234,6 +254,126 @@ def edges(distinct: DataFrame, cap: int = CAP, distance: int = DISTANCE) -> Data
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+# links by Jaccard similarity
+
+
+@lru_cache(maxsize=1)
+def orders() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets that put hashes in BANDS * ROWS orders."""
+    rng = np.random.default_rng(SEED)
+    factor, offset = rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
+    return factor * np.uint64(2) + np.uint64(1), offset
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS bucket keys of a set of shingle hashes, none of an empty one."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    factor, offset = orders()
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[i : i + 512] * factor + offset).min(axis=1), out=least)
+    raw = least.astype("<u8").tobytes()
+    width = 8 * ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[b * width : (b + 1) * width], b) for b in range(BANDS)], np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, keep: list[str], shingle: int) -> DataFrame:
+    """The columns in keep, fp (hash of the shingle set), size (shingles in it) and bands."""
+
+    def make() -> Callable[[str], tuple]:
+        def one(text: str) -> tuple:
+            shingles = np.unique(shingle_hashes(text, shingle))
+            fp = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+            return fp - (1 << 64) if fp >> 63 else fp, len(shingles), band_keys(shingles)
+
+        return one
+
+    return common.map_rows(docs, keep, make, "fp bigint, size bigint, bands array<bigint>")
+
+
+def similar(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """For each set the first row of its component, linked at the similarity or over; hashes are sorted, each once."""
+    num, den = similarity
+    sizes = np.array([len(x) for x in sets])
+    labels = np.arange(len(sets))
+    # i / (a + b - i) >= num / den, in whole numbers
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.zeros(2, np.int64) if both and (num + den) * both >= num * sizes.sum() else labels
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    ends = np.cumsum(sizes)
+    by_id = np.argsort(ids, kind="stable")
+    post, start = owner[by_id], np.concatenate([[0], np.cumsum(np.bincount(ids))])
+    left = np.ones(len(sets), bool)
+    held = len(sets)
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        queue = [seed]
+        while queue and left.any():
+            row = queue.pop()
+            own = ids[ends[row] - sizes[row] : ends[row]]
+            count = start[own + 1] - start[own]
+            place = np.repeat(start[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both = np.bincount(post[place], minlength=len(sets))
+            found = np.flatnonzero(left & (both > 0) & ((num + den) * both >= num * (sizes + sizes[row])))
+            labels[found], left[found] = seed, False
+            queue += found.tolist()
+            if left.sum() <= held // 2:
+                # keep the places of what is still to be reached
+                stays = left[post]
+                start = np.concatenate([[0], np.cumsum(stays)])[start]
+                post, held = post[stays], int(left.sum())
+    return labels
+
+
+def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SET_CAP, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """u, v: links that connect the shingle sets of the similarity or over. key: text_key, text; marked: text_key, fp, size, bands."""
+    distinct = marked.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    distinct = common.written(distinct, "sets")
+    rows = distinct.select("fp", "size", F.explode("bands").alias("g"))
+    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
+    buckets = sums.where("n > 1").groupBy("n", "x", "y", "size").agg(F.min("g").alias("g"))
+    chunks = F.greatest(F.ceil(F.col("n") / cap), F.ceil(F.col("size") * 8 / SET_BYTES)).cast("int")
+    dealt = rows.drop("size").join(buckets.select("g", chunks.alias("chunks")), "g").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own != other")
+    part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
+    dealt = common.written(dealt.select("g", part.alias("part"), "fp"), "bands")
+
+    def make() -> Callable[[str], tuple]:
+        return lambda text: (np.unique(shingle_hashes(text, shingle)).tobytes(),)
+
+    named = distinct.select("fp", "text_key").join(dealt.select("fp").distinct(), "fp", "left_semi")
+    texts = key.select("text_key", "text").join(named, "text_key")
+    sets = common.map_rows(texts, ["fp"], make, "shingles binary").dropDuplicates(["fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, fps, held = None, [], []
+
+        def out() -> pa.RecordBatch:
+            code = np.array(fps, np.int64)
+            labels = similar(held, similarity) if len(held) > 1 else np.zeros(len(held), np.int64)
+            far = np.flatnonzero(labels != np.arange(len(labels)))
+            return pa.RecordBatch.from_arrays([pa.array(code[far]), pa.array(code[labels[far]])], ["u", "v"])
+
+        for batch in batches:
+            for g, part, fp, shingles in zip(*(batch.column(i) for i in range(4))):
+                if (now := (g.as_py(), part.as_py())) != place:
+                    if held:
+                        yield out()
+                    place, fps, held = now, [], []
+                fps.append(fp.as_py())
+                held.append(np.frombuffer(shingles.as_py(), np.uint64))
+        if held:
+            yield out()
+
+    searched = dealt.join(sets, "fp").select("g", "part", "fp", "shingles").repartition("g", "part").sortWithinPartitions("g", "part", "fp")
+    return searched.mapInArrow(run, "u bigint, v bigint")
+
+
 # components
 
 
@@ -257,10 +397,10 @@ def stars(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def components(marked: DataFrame, cap: int = CAP) -> DataFrame:
-    """fp, component_id of each distinct fingerprint. marked: doc_id, fp."""
+def components(marked: DataFrame, cap: int = CAP, links: DataFrame | None = None) -> DataFrame:
+    """fp, component_id of each distinct fingerprint. marked: doc_id, fp; links: u, v, if not those of edges()."""
     distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    roots = stars(edges(distinct.select("fp"), cap))
+    roots = stars(edges(distinct.select("fp"), cap) if links is None else links)
     named = distinct.join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
     named = common.written(named.select("fp", "first_id", "root"), "rooted")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -273,12 +413,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, cap: int = CAP) ->
     return marked.join(components(marked, cap), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, cap: int = CAP) -> DataFrame:
-    """Of each component the row with the smallest doc_id (then text hash), with all columns of docs."""
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, cap: int = CAP, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """Of each component the row with the smallest doc_id (then text hash), with all columns of docs.
+
+    With a similarity, links are the pairs whose shingle sets have it or more, not those of near fingerprints.
+    """
     names = docs.columns
     key = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    marked = common.written(fingerprints(key, ["doc_id", "text_key"], shingle), "marked")
-    found = marked.join(components(marked, cap), "fp")
+    if similarity is None:
+        marked, links = common.written(fingerprints(key, ["doc_id", "text_key"], shingle), "marked"), None
+    else:
+        marked = common.written(shingle_sets(key, ["doc_id", "text_key"], shingle), "marked")
+        links = similar_edges(key, marked, shingle, min(cap, SET_CAP), similarity)
+    found = marked.select("doc_id", "text_key", "fp").join(components(marked, cap, links), "fp")
     # components whose doc_ids are all null are told apart by fingerprint
     lone = F.when(F.col("component_id").isNull(), F.col("fp"))
     least = found.groupBy("component_id", lone.alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))

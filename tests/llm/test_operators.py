@@ -141,6 +141,42 @@ def test_dense_bucket(spark):
     assert {r.component_id for r in near_dedup.components(frame, cap=20).collect()} == {0}
 
 
+def test_near_copies_by_jaccard(spark):
+    """The pipeline's stage against brute force over all pairs: five-word shingles, linked from 0.8 on."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    some = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    line, texts = some(30), ["", "one", "One", "a b c d", "a b c d e"]
+    for n in (20, 60, 150, 400, 400):
+        first = some(n) + line
+        texts.append(" ".join(first))
+        for edits in range(1, 13):
+            copy = list(first)
+            run = min(n, edits * max(1, n // 60))
+            at = rng.randrange(n - run + 1)
+            copy[at : at + run] = [f"new{rng.randrange(10**6)}" for _ in range(run)]
+            texts.append(" ".join(copy))
+    texts += [" ".join(some(40) + line) for _ in range(20)]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set()))
+    root = list(range(len(texts)))
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                pairs += 1
+                old, new = root[i], root[j]
+                root = [min(old, new) if r in (old, new) else r for r in root]
+    assert pairs >= 50 and len(set(root)) > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()) == sorted(set(root))
+    in_chunks = near_dedup.keep_one(docs, shingle=5, cap=4, similarity=near_dedup.SIMILARITY)
+    assert sorted(r.doc_id for r in in_chunks.collect()) == sorted(set(root))
+
+
 def test_quality_rules(odd, none):
     def brute(text):
         w, text = words(text), text or ""
