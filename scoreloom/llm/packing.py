@@ -1,6 +1,6 @@
 """Operator 8: best-fit packing into bins of several permitted sequence lengths.
 
-Documents are measured in tokens; one longer than the largest capacity is cut
+Documents are measured in tokens of op4's vocabulary; one longer than the largest capacity is cut
 in pieces of that size and a rest, so nothing is dropped. Pieces are dealt into
 groups by a hash, so many that each holds about GROUP_TOKENS tokens, and each
 group is packed on its own: pieces in falling order of size; each goes to the
@@ -22,7 +22,8 @@ result; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import Codec, ranks_from
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 GROUP_TOKENS = 1 << 21
 
 
+class TokenCounter(Codec):
+    """op4's codec, which keeps counts in place of ids."""
+
+    marks = ".,;:!?%&#*$|"
+    cache = 900_000
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks, pattern)
+        base = self.base
+        self.base = lambda text: len(base(text))
+
+    def chunk(self, text: str) -> int:
+        if len(text) <= self.leaf_bytes:
+            return super().chunk(text)
+        if len(text) <= self.leaf_chars:
+            return self.base(text)
+        return sum([len(self.piece(text[s:e].encode())) for s, e in self.spans(text)])
+
+    def count(self, text: str) -> int:
+        known, chunk = self.known.get, self.chunk
+        n = 0
+        for part in self.stretches(text):
+            if (one := known(part)) is None:
+                one, known = chunk(part), self.known.get
+            n += one
+        return n
+
+
+@lru_cache(maxsize=4)
+def counter_for(path: str, pattern: str) -> TokenCounter:
+    return TokenCounter(ranks_from(path), pattern)
+
+
 def token_counter(end: int = 1) -> Callable[[], Callable[[str], tuple]]:
-    """Tokens of a text: its words, cut every 8 bytes (about as many as byte-level BPE gives), and an end token."""
+    """Tokens of a text in op4's vocabulary, and an end token."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
     def make() -> Callable[[str], tuple]:
+        count = counter_for(path, pattern).count
+
         def one(text: str) -> tuple:
-            return (sum([(len(w) + 7) // 8 for w in text.encode().split()]) + end,)
+            return (count(text) + end,)
 
         return one
 

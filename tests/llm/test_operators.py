@@ -317,6 +317,18 @@ def test_packing(odd, none):
     assert used.max() <= 4096 and used.sum() / room.sum() > 0.97
 
 
+def test_packing_counts_tokens(odd):
+    """Sizes are those of the vocabulary's own encoder, so no bin holds more tokens than its length."""
+    import tiktoken
+
+    ranks = bpe.ranks_from(P.path("byte_bpe_50k.tiktoken"))
+    whole = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", "日本語の文章です。" * 40, "YWJjZGVmZ2hpamtsbW5vcHFyc3R1dnd4eXo0MTIz" * 20, "some words, and more of them", "Zm9v" * 2000, *[t or "" for _, t in odd_rows()]]
+    count = packing.token_counter()()
+    assert [count(t)[0] for t in texts] == [len(whole.encode_ordinary(t)) + 1 for t in texts]
+    assert sum(r.size for r in packing.packed(odd).collect()) == sum(len(whole.encode_ordinary(t or "")) + 1 for _, t in odd_rows())
+
+
 def test_quality_model(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
