@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing, scoring
-from ..sources.adapters import responses, results, table
+from ..sources.adapters import responses, results, table, whole_responses
 from .registry import query
 
 
@@ -17,6 +17,12 @@ def parse_answers(spark, sf):
     return parsing.parse_answers(responses(spark, sf)).drop("text")
 
 
+@query("F01_F05_parse_whole_answers")
+def parse_whole_answers(spark, sf):
+    """As F01_F05_parse_answers, over the whole texts."""
+    return parsing.parse_answers(whole_responses(spark, sf)).drop("text")
+
+
 @query("F06_message_text", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'a' || chr(10) || '{\"answer\": \"A\"}' WHEN 2 THEN 'x' ELSE '' END AS text FROM events")
 def message_text(spark, sf):
     contents = F.array(*map(F.lit, ("plain", '[{"type": "text", "text": "a"}, {"type": "json", "json": {"answer": "A"}}]', '{"content": [{"text": "x"}]}', "[]")))

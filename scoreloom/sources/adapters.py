@@ -107,6 +107,13 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.alias("text"))
 
 
+def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text: each assistant turn as it is, with one of TAILS on a line of its own."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    tail = F.get(F.array(*map(F.lit, TAILS)), (F.col("conv_id") % 8).cast("int"))
+    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws("\n", "text", tail).alias("text"))
+
+
 RESPONSES_SQL = """
 SELECT conv_id || '-' || turn AS id,
        CASE WHEN conv_id % 8 IN (0, 6) THEN tail ELSE regexp_replace(substr(text, 1, 40), '(?i)\\b[a-e]\\b', '_', 'g') || chr(10) || tail END AS text
