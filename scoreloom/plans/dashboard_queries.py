@@ -222,9 +222,15 @@ def argmax_run(spark, sf):
 
 @query("O12_null_last_sort", 'SELECT run_id, year, "group", place FROM (SELECT run_id, year, "group", CAST(row_number() OVER (PARTITION BY run_id ORDER BY p NULLS LAST, year, "group") AS INTEGER) AS place FROM (SELECT run_id, year, "group", CASE WHEN year % 2 = 0 THEN pct END AS p FROM ' + EXAM + ")) WHERE place <= 10")
 def null_last_sort(spark, sf):
+    return null_last_places(spark, sf).where("place <= 10")
+
+
+@query("O12_null_last_sort_whole", 'SELECT run_id, year, "group", CAST(row_number() OVER (PARTITION BY run_id ORDER BY p NULLS LAST, year, "group") AS INTEGER) AS place FROM (SELECT run_id, year, "group", CASE WHEN year % 2 = 0 THEN pct END AS p FROM ' + EXAM + ")")
+def null_last_places(spark, sf):
+    """As O12_null_last_sort, without its limit."""
     x = exam_scores(spark, sf).withColumn("p", F.when(F.col("year") % 2 == 0, F.col("pct")))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.asc_nulls_last("p"), "year", "group"))
-    return x.withColumn("place", place).where("place <= 10").select("run_id", "year", "group", "place")
+    return x.withColumn("place", place).select("run_id", "year", "group", "place")
 
 
 @query("O13_grade_sort_key", """SELECT DISTINCT "group", coalesce(try_cast(split_part("group", '-', 1) AS INTEGER), -1) AS least, coalesce(try_cast(split_part("group", '-', 2) AS INTEGER), -1) AS most FROM results WHERE "group" IS NOT NULL""")

@@ -52,3 +52,15 @@ def test_whole_answers(spark):
     assert got == want
     texts = {r.id: r.text for r in adapters.whole_responses(spark, SF).collect()}
     assert all(texts[f"{r.conv_id}-{r.turn}"].startswith(r.text or "") for r in turns)
+
+
+def test_null_last_order(spark):
+    """All rows of each run: those with a value (even years) first, then the null ones by year and group."""
+    rows = catalog.QUERIES["O12_null_last_sort_whole"](spark, SF).collect()
+    scored = adapters.results(spark, SF).where("group is not null").select("run_id", "year", "group").distinct().collect()
+    assert {(r.run_id, r.year, r.group) for r in rows} == {tuple(r) for r in scored} and len(rows) == len(scored)
+    for run in {r.run_id for r in rows}:
+        own = sorted((r for r in rows if r.run_id == run), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, len(own) + 1))
+        null = [(r.year, r.group) for r in own if r.year % 2]
+        assert null and null == sorted(null) and [r.year % 2 for r in own] == sorted(r.year % 2 for r in own)
