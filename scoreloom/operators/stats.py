@@ -95,7 +95,7 @@ def bootstrap(rows: DataFrame, kind: str, x: str, y: str, by: str, times: int =
     return rows.select(by, x, y).groupBy(by).applyInPandas(run, f"`{by}` string, value double, low double, high double, n long")
 
 
-def bootstrap_fit(rows: DataFrame, y: str, terms: list[str], by: str, times: int = 500) -> DataFrame:
+def bootstrap_fit(rows: DataFrame, y: str, terms: list[str], by: str, times: int = 2000) -> DataFrame:
     """Each coefficient with its interval, and R squared."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -174,4 +174,4 @@ def alignment(spark, sf):
     from ..operators.dashboard import leave_one_out
 
     pairs = leave_one_out(exam_scores(spark, sf), ["year", "group"], "pct").where("others is not null")
-    return stats.bootstrap(pairs, "r", "pct", "others", "run_id", 500)
+    return stats.bootstrap(pairs, "r", "pct", "others", "run_id")
