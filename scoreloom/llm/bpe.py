@@ -1,21 +1,22 @@
 """Operator 4: byte-level BPE by monoid tree reduction.
 
-A text is cut in halves down to leaves, stretches of white space with what
-follows it; a short stretch is encoded by the library, a long one by the same
-tree over its pre-tokens and over each pre-token's bytes. Two neighbours are joined by encoding anew a
-window around the cut, which grows until what lies outside is proven stable:
-
-* Pre-tokens. The pattern has no look-behind, so what it does from a match
-  start on depends on the text to the right alone. A match of the left side is
-  final if it ends before the side's end and three characters follow its start
-  (a contraction looks three characters ahead). On the right side all matches
-  from the first common match start on are final.
-* Tokens of one long pre-token. A token row is the encoding of its bytes if
-  and only if every adjacent pair encodes to itself, so it is enough that the
-  two pairs at the window's edges do.
-
-Decoding concatenates bytes up the same tree; concatenation is associative,
-so the tree needs no repair there.
+A text is cut in halves, anywhere, down to leaves of LEAF_CHARS, which the
+library encodes. Two neighbours are joined by encoding anew a window around the
+cut. The window grows until the tokens outside are proven stable:
+
+* Its edges are match edges of the pattern in either side and in the joined
+  text: a change from other characters to a blank, or between ASCII letters,
+  digits and marks (not after an apostrophe, where a contraction may begin). No
+  match spans such a change, what a match takes before one is settled by the
+  characters up to it, and from one on matches depend on the text to the right
+  alone, as the pattern has no look-behind.
+* Where one run of ASCII letters reaches far to both sides of the cut, it is a
+  single pre-token, and the window is one of its tokens: a token row is the
+  encoding of its bytes if and only if every adjacent pair encodes to itself, so
+  it is enough that the two pairs at the window's edges do.
+
+A side that has no such edge is in the window as a whole. Decoding concatenates
+bytes up the same tree; concatenation is associative, so nothing is repaired.
 
 Rows: null text counts as empty; empty text has no ids and the digest of the
 empty string; repeated rows and ties are encoded each on their own; columns
@@ -26,46 +27,38 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
-import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: White space as Unicode's White_Space property has it (Python's \s adds U+001C to U+001F).
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-LEAF_CHARS = 2048
-LEAF_BYTES = 64
+LEAF_CHARS = 4096
+#: Characters on either side of a cut that are searched for an edge at first.
+REACH = 32
+#: A run of letters that reaches so far on either side is joined by its tokens.
+LONG_RUN = 512
+LEAF_IDS = 1 << 15
 
-
-def spelled(pattern: str) -> str:
-    """The pattern with its white-space classes written out."""
-    pattern = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")
-    return pattern.replace(r"\s", f"[{SPACE}]")
+#: White space as Unicode's White_Space property has it, and U+001C to U+001F, which are no edge either way.
+SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_MARK = r"!-/:-@\[-`{-~"
+EDGE = re.compile(rf"(?<=[^{SPACE}])(?= )|(?<=[A-Za-z])(?=[0-9{_MARK}])|(?<=[0-9])(?=[A-Za-z{_MARK}])|(?<=[{_MARK}])(?=[0-9])|(?<=[!-&(-/:-@\[-`{{-~])(?=[A-Za-z])")
+LETTERS = re.compile("[A-Za-z]*")
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary; one object a worker."""
-
-    #: Marks cut off before a word is encoded, where that is dear; never an apostrophe.
-    marks = ""
-    #: Stretches kept in each of two generations.
-    cache = 250_000
+    """Encoder and decoder for one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
-        self.ranks, self.leaf_chars, self.leaf_bytes = ranks, max(4, leaf_chars), max(2, leaf_bytes)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, long_run: int = LONG_RUN):
+        self.ranks, self.leaf_chars, self.long_run = ranks, max(4, leaf_chars), max(4, long_run)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.find = regex.compile(spelled(pattern)).finditer
-        self.chunks = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self.gap = regex.compile(f"[{SPACE}] ").search
-        if ranks:
-            self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, list[int]] = {}
-        self.aged: dict[str, list[int]] = {}
+        self.leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.digits = {i: str(i) for i in self.bytes_of}
+        self.joins = self.token_joins = 0
 
     # tokens of one pre-token
 
@@ -90,106 +83,77 @@ class Codec:
     def agree(self, a: int, b: int) -> bool:
         return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
-    def joined_tokens(self, left: list[int], right: list[int]) -> list[int]:
-        if not left or not right:
-            return left + right
-        k = 2
+    def join_tokens(self, left: list[int], right: list[int], before: int, after: int) -> list[int] | None:
+        """Joins token rows within one pre-token, of which `before` and `after` bytes are in reach; None if that is too few."""
+        size, k = self.bytes_of, 2
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            window = self.piece(b"".join(self.bytes_of[t] for t in left[a:] + right[:b]), split=False)
+            outside = left[max(0, a - 1) :], right[: b + 1]
+            if sum(len(size[t]) for t in outside[0]) > before or sum(len(size[t]) for t in outside[1]) > after:
+                return None
+            # letters alone, so the library takes them as one pre-token
+            window = self.leaf(b"".join(size[t] for t in left[a:] + right[:b]).decode("ascii"))
             if (a == 0 or self.agree(left[a - 1], window[0])) and (b == len(right) or self.agree(window[-1], right[b])):
+                self.token_joins += 1
                 return left[:a] + window + right[b:]
             k *= 2
 
-    def piece(self, raw: bytes, split: bool = True) -> list[int]:
-        """Tree reduction over the bytes of one pre-token."""
-        if not split or len(raw) <= self.leaf_bytes:
-            return self.merged(raw)
-        half = len(raw) // 2
-        return self.joined_tokens(self.piece(raw[:half]), self.piece(raw[half:]))
-
-    # pre-tokens of one text
-
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """Tree reduction over the characters of a text; start and end of each pre-token."""
-        if len(text) <= self.leaf_chars:
-            return [m.span() for m in self.find(text)]
-        half = len(text) // 2
-        left, right = self.spans(text[:half]), [(s + half, e + half) for s, e in self.spans(text[half:])]
-        keep = len(left)
-        while keep and (left[keep - 1][1] >= half or left[keep - 1][0] + 3 > half):
-            keep -= 1
-        start = left[keep][0] if keep < len(left) else half
-        starts, ahead = {s: i for i, (s, _) in enumerate(right)}, 4
+    # texts
+
+    def _before(self, text: str, start: int, cut: int) -> int:
+        """Last edge between start and cut, or start."""
+        reach = REACH
         while True:
-            stop = right[min(ahead, len(right)) - 1][1] if right else len(text)
-            window = []
-            for m in self.find(text, start, min(len(text), stop + 3)):
-                s, e = m.span()
-                if s >= half and s in starts and s < stop:
-                    return left[:keep] + window + right[starts[s] :]
-                if e >= min(len(text), stop + 3) and e < len(text):
-                    break
-                window.append((s, e))
-            else:
-                if stop + 3 >= len(text):
-                    return left[:keep] + window
-            ahead *= 2
-
-    def chunk(self, text: str) -> list[int]:
-        """Ids of a stretch that is not in the young cache."""
-        if len(text) > self.leaf_bytes:
-            out = []
-            for s, e in self.spans(text):
-                out += self.piece(text[s:e].encode())
-            return out
-        if self.marks:
-            # letters or digits, then marks that begin no contraction: the change is a match edge
-            word = text.rstrip(self.marks)
-            if len(word) < len(text) and word[-1:].isalnum():
-                marks, known = text[len(word) :], self.known.get
-                return (known(word) or self.short(word)) + (known(marks) or self.short(marks))
-        return self.short(text)
-
-    def short(self, text: str) -> list[int]:
-        """By the library, and remembered."""
-        out = self.aged.get(text) or self.base(text)
-        if len(self.known) >= self.cache:
-            self.aged, self.known = self.known, {}
-        self.known[text] = out
-        return out
-
-    def leaf(self, text: str) -> list[str]:
-        """White space with what follows up to the next white space, again and again."""
-        if not text or self.gap(text):
-            return self.chunks(text)
-        first, *rest = text.split(" ")
-        rest = [" " + x for x in rest]
-        return [first, *rest] if first else rest
-
-    def stretches(self, text: str) -> list[str]:
-        """Tree reduction over a text; its parts that are encoded independently of each other.
-
-        A change from other characters to white space is a match edge wherever it
-        stands, so of two neighbours only the last stretch on the left and the
-        first on the right, the window, can be unstable.
-        """
-        if len(text) <= self.leaf_chars:
-            return self.leaf(text)
-        half = len(text) // 2
-        left, right = self.stretches(text[:half]), self.stretches(text[half:])
-        left[-1:] = self.leaf(left[-1] + right[0])
-        left += right[1:]
+            low = max(start, cut - reach)
+            # an edge needs the character before it, and one of the left side after it
+            last = low
+            for m in EDGE.finditer(text, low + 1, cut):
+                if m.start() < cut:
+                    last = m.start()
+            if last > low or low == start:
+                return last
+            reach *= 2
+
+    def _after(self, text: str, cut: int, end: int) -> int:
+        """First edge between cut and end, or end."""
+        m = EDGE.search(text, cut + 1, end)
+        return m.start() if m and m.start() < end else end
+
+    def join(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """Ids of text[start:end] from those of its two sides."""
+        self.joins += 1
+        reach = self.long_run
+        if cut - start > reach and end - cut > reach and LETTERS.match(text, cut - reach, cut + reach).end() == cut + reach:
+            # the first letter in reach may belong to a blank or a contraction before it
+            low, high = cut - reach + 4, LETTERS.match(text, cut, end).end()
+            if (done := self.join_tokens(left, right, cut - low, high - cut - 4)) is not None:
+                return done
+        a, b = self._before(text, start, cut), self._after(text, cut, end)
+        size = self.bytes_of
+        gone, i = len(text[a:cut].encode()), len(left)
+        while gone > 0:
+            i -= 1
+            gone -= len(size[left[i]])
+        here, j = len(text[cut:b].encode()), 0
+        while here > 0:
+            here -= len(size[right[j]])
+            j += 1
+        left[i:] = self.leaf(text[a:b])
+        left += right[j:] if j else right
         return left
 
-    def encode(self, text: str) -> list[int]:
-        out, chunk = [], self.chunk
-        for part in self.stretches(text):
-            out += self.known.get(part) or chunk(part)
-        return out
+    def encode(self, text: str, start: int = 0, end: int | None = None) -> list[int]:
+        end = len(text) if end is None else end
+        if end - start <= self.leaf_chars:
+            return self.leaf(text[start:end])
+        cut = (start + end) // 2
+        return self.join(text, start, cut, end, self.encode(text, start, cut), self.encode(text, cut, end))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @lru_cache(maxsize=4)
@@ -200,7 +164,7 @@ def ranks_from(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def codec_for(path: str, pattern: str) -> Codec:
-    """One a Python worker, so that tasks share what it has met."""
+    """One a Python worker, so that its tasks share it."""
     return Codec(ranks_from(path), pattern)
 
 

@@ -215,13 +215,61 @@ def test_bpe(odd, none):
 
     assert table(bpe.encode_decode(odd, path, P.PATTERN)) == sorted(((d, *brute(t)) for d, t in odd_rows()), key=str)
     assert bpe.encode_decode(none, path, P.PATTERN).count() == 0
-    # trees down to the smallest leaves
-    codec, rng = bpe.Codec(bpe.ranks_from(path), P.PATTERN, 8, 3), random.Random(1)
-    for _ in range(1500):
-        text = "".join(rng.choice("abcé'sS tlre  \n\t\r\x0b\x1c\x85\u2003123#$!?日😀ñ") for _ in range(rng.randint(0, 60)))
-        ids = library.encode_ordinary(text)
-        assert codec.encode(text) == ids and codec.decode(ids) == text.encode()
-        assert [t for a, b in codec.spans(text) for t in codec.piece(text[a:b].encode())] == ids
+    # trees down to the smallest leaves, joined at every second character; runs of letters by their tokens
+    rng, joined, by_tokens = random.Random(1), 0, 0
+    pieces = ["the", " and", "ing'll", "'re", "2024", "  ", "\n", "ation", "x", ".", ",", '"', "日本", "\x85"]
+    for leaf, run in ((4, 4), (7, 8), (16, 64)):
+        codec = bpe.Codec(bpe.ranks_from(path), P.PATTERN, leaf, run)
+        for i in range(900):
+            if i % 3 == 0:
+                text = "".join(rng.choice("abcé'sS tlre  \n\t\r\x0b\x1c\x85\u2003123#$!?日😀ñ") for _ in range(rng.randint(0, 80)))
+            elif i % 3 == 1:
+                text = "".join(rng.choice("etaoinshr'") for _ in range(rng.randint(0, 300)))
+            else:
+                text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 60)))
+            ids = library.encode_ordinary(text)
+            assert codec.encode(text) == ids and codec.decode(ids) == text.encode()
+        joined, by_tokens = joined + codec.joins, by_tokens + codec.token_joins
+    assert joined > 5000 and by_tokens > 0
+    codec = bpe.Codec(bpe.ranks_from(path), P.PATTERN)
+    long = "x" * 100_000 + " " + "".join(rng.choice("etaoinshr") for _ in range(50_000)) + " " + "日本語" * 20_000 + " word, it's" * 5000
+    assert codec.encode(long) == library.encode_ordinary(long) and codec.joins > 50 and codec.token_joins > 0
+
+
+def test_stretches():
+    """Ids of many texts at once are those of each text alone, for either library."""
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from scoreloom.llm import stretches
+
+    json_path, ranks = P.path("byte_bpe_50k.json"), bpe.ranks_from(P.path("byte_bpe_50k.tiktoken"))
+    library = Tokenizer.from_file(json_path)
+    plain = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    rng = random.Random(2)
+    pieces = ["the", " and", " ", " x,", "it'll", "'s", "99", "  ", "\n", "\n\n", " \n", "\n ", "\t", ". ", "日本", "\x85", "\x00", " \x00", "Ünï ", "!?", "<|endoftext|>", "a" * 70]
+    texts = [None, "", " ", "\n", "word", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(1500)), "one two, three.\n" * 3000]
+    for make, alone in ((lambda: token_files.encoder_for.__wrapped__(json_path), lambda t: library.encode(t, add_special_tokens=False).ids), (lambda: stretches.StretchEncoder(plain), plain)):
+        for size in (stretches.SLICE, 40):
+            encoder, got = make(), []
+            old, stretches.SLICE = stretches.SLICE, size
+            try:
+                for _, ids, count in encoder.encoded(pa.array(texts, pa.string())):
+                    got += [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+            finally:
+                stretches.SLICE = old
+            assert got == [list(alone(t or "")) for t in texts]
+
+
+def test_plain_words():
+    """Words that go to the model itself: every letter of the fast path is one to the library, too."""
+    from tokenizers import Tokenizer
+
+    codec, library = token_files.LibraryCodec(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for c in filter(token_files.PLAIN, map(chr, range(33, 0x300))):
+        for text in (c, " " + c, "a" + c + "b", " Z" + c, c * 5):
+            assert codec.word(text) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_secret_scan(spark, odd, none):
@@ -278,10 +326,10 @@ def test_token_files(spark, odd, none):
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     path = common.shared_dir(spark, "t")
-    token_files.write(odd, path, P.path("byte_bpe_50k.json"), P.PATTERN, 3)
+    token_files.write(odd, path, P.path("byte_bpe_50k.json"), 3)
     assert table(token_files.read(spark, path)) == sorted(want, key=str)
     path = common.shared_dir(spark, "t")
-    token_files.write(none, path, P.path("byte_bpe_50k.json"), P.PATTERN)
+    token_files.write(none, path, P.path("byte_bpe_50k.json"))
     assert token_files.read(spark, path).count() == 0
 
 
@@ -299,34 +347,82 @@ def test_segment():
 
 
 def test_packing(odd, none):
-    rows = packing.packed(odd, (64, 128, 256), 4000).collect()
-    count = packing.token_counter()()
-    assert sum(r.size for r in rows) == sum(count(t or "")[0] for _, t in odd_rows())
-    bins = defaultdict(list)
-    for r in rows:
-        bins[r.group, r.bin].append(r)
-    for held in bins.values():
-        used = sum(r.size for r in held)
-        assert {r.used for r in held} == {used} and {r.capacity for r in held} == {min(c for c in (64, 128, 256) if c >= used)}
-        assert sorted(r.place for r in held) == list(range(len(held)))
-    assert packing.packed(none).count() == 0
-    sizes = np.sort(np.random.default_rng(0).integers(1, 4097, 3000))[::-1]
-    number, _ = packing.pack(sizes)
-    used = np.bincount(number, sizes)
-    room = np.array(packing.CAPACITIES)[np.searchsorted(packing.CAPACITIES, used)]
-    assert used.max() <= 4096 and used.sum() / room.sum() > 0.97
-
-
-def test_packing_counts_tokens(odd):
-    """Sizes are those of the vocabulary's own encoder, so no bin holds more tokens than its length."""
     import tiktoken
 
     ranks = bpe.ranks_from(P.path("byte_bpe_50k.tiktoken"))
-    whole = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ["", "日本語の文章です。" * 40, "YWJjZGVmZ2hpamtsbW5vcHFyc3R1dnd4eXo0MTIz" * 20, "some words, and more of them", "Zm9v" * 2000, *[t or "" for _, t in odd_rows()]]
-    count = packing.token_counter()()
-    assert [count(t)[0] for t in texts] == [len(whole.encode_ordinary(t)) + 1 for t in texts]
-    assert sum(r.size for r in packing.packed(odd).collect()) == sum(len(whole.encode_ordinary(t or "")) + 1 for _, t in odd_rows())
+    plain = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    for group_tokens in (4000, 1 << 21):
+        held = common.written(packing.bins(odd, (64, 128, 256), group_tokens), "bins")
+        got = defaultdict(list)
+        for r in held.collect():
+            ids = token_files.unpacked_ids(r.ids).tolist()
+            assert len(ids) == r.used and r.capacity == min(c for c in (64, 128, 256) if c >= r.used)
+            for d, k, s, e in zip(r.doc_ids, r.pieces, r.starts, [*r.starts[1:], r.used]):
+                got[d].append((k, ids[s:e]))
+        want = defaultdict(list)
+        for d, t in odd_rows():
+            ids = [*plain(t or ""), packing.end_id(ranks)]
+            want[d] += [(k // 256, ids[k : k + 256]) for k in range(0, len(ids), 256)]
+        assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+        rows, bins = packing.rows_of(held).collect(), defaultdict(list)
+        assert sum(r.size for r in rows) == sum(len(ids) for x in want.values() for _, ids in x)
+        for r in rows:
+            bins[r.group, r.bin].append(r)
+        for own in bins.values():
+            own.sort(key=lambda r: r.place)
+            assert [r.place for r in own] == list(range(len(own))) and {r.used for r in own} == {sum(r.size for r in own)}
+            assert [r.start for r in own] == [sum(r.size for r in own[:i]) for i in range(len(own))]
+    assert packing.packed(none).count() == 0
+
+
+def test_packing_of_many_copies(spark):
+    """More equal rows than may stay together are dealt over the groups; none is lost."""
+    docs = spark.createDataFrame([(None, "a few words " * 20)] * 300 + [(i, f"text {i} " * 20) for i in range(50)], "doc_id bigint, text string")
+    rows = packing.packed(docs, (64, 128, 256), 2000).collect()
+    assert len(rows) == 350 and len({r.group for r in rows if r.doc_id is None}) > 3
+
+
+def test_packing_against_brute_force():
+    """Costs near the least of all ways to pack, and never over those of one permitted length alone."""
+    capacities = (512, 1024, 2048)
+
+    def priced(sizes, number):
+        return sum(packing.cost(min(c for c in capacities if c >= u)) for u in np.bincount(number, sizes))
+
+    def least(sizes):
+        best = [float("inf")]
+
+        def go(i, used):
+            if i == len(sizes):
+                best[0] = min(best[0], sum(packing.cost(min(c for c in capacities if c >= u)) for u in used))
+                return
+            for b in range(len(used)):
+                if used[b] + sizes[i] <= capacities[-1]:
+                    go(i + 1, [*used[:b], used[b] + sizes[i], *used[b + 1 :]])
+            go(i + 1, [*used, sizes[i]])
+
+        go(0, [])
+        return best[0]
+
+    rng, ratios = np.random.default_rng(0), []
+    for _ in range(60):
+        sizes = np.sort(rng.integers(1, 2049, rng.integers(1, 8)))[::-1]
+        number, at = packing.pack(sizes, capacities)
+        assert all(sorted(at[number == b]) == list(range((number == b).sum())) for b in set(number.tolist()))
+        ratios.append(priced(sizes, number) / least(sizes.tolist()))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.35 and np.mean(ratios) < 1.03
+    for sizes in (np.clip(np.exp(rng.normal(5.5, 1.2, 2000)), 1, 2048).astype(int), rng.integers(1, 200, 3000), rng.integers(1, 2049, 2000)):
+        sizes = np.sort(sizes)[::-1]
+        together = priced(sizes, packing.pack(sizes, capacities)[0])
+        assert all(together <= 1.005 * priced(sizes, packing.pack(sizes, (c, 2048))[0]) for c in capacities)
+
+
+def test_packing_ties():
+    """Equal sizes, whole bins and equal costs have one defined outcome."""
+    assert packing.pack(np.array([4096, 4096, 512, 512]))[0].tolist() == [0, 1, 2, 3]
+    assert packing.pack(np.zeros(0, np.int64))[0].tolist() == []
+    same = np.full(64, 256)
+    assert (packing.pack(same)[0] == packing.pack(same.copy())[0]).all() and np.bincount(packing.pack(same)[0]).max() <= 16
 
 
 def test_quality_model(spark, odd, none):
