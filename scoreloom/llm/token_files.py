@@ -1,7 +1,8 @@
 """Operator 7: token ids in patched frame-of-reference blocks.
 
-Documents are dealt by ranges of doc_id and sorted, so the files in order of
-their part number hold the ids in order of doc_id. A part is a row of segments;
+Documents are encoded where they are read, and their ids, in 16 bits where they
+fit, are written; then they are dealt by ranges of doc_id and sorted, so the files
+in order of their part number hold the ids in order of doc_id. A part is a row of segments;
 a segment holds whole documents and is one row of a Parquet table (written by
 Spark, so that a lost task's attempt leaves nothing behind and any store will
 do): part, seq, the ids and documents of the part before it, and a payload.
@@ -16,15 +17,16 @@ The width of a block is that of its differences at PERCENTILE; larger ones are
 exceptions. Block starts let a reader take single blocks (see Segment.ids).
 
 Rows: null text counts as empty and holds the end id alone; rows with equal
-doc_id stand side by side, ordered by text, and a null doc_id comes first; an
+doc_id stand side by side, ordered by length (null first), then by a hash of the
+text, and may go on in the next part; a null doc_id comes first; an
 empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Codec
+from .stretches import StretchEncoder
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -134,67 +136,93 @@ class Segment:
         return out.reshape(-1)[: max(0, self.n - first * BLOCK)].astype("<u4")
 
 
-class LibraryCodec(Codec):
-    """Ids as the tokenizers library gives them, remembered by stretch.
+#: Words of ASCII and Latin letters, whose class no version of Unicode has changed.
+PLAIN = re.compile(" ?[A-Za-zªµºÀ-ÖØ-öø-ƺ]{1,64}").fullmatch
 
-    The strings of added tokens are cut out first, as the library does; long
-    stretches go to the library whole, short words to its model.
+
+class LibraryCodec:
+    """Ids as the tokenizers library gives them, for the stretches of a StretchEncoder.
+
+    A stretch is cut once more where that is a match edge of the pattern: after
+    a single line feed, and between letters or digits and the marks behind them.
+    Plain words go to the library's model and are remembered, all else to the
+    library as it is.
     """
 
+    #: Marks that begin no contraction.
     marks = ".,;:!?%&#*$|"
-    cache = 900_000
+    most = 1 << 19
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__({}, pattern)
         self.library = Tokenizer.from_file(path)
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
         split = pre_tokenizers.ByteLevel(add_prefix_space=False)
-        letters = {b: chr(b) for b in range(33, 127)}
-        for c in map(chr, (32, *range(128, 0x800))):  # the library's own letters for the bytes, seen one character at a time
-            letters |= dict(zip(c.encode(), split.pre_tokenize_str(c)[0][0]))
-        for c in map(chr, range(0x800, 0x11_0000, 0x40)):
-            if not 0xD800 <= ord(c) < 0xE000 and len(got := split.pre_tokenize_str(c)) == 1 and len(got[0][0]) == len(c.encode()):
-                letters |= dict(zip(c.encode(), got[0][0]))
-        tokenize = self.library.model.tokenize
-
-        def base(text: str) -> bytes:
-            if (text[1:] if text[:1] == " " else text).isalpha():
-                return array("I", [t.id for t in tokenize(text.encode().decode("latin-1").translate(letters))]).tobytes()
-            return self.whole(text)
-
-        self.base = base
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def chunk(self, text: str) -> bytes:
-        if len(text) > self.leaf_bytes:
-            return self.whole(text)
-        if "\n" in text:
-            # before white space there is a match edge, and after a single line feed before other characters
-            if len(parts := self.chunks(text)) > 1:
-                return b"".join([self.known.get(x) or self.chunk(x) for x in parts])
-            if text[0] == "\n" and len(text) > 1 and not text[1].isspace():
-                return (self.known.get("\n") or self.short("\n")) + (self.known.get(text[1:]) or self.chunk(text[1:]))
-        return super().chunk(text)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit integers."""
-        if any(x in text for x in self.special):
-            return self.whole(text)
-        chunk = self.chunk
-        return b"".join([self.known.get(part) or chunk(part) for part in self.stretches(text)])
+        self.letters = {b: chr(b) for b in range(33, 127)}
+        for c in map(chr, (32, *range(128, 0x200))):  # the library's own letters for the bytes, seen one character at a time
+            self.letters |= dict(zip(c.encode(), split.pre_tokenize_str(c)[0][0]))
+        self.known: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def word(self, text: str) -> list[int]:
+        out = self.known.get(text)
+        if out is None:
+            if PLAIN(text):
+                out = [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+            else:
+                out = self.whole(text)
+            if len(text) <= 64:
+                if len(self.known) >= self.most:
+                    self.known = {}
+                self.known[text] = out
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a stretch: no white space but at its start, or line feeds cut off by no rule."""
+        if text[0] == "\n" and len(text) > 1 and not text[1].isspace():
+            return self.word("\n") + self.encode(text[1:])
+        word = text.rstrip(self.marks)
+        if len(word) < len(text) and word[-1:].isalnum() and word[-1:].isascii():
+            return self.word(word) + self.word(text[len(word) :])
+        return self.word(text)
 
 
 @lru_cache(maxsize=4)
-def library_codec(path: str, pattern: str) -> LibraryCodec:
-    return LibraryCodec(path, pattern)
+def encoder_for(path: str) -> StretchEncoder:
+    """One a Python worker, so that its tasks share what it has met."""
+    codec = LibraryCodec(path)
+    return StretchEncoder(codec.encode, codec.whole, codec.special)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids in 16 bits each where they fit, else 32; a first byte says which."""
+    return b"\x02" + ids.astype("<u2").tobytes() if len(ids) == 0 or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
+
+
+def unpacked_ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint32)
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, n_chars, text_key, ids (as packed_ids) with the end id."""
+    given = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(-1)).alias("n_chars"), F.xxhash64("text").alias("text_key"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(vocabulary)
+        for batch in batches:
+            for first, ids, count in encoder.encoded(batch.column("text")):
+                ends, rows = np.cumsum(count).tolist(), batch.slice(first, len(count))
+                raw = [packed_ids(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(raw, pa.binary())], ["doc_id", "n_chars", "text_key", "ids"])
+
+    return given.mapInArrow(run, "doc_id bigint, n_chars int, text_key bigint, ids binary")
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, parts: int | None = None, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, parts: int | None = None, end_id: int = END_ID) -> None:
     """Encodes docs and writes the files at path."""
     spark = docs.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -202,25 +230,28 @@ def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, parts: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, part = library_codec(vocabulary, pattern), TaskContext.get().partitionId()
-        doc_ids, rows, held, seq, before, end = [], [], 0, 0, 0, np.uint32(end_id).tobytes()
+        part = TaskContext.get().partitionId()
+        doc_ids, rows, held, seq, before = [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
-            counts, ids = np.array([len(r) // 4 for r in rows], np.int64), np.frombuffer(b"".join(rows), np.uint32)
+            counts, ids = np.array([len(r) for r in rows], np.int64), np.concatenate(rows)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "ids_before": [before], "n_ids": [held], "payload": pa.array([encode_segment(doc_ids, counts, ids)], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), common.texts_of(batch)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 doc_ids.append(doc_id)
-                rows.append(codec.encode(text) + end)
-                held += len(rows[-1]) // 4
+                rows.append(unpacked_ids(ids.as_py()))
+                held += len(rows[-1])
                 if held >= SEGMENT_IDS:
                     yield segment()
                     before, seq, doc_ids, rows, held = before + held, seq + 1, [], [], 0
         if rows:
             yield segment()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
+    # ids are what is shuffled, not texts; rows with equal or null doc_ids are dealt by the other keys
+    ready = common.written(encoded(docs, vocabulary, end_id), "encoded").withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), "n_chars", "text_key", "row"]
+    dealt = ready.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     segments = dealt.mapInArrow(run, "part bigint, seq bigint, ids_before bigint, n_ids bigint, payload binary")
     segments.write.option("compression", "uncompressed").parquet(path)
 
@@ -251,5 +282,5 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = common.shared_dir(spark, "token-files")
-    write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read(spark, path)
