@@ -1,120 +1,123 @@
 """Operator 8: best-fit packing into bins of several permitted sequence lengths.
 
-Documents are measured in tokens of op4's vocabulary; one longer than the largest capacity is cut
-in pieces of that size and a rest, so nothing is dropped. Pieces are dealt into
-groups by a hash, so many that each holds about GROUP_TOKENS tokens, and each
-group is packed on its own: pieces in falling order of size; each goes to the
-open bin that it leaves least room in; where none has room, the bin size with
-the least cost for it is opened, given the sizes that are still to come.
-Finally each bin is brought down to the smallest permitted length that holds
-its contents, which is what its padding is charged by. Groups are bounded, so
-no task holds the corpus, and with more documents there are more groups.
-
-Cost of a bin of capacity c: c + OVERHEAD, the padding it would end with
-counted in; opening compares costs per token expected to be filled.
+Documents are encoded in op4's vocabulary with an end token; one longer than the
+largest capacity is cut in pieces of that size and a rest, so nothing is dropped.
+Pieces are dealt into groups by a hash, so many that each holds about
+GROUP_TOKENS tokens, and each group is packed on its own: pieces in falling order
+of size; each goes to the open bin that it leaves least room in. Where none has
+room, a bin is opened, of the size whose cost for each token that it will hold is
+least: each permitted size is tried on the pieces still to come, largest that
+fits first. Finally each bin is brought down to the smallest permitted length
+that holds its contents. Groups are bounded, so no task holds the corpus, and
+with more documents there are more groups.
+
+Cost of a bin of capacity c, padding included: c for its tokens, c * c /
+ATTENTION for attention between them, and OVERHEAD for the bin itself. So long
+bins are dear by attention, short ones by overhead and by what doesn't fit.
+
+Bins are rows of a Parquet table: group, bin, capacity, the ids of their pieces
+one after the other (16 bits each where they fit), and of each piece doc_id,
+piece number and start.
 
 Rows: null text counts as empty; an empty text is a piece of its end token
-alone; repeated rows are told apart by a hash of the text and a number, and
-each is packed; a null doc_id is kept as such; an empty table gives an empty
+alone; repeated rows are each packed, and beyond SAME copies they are dealt over
+the groups by row; a null doc_id is kept as such; an empty table gives an empty
 result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Codec, ranks_from
+from .bpe import ranks_from
+from .stretches import StretchEncoder
+from .token_files import packed_ids, unpacked_ids
 
 CAPACITIES = (512, 1024, 2048, 4096)
-OVERHEAD = 16
+OVERHEAD = 32
+ATTENTION = 1 << 14
 GROUP_TOKENS = 1 << 21
+SAME = 64
 
 
-class TokenCounter(Codec):
-    """op4's codec, which keeps counts in place of ids."""
+def cost(capacity: int) -> float:
+    return capacity + capacity * capacity / ATTENTION + OVERHEAD
 
-    marks = ".,;:!?%&#*$|"
-    cache = 900_000
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__(ranks, pattern)
-        base = self.base
-        self.base = lambda text: len(base(text))
-
-    def chunk(self, text: str) -> int:
-        if len(text) <= self.leaf_bytes:
-            return super().chunk(text)
-        if len(text) <= self.leaf_chars:
-            return self.base(text)
-        return sum([len(self.piece(text[s:e].encode())) for s, e in self.spans(text)])
-
-    def count(self, text: str) -> int:
-        known, chunk = self.known.get, self.chunk
-        n = 0
-        for part in self.stretches(text):
-            if (one := known(part)) is None:
-                one, known = chunk(part), self.known.get
-            n += one
-        return n
+def end_id(ranks: dict[bytes, int]) -> int:
+    """The first id that the vocabulary leaves free."""
+    return max(ranks.values()) + 1
 
 
 @lru_cache(maxsize=4)
-def counter_for(path: str, pattern: str) -> TokenCounter:
-    return TokenCounter(ranks_from(path), pattern)
+def encoder_for(path: str, pattern: str) -> tuple[StretchEncoder, int]:
+    """One a Python worker, so that its tasks share what it has met; and the id that ends a document."""
+    import tiktoken
 
+    ranks = ranks_from(path)
+    return StretchEncoder(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary), end_id(ranks)
 
-def token_counter(end: int = 1) -> Callable[[], Callable[[str], tuple]]:
-    """Tokens of a text in op4's vocabulary, and an end token."""
+
+def pieces(docs: DataFrame, largest: int) -> DataFrame:
+    """doc_id, text_key, piece, size, ids: each document's ids and the end id, cut every `largest`."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
-    def make() -> Callable[[str], tuple]:
-        count = counter_for(path, pattern).count
-
-        def one(text: str) -> tuple:
-            return (count(text) + end,)
-
-        return one
-
-    return make
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = encoder_for(path, pattern)
+        for batch in batches:
+            for first, ids, count in encoder.encoded(batch.column("text")):
+                rows, number, size, raw, ends = [], [], [], [], np.cumsum(count).tolist()
+                for i, (a, b) in enumerate(zip([0, *ends], ends)):
+                    own = np.append(ids[a:b], np.uint32(end))
+                    for k in range(0, len(own), largest):
+                        rows.append(first + i)
+                        number.append(k // largest)
+                        size.append(min(largest, len(own) - k))
+                        raw.append(packed_ids(own[k : k + largest]))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "text_key", "piece", "size", "ids"])
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_tokens."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return common.map_rows(keyed, ["doc_id", "text_key"], token_counter(), "n_tokens bigint")
-
-
-def pieces(sizes: DataFrame, largest: int) -> DataFrame:
-    """doc_id, text_key, piece, size: each document cut every `largest` tokens."""
-    count = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / largest)).cast("int")
-    cut = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
-    return cut.select("doc_id", "text_key", "piece", F.least(F.lit(largest), F.col("n_tokens") - F.col("piece") * largest).cast("int").alias("size"))
+    return keyed.mapInArrow(run, "doc_id bigint, text_key bigint, piece int, size int, ids binary")
 
 
 def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and place in the bin of each piece; sizes fall. Bins are numbered as they are opened."""
-    ends = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0]])
+    falling = sizes.tolist()
+    rising = [-s for s in falling]
+    costs = [(c, cost(c)) for c in sorted(capacities)]
     rooms: list[tuple[int, int]] = []  # (room, bin), sorted
     number, at, held = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), []
-    for i, size in enumerate(sizes.tolist()):
+
+    def filled(i: int, capacity: int) -> int:
+        """Tokens in a bin opened for piece i, if it gets the largest pieces to come that fit."""
+        room, j = capacity - falling[i], i
+        while room and (j := bisect_left(rising, -room, j + 1)) < len(rising):
+            room += rising[j]
+        return capacity - room
+
+    for i, size in enumerate(falling):
         k = bisect_left(rooms, (size, -1))
         if k < len(rooms):
             room, b = rooms.pop(k)
         else:
-            # the least cost a token, if what is still to come fills the bin as well as it can
-            later = int(ends[i + 1])
-            room = min((c for c in capacities if c >= size), key=lambda c: ((c + OVERHEAD) / min(c, size + later), -c))
-            b = len(held)
+            # by what the bin will cost once it is brought down to its contents, for each token in it
+            tried = []
+            for c, _ in costs:
+                if c >= size:
+                    full = filled(i, c)
+                    tried.append((next(price for d, price in costs if d >= full) / full, c))
+            room, b = min(tried)[1], len(held)
             held.append(0)
         number[i], at[i] = b, held[b]
         held[b] += 1
@@ -123,27 +126,54 @@ def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[n
     return number, at
 
 
-def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row a piece: doc_id, piece, size, group, bin, place, capacity, used (tokens in the bin)."""
+def bins(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """One row a bin: group, bin, capacity, used (ids in it), ids, and arrays doc_ids, pieces, starts."""
     capacities = tuple(sorted(capacities))
-    cut = common.written(pieces(measured(docs), capacities[-1]), "pieces")
+    cut = common.written(pieces(docs, capacities[-1]), "pieces")
     total = cut.agg(F.sum("size")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    # piece number and hash together spread the pieces of one long text and the copies of one text
-    spread = F.row_number().over(Window.partitionBy("doc_id", "text_key", "piece").orderBy("size"))
-    dealt = cut.withColumn("copy", spread).withColumn("group", F.pmod(F.xxhash64("doc_id", "text_key", "piece", "copy"), F.lit(groups)))
+    keys = ["doc_id", "text_key", "piece"]
+    many = common.written(cut.groupBy("doc_id", "text_key", "piece").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > SAME), "copies")
+    salted = cut.withColumn("row", F.lit(0).cast("bigint"))
+    if groups > 1 and not many.isEmpty():
+        named = many.select(*[F.col(k).alias(f"{k}_") for k in keys])
+        numbered = cut.withColumn("row", F.monotonically_increasing_id())
+        same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_key") == F.col("text_key_")) & (F.col("piece") == F.col("piece_"))
+        salted = numbered.join(named, same, "left").select(*keys, "size", "ids", F.when(F.col("piece_").isNull(), F.lit(0)).otherwise(F.col("row")).alias("row"))
+    dealt = salted.withColumn("group", F.pmod(F.xxhash64(*keys, "row"), F.lit(groups)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         sizes = rows["size"].to_numpy().astype(np.int64)
-        tie = [rows[c].fill_null(-1).to_numpy() for c in ("doc_id", "text_key", "piece", "copy")]
+        tie = [rows[c].fill_null(-1).to_numpy() for c in (*keys, "row")]
         order = np.lexsort([*reversed(tie), -sizes])
         number, at = pack(sizes[order], capacities)
-        used = np.bincount(number, sizes[order]).astype(np.int64)
-        fit = np.array(capacities)[np.searchsorted(capacities, used)]
-        rows = rows.take(pa.array(order))
-        return pa.table({"doc_id": rows["doc_id"], "piece": rows["piece"], "size": rows["size"], "group": rows["group"], "bin": number, "place": at, "capacity": pa.array(fit[number], pa.int32()), "used": pa.array(used[number], pa.int32())})
+        by_bin = np.lexsort([at, number])
+        order, number = order[by_bin], number[by_bin]
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        ends = np.append(first[1:], len(number))
+        doc_ids, piece, raw, held = (rows[c].take(pa.array(order)).to_pylist() for c in ("doc_id", "piece", "ids", "size"))
+        used = np.add.reduceat(np.array(held, np.int64), first)
+        out = {"group": [key[0].as_py()] * len(first), "bin": number[first], "capacity": pa.array(np.array(capacities)[np.searchsorted(capacities, used)], pa.int32()), "used": pa.array(used, pa.int32())}
+        out["ids"] = pa.array([packed_ids(np.concatenate([unpacked_ids(x) for x in raw[a:b]])) for a, b in zip(first, ends)], pa.binary())
+        out["doc_ids"] = pa.array([doc_ids[a:b] for a, b in zip(first, ends)], pa.list_(pa.int64()))
+        out["pieces"] = pa.array([piece[a:b] for a, b in zip(first, ends)], pa.list_(pa.int32()))
+        out["starts"] = pa.array([[0, *np.cumsum(held[a : b - 1]).tolist()] for a, b in zip(first, ends)], pa.list_(pa.int32()))
+        return pa.table(out)
+
+    return dealt.groupBy("group").applyInArrow(run, "group bigint, bin bigint, capacity int, used int, ids binary, doc_ids array<bigint>, pieces array<int>, starts array<int>")
+
+
+def rows_of(packed_bins: DataFrame) -> DataFrame:
+    """One row a piece: doc_id, piece, size, group, bin, place, start, capacity, used, ids_crc32 (of the bin's ids as they are stored)."""
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("used"))
+    each = F.posexplode(F.arrays_zip(F.col("doc_ids"), F.col("pieces"), F.col("starts"), ends.alias("ends"))).alias("place", "x")
+    flat = packed_bins.select("group", "bin", "capacity", "used", F.crc32("ids").alias("ids_crc32"), each)
+    return flat.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.pieces").alias("piece"), (F.col("x.ends") - F.col("x.starts")).alias("size"), "group", "bin", "place", F.col("x.starts").alias("start"), "capacity", "used", "ids_crc32")
+
 
-    return dealt.groupBy("group").applyInArrow(run, "doc_id bigint, piece int, size int, group bigint, bin bigint, place bigint, capacity int, used int")
+def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Writes the bins, and from the written ones gives the rows of rows_of()."""
+    return rows_of(common.written(bins(docs, capacities, group_tokens), "bins"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
