@@ -38,6 +38,17 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names for columns of an operator's own that no column of the table has (Spark doesn't tell case apart)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def long_hash(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 

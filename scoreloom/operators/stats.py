@@ -10,7 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ratio
@@ -112,27 +112,6 @@ def bootstrap_fit(rows: DataFrame, y: str, terms: list[str], by: str, times: int
     return rows.select(by, y, *terms).groupBy(by).applyInPandas(run, f"`{by}` string, term string, value double, low double, high double")
 
 
-def out_of_sample(rows: DataFrame, x: str, y: str, when: str, by: str) -> DataFrame:
-    """R squared of a line fitted on the earlier half of years and tried on the later one, and the other way (3 rows each)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        good = group.dropna().sort_values([when, x, y])
-        middle = good[when].median()
-        parts = {"early": good[good[when] <= middle], "late": good[good[when] > middle]}
-
-        def score(fit: pd.DataFrame, test: pd.DataFrame) -> float | None:
-            if min(len(fit), len(test)) < 3 or fit[x].std(ddof=0) == 0:
-                return None
-            b = float(_slope(fit[x].to_numpy(float), fit[y].to_numpy(float)))
-            guess = fit[y].mean() + b * (test[x] - fit[x].mean())
-            spread = ((test[y] - test[y].mean()) ** 2).sum()
-            return float(1 - ((test[y] - guess) ** 2).sum() / spread) if spread > 0 else None
-
-        return pd.DataFrame({by: [group[by].iloc[0]], "early_to_late": [score(parts["early"], parts["late"])], "late_to_early": [score(parts["late"], parts["early"])]})
-
-    return rows.select(by, x, y, when).groupBy(by).applyInPandas(run, f"`{by}` string, early_to_late double, late_to_early double")
-
-
 def agreement(rows: DataFrame, x: str, y: str, *by: str, threshold: float = 1.0) -> DataFrame:
     """Share on the same side of 0, peaks that are met and peaks that are right, pairs of unlike sign."""
     pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -142,12 +121,6 @@ def agreement(rows: DataFrame, x: str, y: str, *by: str, threshold: float = 1.0)
     return pairs.groupBy(*by).agg(ratio(n(same), F.count(F.lit(1))).alias("same_side"), ratio(n(px & py & same), n(px)).alias("recall"), ratio(n(px & py & same), n(py)).alias("precision"), n(~same).alias("unlike"))
 
 
-def verdict(checks: list[Column], usable: float = 0.8, uncertain: float = 0.5) -> Column:
-    """By the share of checks that hold; NaN and null fail."""
-    held = sum((F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0) for c in checks), F.lit(0)) / len(checks)
-    return F.when(held >= usable, "usable").when(held >= uncertain, "uncertain").otherwise("not usable")
-
-
 def real(x: Column) -> Column:
     """NaN as null, as Spark sorts NaN above all numbers."""
     return F.when(~F.isnan(x), x)
@@ -155,6 +128,7 @@ def real(x: Column) -> Column:
 
 def scale_difficulty(rows: DataFrame, value: str, group: str) -> DataFrame:
     """Minus the z-score on the ensemble's scale (sample deviation), and the band of its mean."""
-    scale = rows.groupBy(group).agg(F.avg(value).alias("m_"), F.stddev_samp(value).alias("s_"), F.count(value).alias("n_"))
-    both = rows.join(F.broadcast(scale), group)
-    return both.withColumn("difficulty", F.when(F.col("s_") > 0, -(F.col(value) - F.col("m_")) / F.col("s_")).otherwise(0.0)).withColumn("band", 1.96 * F.col("s_") / F.sqrt("n_")).drop("m_", "s_", "n_")
+    per = Window.partitionBy(group)
+    spread = F.stddev_samp(value).over(per)
+    difficulty = F.when(spread > 0, -(F.col(value) - F.avg(value).over(per)) / spread).otherwise(0.0)
+    return rows.withColumn("difficulty", difficulty).withColumn("band", 1.96 * spread / F.sqrt(F.count(value).over(per)))

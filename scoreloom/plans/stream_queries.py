@@ -133,20 +133,6 @@ for _kind in ("r", "slope"):
     query(f"N0{7 + (_kind == 'slope')}_bootstrap_{_kind}")(partial(_bootstrap, kind=_kind))
 
 
-@query("N09_N16_bootstrap_fit")
+@query("N09_bootstrap_fit")
 def bootstrap_fit(spark, sf):
     return stats.bootstrap_fit(difficulties(spark, sf), "zb", ["za", "size"], "group")
-
-
-@query("N11_N12_out_of_sample")
-def out_of_sample(spark, sf):
-    return stats.out_of_sample(difficulties(spark, sf), "za", "zb", "year", "group")
-
-
-@query("N13_N14_N22_verdicts", f"""
-WITH a AS (SELECT "group", count(*) FILTER (WHERE (za > 0) = (zb > 0)) / count(*) AS same_side, corr(za, zb) AS r, count(*) AS n FROM {DIFFICULTIES} GROUP BY "group")
-SELECT "group", CASE WHEN (CASE WHEN same_side >= 0.6 THEN 1 ELSE 0 END + CASE WHEN r >= 0.3 THEN 1 ELSE 0 END + CASE WHEN n >= 5 THEN 1 ELSE 0 END) / 3 >= 0.8 THEN 'usable' WHEN (CASE WHEN same_side >= 0.6 THEN 1 ELSE 0 END + CASE WHEN r >= 0.3 THEN 1 ELSE 0 END + CASE WHEN n >= 5 THEN 1 ELSE 0 END) / 3 >= 0.5 THEN 'uncertain' ELSE 'not usable' END AS verdict FROM a""")
-def verdicts(spark, sf):
-    x = difficulties(spark, sf)
-    both = stats.agreement(x, "za", "zb", "group").join(stats.line(x, "za", "zb", "group"), "group")
-    return both.select("group", stats.verdict([F.col("same_side") >= 0.6, stats.real(F.col("r")) >= 0.3, F.col("n") >= 5]).alias("verdict"))

@@ -6,26 +6,20 @@ in an arbitrary stateful operator, as it depends on the order of events.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scoring import ratio
+from ..sources.shared import shared_dir
 
 SAMPLE, RATES, ALPHA = 512, 128, 0.2
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/scoreloom-shared"
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def total_tokens() -> Column:
     """The given total, else prompt and completion."""
     return F.coalesce(F.nullif("given_tokens", F.lit(0)), F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0)))
