@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing, scoring
-from ..sources.adapters import responses, results, table, whole_responses
+from ..sources.adapters import responses, results, table
 from .registry import query
 
 
-@query("F01_F05_parse_answers", """
-SELECT id, CASE m WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'DECLINED' WHEN 3 THEN 'DECLINED' WHEN 4 THEN 'D' WHEN 7 THEN 'E' END AS answer, CASE m WHEN 0 THEN 'r' END AS rationale,
-  CASE m WHEN 2 THEN 'declined_explicit' WHEN 3 THEN 'declined_phrase' WHEN 4 THEN 'regex_fallback' WHEN 5 THEN 'no_parse' WHEN 6 THEN 'empty_response' WHEN 7 THEN 'json_extracted' END AS warning
-FROM (SELECT id, CAST(split_part(id, '-', 1) AS BIGINT) % 8 AS m FROM responses)""")
-def parse_answers(spark, sf):
-    return parsing.parse_answers(responses(spark, sf)).drop("text")
+def _clean(raw: str) -> str:
+    """F03 in SQL."""
+    return rf"""regexp_replace(regexp_replace(trim(regexp_replace({raw}, '^\s+|\s+$', '', 'g'), '`"''“”‘’'), '[\s.!?؛。,…]+$', ''), '^\s+|\s+$', '', 'g')"""
+
+
+def _phrase(value: str) -> str:
+    """F04 in SQL."""
+    return f"trim(regexp_replace(regexp_replace(lower({value}), '[^a-z0-9äöüß ]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("F01_F05_parse_whole_answers")
-def parse_whole_answers(spark, sf):
-    """As F01_F05_parse_answers, over the whole texts."""
-    return parsing.parse_answers(whole_responses(spark, sf)).drop("text")
+_ALIASES = ", ".join(f"'{x}'" for x in parsing.DECLINE_ALIASES)
+_DECLINE = "|".join(f"(?:{x})" for x in parsing.DECLINE_PHRASES)
+#: The parser's steps over the text alone; a letter stands by itself where no letter, mark, digit or underscore is beside it.
+ANSWERS = rf"""
+seen AS (SELECT id, text, list_last(regexp_extract_all(text, '(?im)^\s*(?:final\s*answer|antwort)\s*[:：\-–—]?\s*([^\n]+?)\s*$', 1)) AS line, regexp_extract(text, '\{{[\s\S]*?\}}') AS block FROM responses),
+read AS (SELECT *, CASE WHEN json_valid(text) THEN CASE WHEN json_type(text) = 'OBJECT' THEN text END END AS whole, CASE WHEN block <> '' AND json_valid(block) THEN block END AS part FROM seen),
+raw AS (SELECT *, {_clean("line")} AS f, {_clean("json_extract_string(whole, '$.answer')")} AS w, {_clean("json_extract_string(part, '$.answer')")} AS p,
+               upper(regexp_extract(text, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Ea-e])(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])', 1)) AS letter FROM read),
+tokens AS (SELECT *, {", ".join(f"CASE WHEN upper({c}) IN ('A', 'B', 'C', 'D', 'E') THEN upper({c}) WHEN {_phrase(c)} IN ({_ALIASES}) THEN 'DECLINED' END AS {c}_token" for c in "fwp")} FROM raw),
+steps AS (SELECT *, CASE WHEN regexp_full_match(text, '\s*') THEN 0 WHEN f_token IS NOT NULL THEN 1 WHEN w_token IS NOT NULL THEN 2 WHEN p_token IS NOT NULL THEN 3
+                        WHEN {_phrase("text")} IN ({_ALIASES}) OR regexp_matches(text, '(?i){_DECLINE}') THEN 4 WHEN letter <> '' THEN 5 ELSE 6 END AS step FROM tokens)"""
+
+
+@query("F01_F05_parse_answers", f"""WITH {ANSWERS}
+SELECT id, CASE step WHEN 1 THEN f_token WHEN 2 THEN w_token WHEN 3 THEN p_token WHEN 4 THEN 'DECLINED' WHEN 5 THEN letter END AS answer,
+       CASE step WHEN 2 THEN json_extract_string(whole, '$.reason') WHEN 3 THEN json_extract_string(part, '$.reason') END AS rationale,
+       CASE WHEN step = 0 THEN 'empty_response' WHEN step = 4 THEN 'declined_phrase' WHEN step = 5 THEN 'regex_fallback' WHEN step = 6 THEN 'no_parse'
+            WHEN (CASE step WHEN 1 THEN f_token WHEN 2 THEN w_token ELSE p_token END) = 'DECLINED' THEN 'declined_explicit' WHEN step = 3 THEN 'json_extracted' END AS warning
+FROM steps""")
+def parse_answers(spark, sf):
+    return parsing.parse_answers(responses(spark, sf)).drop("text")
 
 
 @query("F06_message_text", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'a' || chr(10) || '{\"answer\": \"A\"}' WHEN 2 THEN 'x' ELSE '' END AS text FROM events")

@@ -100,24 +100,17 @@ TAILS = ('{"answer": "B", "reason": "r"}', "Final answer: C.", "Antwort: DECLINE
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text: assistant turns with one of TAILS on a line of its own; some are the tail alone."""
+    """id, text: each assistant turn as it is, with one of TAILS on a line of its own; and that ending alone."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     tail = F.get(F.array(*map(F.lit, TAILS)), (F.col("conv_id") % 8).cast("int"))
-    text = F.when((F.col("conv_id") % 8).isin(0, 6), tail).otherwise(F.concat(F.regexp_replace(F.substring("text", 1, 40), r"(?i)\b[a-e]\b", "_"), F.lit("\n"), tail))
-    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.alias("text"))
-
-
-def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text: each assistant turn as it is, with one of TAILS on a line of its own."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    tail = F.get(F.array(*map(F.lit, TAILS)), (F.col("conv_id") % 8).cast("int"))
-    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws("\n", "text", tail).alias("text"))
+    name = F.concat_ws("-", "conv_id", "turn")
+    both = F.array(F.struct(name.alias("id"), F.concat_ws("\n", "text", tail).alias("text")), F.struct(F.concat(name, F.lit("-tail")).alias("id"), tail.alias("text")))
+    return turns.select(F.explode(both).alias("x")).select("x.id", "x.text")
 
 
 RESPONSES_SQL = """
-SELECT conv_id || '-' || turn AS id,
-       CASE WHEN conv_id % 8 IN (0, 6) THEN tail ELSE regexp_replace(substr(text, 1, 40), '(?i)\\b[a-e]\\b', '_', 'g') || chr(10) || tail END AS text
-FROM (SELECT *, ['{"answer": "B", "reason": "r"}', 'Final answer: C.', 'Antwort: DECLINED', 'I choose not to answer.', 'the answer is d.', 'xyz 123', '   ', 'so {"answer": "e"} done'][conv_id % 8 + 1] AS tail
+SELECT conv_id || '-' || turn || suffix AS id, CASE suffix WHEN '' THEN coalesce(text || chr(10), '') || tail ELSE tail END AS text
+FROM (SELECT *, ['{"answer": "B", "reason": "r"}', 'Final answer: C.', 'Antwort: DECLINED', 'I choose not to answer.', 'the answer is d.', 'xyz 123', '   ', 'so {"answer": "e"} done'][conv_id % 8 + 1] AS tail, unnest(['', '-tail']) AS suffix
       FROM conversations WHERE role = 'assistant')
 """
 

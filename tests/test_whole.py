@@ -50,9 +50,10 @@ def test_whole_answers(spark):
 
     turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").collect()
     want = {f"{r.conv_id}-{r.turn}": parse((r.text or "") + "\n" + adapters.TAILS[r.conv_id % 8]) for r in turns}
-    got = {r.id: (r.answer, r.rationale, r.warning) for r in catalog.QUERIES["F01_F05_parse_whole_answers"](spark, SF).collect()}
+    want |= {f"{r.conv_id}-{r.turn}-tail": parse(adapters.TAILS[r.conv_id % 8]) for r in turns}
+    got = {r.id: (r.answer, r.rationale, r.warning) for r in catalog.QUERIES["F01_F05_parse_answers"](spark, SF).collect()}
     assert got == want
-    texts = {r.id: r.text for r in adapters.whole_responses(spark, SF).collect()}
+    texts = {r.id: r.text for r in adapters.responses(spark, SF).collect()}
     assert all(texts[f"{r.conv_id}-{r.turn}"].startswith(r.text or "") for r in turns)
 
 
