@@ -24,9 +24,9 @@ _SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}
 #: A stretch's first character where it isn't a blank.
 _CUT = "\x00"
 #: Stretches and ids remembered; over either, all are forgotten.
-MOST, MOST_IDS = 3 << 19, 1 << 24
+MOST, MOST_IDS = 1 << 20, 1 << 23
 #: Bytes of text that are worked on at once; a longer text is cut.
-SLICE = 1 << 24
+SLICE = 1 << 23
 _edge = re.compile(r"(?<=[!-~]) (?=[!-~])").search
 
 

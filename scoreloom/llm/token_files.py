@@ -1,8 +1,8 @@
 """Operator 7: token ids in patched frame-of-reference blocks.
 
-Documents are encoded where they are read, and their ids, in 16 bits where they
-fit, are written; then they are dealt by ranges of doc_id and sorted, so the files
-in order of their part number hold the ids in order of doc_id. A part is a row of segments;
+Documents are encoded where they are read and dealt, as ids in 16 bits where they
+fit, by ranges of doc_id (quantiles of the column), then sorted, so the files in
+order of their part number hold the ids in order of doc_id. A part is a row of segments;
 a segment holds whole documents and is one row of a Parquet table (written by
 Spark, so that a lost task's attempt leaves nothing behind and any store will
 do): part, seq, the ids and documents of the part before it, and a payload.
@@ -18,7 +18,8 @@ exceptions. Block starts let a reader take single blocks (see Segment.ids).
 
 Rows: null text counts as empty and holds the end id alone; rows with equal
 doc_id stand side by side, ordered by length (null first), then by a hash of the
-text, and may go on in the next part; a null doc_id comes first; an
+text; one that fills several parts is dealt over them by that hash, and ordered so
+in each; a null doc_id comes first; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -42,6 +43,8 @@ BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 20
 END_ID = 0
+#: Stands for a null doc_id in the order of parts.
+NONE = -(1 << 63)
 
 
 def bits(x: np.ndarray) -> np.ndarray:
@@ -207,19 +210,37 @@ def unpacked_ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint32)
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_chars, text_key, ids (as packed_ids) with the end id."""
+def bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Last doc_id of each part but the last, about equal rows in each; one value a part comes to the driver."""
+    if parts < 2:
+        return np.zeros(0, np.int64)
+    shares = [i / parts for i in range(1, parts)]
+    got = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NONE)), shares, max(10_000, 20 * parts))).first()[0]
+    return np.array(got or [], np.int64)
+
+
+def part_of(ids: np.ndarray, keys: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Part of each row. A doc_id that fills several parts is dealt over them by the key."""
+    low, high = np.searchsorted(last, ids, "left"), np.searchsorted(last, ids, "right")
+    share = keys.view(np.uint64).astype(np.float64) / 2.0**64
+    return low + np.minimum(np.maximum(high - low - 1, 0), ((high - low) * share).astype(np.int64))
+
+
+def encoded(docs: DataFrame, vocabulary: str, last: np.ndarray, end_id: int = END_ID) -> DataFrame:
+    """part, doc_id, n_chars, text_key, ids (as packed_ids) with the end id."""
     given = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(-1)).alias("n_chars"), F.xxhash64("text").alias("text_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocabulary)
         for batch in batches:
+            ids, keys = batch.column("doc_id").fill_null(NONE), batch.column("text_key")
+            part = pa.array(part_of(ids.to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False), last), pa.int32())
             for first, ids, count in encoder.encoded(batch.column("text")):
                 ends, rows = np.cumsum(count).tolist(), batch.slice(first, len(count))
                 raw = [packed_ids(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(raw, pa.binary())], ["doc_id", "n_chars", "text_key", "ids"])
+                yield pa.RecordBatch.from_arrays([part.slice(first, len(count)), *rows.columns[:3], pa.array(raw, pa.binary())], ["part", "doc_id", "n_chars", "text_key", "ids"])
 
-    return given.mapInArrow(run, "doc_id bigint, n_chars int, text_key bigint, ids binary")
+    return given.mapInArrow(run, "part int, doc_id bigint, n_chars int, text_key bigint, ids binary")
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, parts: int | None = None, end_id: int = END_ID) -> None:
@@ -228,30 +249,28 @@ def write(docs: DataFrame, path: str, vocabulary: str, parts: int | None = None,
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        doc_ids, rows, held, seq, before = [], [], 0, 0, 0
+        part, doc_ids, rows, held, seq, before = None, [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
             counts, ids = np.array([len(r) for r in rows], np.int64), np.concatenate(rows)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "ids_before": [before], "n_ids": [held], "payload": pa.array([encode_segment(doc_ids, counts, ids)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": [seq], "ids_before": [before], "n_ids": [held], "payload": pa.array([encode_segment(doc_ids, counts, ids)], pa.binary())})
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for now, doc_id, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+                if now != part or held >= SEGMENT_IDS:
+                    if rows:
+                        yield segment()
+                    before, seq = (before + held, seq + 1) if now == part else (0, 0)
+                    part, doc_ids, rows, held = now, [], [], 0
                 doc_ids.append(doc_id)
                 rows.append(unpacked_ids(ids.as_py()))
                 held += len(rows[-1])
-                if held >= SEGMENT_IDS:
-                    yield segment()
-                    before, seq, doc_ids, rows, held = before + held, seq + 1, [], [], 0
         if rows:
             yield segment()
 
-    # ids are what is shuffled, not texts; rows with equal or null doc_ids are dealt by the other keys
-    ready = common.written(encoded(docs, vocabulary, end_id), "encoded").withColumn("row", F.monotonically_increasing_id())
-    order = [F.col("doc_id").asc_nulls_first(), "n_chars", "text_key", "row"]
-    dealt = ready.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    # ids are what is shuffled, not texts, and each text is encoded once
+    order = ["part", F.col("doc_id").asc_nulls_first(), "n_chars", "text_key"]
+    dealt = encoded(docs, vocabulary, bounds(docs, parts), end_id).repartitionById(parts, "part").sortWithinPartitions(*order).select("part", "doc_id", "ids")
     segments = dealt.mapInArrow(run, "part bigint, seq bigint, ids_before bigint, n_ids bigint, payload binary")
     segments.write.option("compression", "uncompressed").parquet(path)
 
