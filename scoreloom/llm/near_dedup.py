@@ -2,10 +2,10 @@
 
 Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit
 blocks, so each distinct fingerprint goes to four buckets, and any link is seen
-in one of them. A bucket over CAP rows is dealt anew by three of six equal
-bytes of the other 48 bits (at most three differ), and what is still over CAP
-is cut in chunks whose pairs are searched one by one; no row is dropped and no
-task holds more than 2 * CAP rows of a bucket.
+in one of them; with more fingerprints buckets are by two of five blocks, then by
+three of six. Rows of a bucket over CAP are dealt anew by five of eight blocks,
+and what is still over CAP is cut in chunks whose pairs are searched one by one;
+no row is dropped and no task holds more than 2 * CAP rows of a bucket.
 
 In a bucket rows are sorted by Gray rank, which sets codes with few different
 bits side by side. FAN rows make a leaf node, FAN nodes the next, and a node
@@ -121,21 +121,37 @@ def _split_hot(rows: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     return both.where("n is null").drop("n"), both.where("n is not null")
 
 
-def bucketed(distinct: DataFrame, cap: int = CAP) -> DataFrame:
-    """kind, g, part, fp: rows to be searched with each other are those with equal kind, g and part."""
-    blocks = F.array(*[F.lit(b << 16).bitwiseOR(_part(F.col("fp"), 16 * b, 16)) for b in range(4)])
-    rows = common.written(distinct.select("fp", F.explode(blocks).alias("g")), "blocks")
-    cold, hot = _split_hot(rows, cap)
-    # the 48 bits beside the block that is equal, as six bytes
-    block = F.shiftright("g", 16)
-    low = F.expr("shiftleft(1L, cast(16 * shiftright(g, 16) as int)) - 1")
-    rest = F.col("fp").bitwiseAND(low).bitwiseOR(F.expr("CASE WHEN shiftright(g, 16) = 3 THEN 0L ELSE shiftleft(shiftrightunsigned(fp, cast(16 * shiftright(g, 16) + 16 as int)), cast(16 * shiftright(g, 16) as int)) END"))
+def blocks(parts: int, equal: int) -> list[list[tuple[int, int]]]:
+    """Choices of `equal` of so many near equal blocks of 64 bits, each block as (first bit, bits)."""
+    edges = [64 * i // parts for i in range(parts + 1)]
+    return [[(edges[i], edges[i + 1] - edges[i]) for i in chosen] for chosen in combinations(range(parts), equal)]
+
+
+def _keys(fp: Column, parts: int, equal: int) -> Column:
+    """An array of bucket keys. Codes that differ in at most parts - equal bits share one at least."""
     keys = []
-    for i, (a, b, c) in enumerate(combinations(range(6), 3)):
-        value = F.shiftleft(_part(F.col("rest"), 8 * a, 8), 16).bitwiseOR(F.shiftleft(_part(F.col("rest"), 8 * b, 8), 8)).bitwiseOR(_part(F.col("rest"), 8 * c, 8))
-        keys.append(F.shiftleft("g", 29).bitwiseOR(F.lit(i << 24)).bitwiseOR(value))
-    deeper = hot.select("fp", "g", rest.alias("rest")).select("fp", F.explode(F.array(*keys)).alias("g"))
-    cool, dense = _split_hot(common.written(deeper, "bytes"), cap)
+    for i, chosen in enumerate(blocks(parts, equal)):
+        key, width = F.lit(i).cast("bigint"), 0
+        for shift, bits in chosen:
+            key, width = F.shiftleft(key, bits).bitwiseOR(_part(fp, shift, bits)), width + bits
+        assert width + len(blocks(parts, equal)).bit_length() < 64
+        keys.append(key)
+    return F.array(*keys)
+
+
+def bucketed(distinct: DataFrame, cap: int = CAP, distance: int = DISTANCE) -> DataFrame:
+    """kind, g, part, fp: rows to be searched with each other are those with equal kind, g and part.
+
+    Buckets by one of four blocks hold CAP rows up to some 65 million fingerprints, by two of
+    five up to some 10**11, by three of six beyond. Rows of a larger bucket are dealt anew by five
+    of eight, and what is still larger is cut in chunks whose pairs are searched one by one.
+    """
+    n = distinct.count()
+    equal = 1 if n <= cap << 15 else 2 if n <= cap << 25 else 3
+    rows = common.written(distinct.select("fp", F.explode(_keys(F.col("fp"), equal + distance, equal)).alias("g")), "blocks")
+    cold, hot = _split_hot(rows, cap)
+    deeper = hot.select("fp").distinct().select("fp", F.explode(_keys(F.col("fp"), 5 + distance, 5)).alias("g"))
+    cool, dense = _split_hot(common.written(deeper, "deeper-blocks"), cap)
     chunks = F.ceil(F.col("n") / cap).cast("int")
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = dense.withColumn("chunks", chunks).withColumn("own", chunk).select("fp", "g", "chunks", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
@@ -250,7 +266,7 @@ def edges(distinct: DataFrame, cap: int = CAP, distance: int = DISTANCE) -> Data
             yield out(rows)
 
     place = ["kind", "g", "part"]
-    dealt = bucketed(distinct, cap).repartition(*place).sortWithinPartitions(*place, gray_rank(F.col("fp")))
+    dealt = bucketed(distinct, cap, distance).repartition(*place).sortWithinPartitions(*place, gray_rank(F.col("fp")))
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
@@ -377,11 +393,11 @@ def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SE
 # components
 
 
-def stars(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """u, v of each node but the roots: v is the smallest node of its component."""
+def stars(links: DataFrame) -> DataFrame:
+    """u, v of each node but the roots: v is the smallest node of its component. As many rounds as it takes."""
     ends = lambda df: df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, seen = common.written(ends(links), "edges"), None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             return now
@@ -394,17 +410,16 @@ def stars(links: DataFrame, rounds: int = 40) -> DataFrame:
         joined_ = large.join(least, "u")
         small = joined_.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = common.written(ends(small), "small-star")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def components(marked: DataFrame, cap: int = CAP, links: DataFrame | None = None) -> DataFrame:
-    """fp, component_id of each distinct fingerprint. marked: doc_id, fp; links: u, v, if not those of edges()."""
+    """fp, root, component_id of each distinct fingerprint. marked: doc_id, fp; links: u, v, if not those of edges()."""
     distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     roots = stars(edges(distinct.select("fp"), cap) if links is None else links)
     named = distinct.join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
     named = common.written(named.select("fp", "first_id", "root"), "rooted")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, cap: int = CAP) -> DataFrame:
@@ -419,6 +434,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, cap: int = CAP, similarity
     With a similarity, links are the pairs whose shingle sets have it or more, not those of near fingerprints.
     """
     names = docs.columns
+    mark, keep_id, keep_text, first = common.free_names(names, "text_key", "keep_id", "keep_text", "first")
     key = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     if similarity is None:
         marked, links = common.written(fingerprints(key, ["doc_id", "text_key"], shingle), "marked"), None
@@ -426,14 +442,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, cap: int = CAP, similarity
         marked = common.written(shingle_sets(key, ["doc_id", "text_key"], shingle), "marked")
         links = similar_edges(key, marked, shingle, min(cap, SET_CAP), similarity)
     found = marked.select("doc_id", "text_key", "fp").join(components(marked, cap, links), "fp")
-    # components whose doc_ids are all null are told apart by fingerprint
-    lone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    least = found.groupBy("component_id", lone.alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
-    kept = least.select(F.col("best.doc_id").alias("own_keep_id_"), F.col("best.text_key").alias("own_keep_text_"))
-    mark = "_".join(["text_key", *names])[:120] + "_"
-    rows = docs.withColumn(mark, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("own_keep_id_")) & (F.col(mark) == F.col("own_keep_text_")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy("text"))
-    return rows.withColumn("own_first_", first).where("own_first_ = 1").select(*names)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    kept = least.select(F.col("best.doc_id").alias(keep_id), F.col("best.text_key").alias(keep_text))
+    rows = docs.withColumn(mark, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(mark) == F.col(keep_text)), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy("text"))
+    return rows.withColumn(first, place).where(F.col(first) == 1).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
