@@ -14,7 +14,7 @@ driver; scoring reads every row.
 Rows: null text counts as empty; every row gets a score, repeated rows each
 their own; without labels, or with labels of one kind, the score is the share
 of label 1 (one half without any); a null doc_id is not held out and never
-fitted; an empty table gives an empty result; columns other than doc_id and
+fitted; of rows with one doc_id and different texts one is fitted; an empty table gives an empty result; columns other than doc_id and
 text are never inputs.
 """
 
@@ -161,33 +161,44 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_FIT_ROWS) -> Mode
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([features(t) for t in common.texts_of(batch)], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     # the sample has at most `limit` rows of two numbers, so it may go to every task
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id bigint, quality int, x array<double>").toArrow()
+    sample = common.written(sample, "labels")
+    given = docs.select("doc_id", "text")
+    # of rows with one doc_id, the text with the least hash, so that no more rows than labels come to the driver
+    one = given.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("text_key"))
+    wanted = sample.join(common.written(one, "labelled"), "doc_id")
+    found = given.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "text_key"]).select("doc_id", "quality", "text")
+    rows = found.mapInArrow(run, "doc_id bigint, quality int, x array<double>").groupBy("doc_id", "quality").agg(F.first("x").alias("x")).toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py(), rows["quality"][i].as_py(), rows["x"][i].as_py()))
     x = np.array([rows["x"][i].as_py() for i in order], float).reshape(len(order), len(FEATURES))
     return fit(x, np.array([rows["quality"][i].as_py() for i in order], float))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, and score."""
+def scored(docs: DataFrame, model: Model, keep: list[str], name: str) -> DataFrame:
+    """The columns in keep, and the score under this name."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    names = list(dict.fromkeys([*keep, "text"]))
+    place = [names.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t) for t in common.texts_of(batch)], float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(x))], [*keep, "own_score_"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in place), pa.array(model.score(x))], [*keep, name])
 
-    given = docs.select(*dict.fromkeys([*keep, "text"]))
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields] + ["own_score_ double"])
+    given = docs.select(*[F.col(f"`{c}`") for c in names])
+    shape = StructType([*(given.schema[c] for c in keep), StructField(name, DoubleType())])
     return given.mapInArrow(run, shape)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    return scored(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("own_score_").alias("score"), (F.col("own_score_") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, model, ["doc_id"], "score").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least `least`, with all their columns."""
-    return scored(docs, model, docs.columns).where(F.col("own_score_") >= least).select(*docs.columns)
+    (name,) = common.free_names(docs.columns, "score")
+    return scored(docs, model, docs.columns, name).where(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
