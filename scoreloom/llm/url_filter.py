@@ -4,8 +4,8 @@ A rule is a regular expression over host and path with the literal tokens that
 any match must hold whole. The index has each rule once, under that of its
 tokens which the URLs hold least often; a URL's tokens fetch the candidate
 rules, and only their expressions run. Rules without a token are candidates
-everywhere. All of it is SQL expressions: the index is a literal map, so no
-row is shuffled; the number of rules is bounded by MAX_RULES, checked.
+everywhere. All of it is SQL expressions: up to MAX_RULES rules the index is a
+literal map, and no row is shuffled; more rules are a table, joined by token.
 
 Site rules (host and path prefix, allow or block, the longest wins) decide
 first; where none fits, a URL that a pattern of BLOCK_PATTERNS fits is blocked
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Rules that a plan may hold as literals.
 MAX_RULES = 2000
 
 #: The site rules, (verdict, host, path prefix).
@@ -63,10 +64,7 @@ def site_rule(verdict: str, host: str, path: str) -> Rule:
 
 
 def rules_of(sites=SITE_RULES, patterns=BLOCK_PATTERNS) -> list[Rule]:
-    rules = [site_rule(*x) for x in sites] + [Rule(p, "block", p, tuple(t), False) for p, t in patterns]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit a literal index")
-    return rules
+    return [site_rule(*x) for x in sites] + [Rule(p, "block", p, tuple(t), False) for p, t in patterns]
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -99,54 +97,84 @@ def index_of(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[
     return by, [i for i, r in enumerate(rules) if not r.tokens]
 
 
-def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, patterns (names of the block patterns that fit)."""
+def chosen(parts: DataFrame, longest: Column, patterns: Column) -> DataFrame:
+    """longest: (n, name, verdict) of the site rule that decides, or null; patterns: names of the block patterns that fit."""
+    named = parts.withColumn("longest", longest).withColumn("patterns", patterns)
+    verdict = F.when(F.col("longest").isNotNull(), F.col("longest.verdict")).when(F.size("patterns") > 0, "block").otherwise("allow")
+    return named.select("page_id", "host", "path", F.col("longest.name").alias("rule"), verdict.alias("verdict"), "patterns")
+
+
+def judge(pages: DataFrame, rules: list[Rule] | None = None, most: int = MAX_RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, patterns (names of the block patterns that fit).
+
+    Up to `most` rules are a literal index in the plan; more are a table that is joined by token.
+    """
     rules = rules_of() if rules is None else rules
     parts = with_parts(pages)
+    none = F.array().cast("array<string>")
+    if not rules:
+        return chosen(parts, F.lit(None).cast("struct<n:int,name:string,verdict:string>"), none)
+    if len(rules) > most:
+        return judge_by_table(parts, rules)
     by, rest = index_of(rules, token_counts(parts, rules))
     numbers = lambda xs: F.array(*map(F.lit, xs)).cast("array<int>")
-    place = F.concat("host", "path")
     fetched = numbers(rest)
     if by:
         index = F.create_map(*[c for t, xs in sorted(by.items()) for c in (F.lit(t), numbers(xs))])
         fetched = F.concat(F.flatten(F.transform(F.array_intersect(F.col("tokens"), F.map_keys(index)), lambda t: F.element_at(index, t))), numbers(rest))
+
     def fit(x: Column) -> Column:
         out = F.when(x.isNull(), False)
         for i, r in enumerate(rules):
             out = out.when(x == i, F.col("place").rlike(r.pattern))
         return out.otherwise(False)
 
-    names = F.array(*[F.lit(r.name) for r in rules])
-    site, verdicts = numbers([i for i, r in enumerate(rules) if r.site]), F.array(*[F.lit(r.verdict) for r in rules])
-    if not rules:
-        return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.array().cast("array<string>").alias("patterns"))
-    hits = parts.withColumn("place", place).withColumn("tokens", tokens_of(F.col("place"))).withColumn("hits", F.filter(fetched, fit))
-    longest = F.array_max(F.transform(F.filter("hits", lambda x: F.array_contains(site, x)), lambda x: F.struct(F.length(F.get(names, x)).alias("n"), x.alias("number"))))
-    chosen = hits.withColumn("chosen", longest["number"]).withColumn("patterns", F.transform(F.filter("hits", lambda x: ~F.array_contains(site, x)), lambda x: F.get(names, x)))
-    verdict = F.when(F.col("chosen").isNotNull(), F.get(verdicts, F.col("chosen"))).when(F.size("patterns") > 0, "block").otherwise("allow")
-    return chosen.select("page_id", "host", "path", F.get(names, F.col("chosen")).alias("rule"), verdict.alias("verdict"), "patterns")
+    names, verdicts = F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(r.verdict) for r in rules])
+    site = numbers([i for i, r in enumerate(rules) if r.site])
+    hits = parts.withColumn("place", F.concat("host", "path")).withColumn("tokens", tokens_of(F.col("place"))).withColumn("hits", F.filter(fetched, fit))
+    of_site = F.filter("hits", lambda x: F.array_contains(site, x))
+    longest = F.array_max(F.transform(of_site, lambda x: F.struct(F.length(F.get(names, x)).alias("n"), F.get(names, x).alias("name"), F.get(verdicts, x).alias("verdict"))))
+    return chosen(hits, longest, F.transform(F.filter("hits", lambda x: ~F.array_contains(site, x)), lambda x: F.get(names, x)))
+
+
+def judge_by_table(parts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """As judge(), for any number of rules: distinct places meet the rules by token, and only those run expressions."""
+    spark = parts.sparkSession
+    every = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.site, list(r.tokens)) for i, r in enumerate(rules)], "number int, name string, verdict string, pattern string, site boolean, tokens array<string>")
+    places = parts.select("host", "path").distinct()
+    held = places.select("host", "path", F.explode(tokens_of(F.concat("host", "path"))).alias("token"))
+    wanted = every.select("number", F.explode("tokens").alias("token"))
+    counts = held.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(counts, "token", "left").groupBy("number").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
+    index = every.drop("tokens").join(rarest.select("number", F.col("least.token").alias("token")), "number", "left")
+    bare = sum(not r.tokens for r in rules)
+    met = held.join(index.where("token is not null"), "token").drop("token")
+    if bare:
+        # rules without a token are candidates everywhere, each place with all of them
+        free = index.where("token is null").agg(F.collect_list(F.struct("number", "name", "verdict", "pattern", "site")).alias("all")).first()["all"]
+        loose = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("number", "name", "verdict", "pattern", "site")]) for r in sorted(free)])
+        met = met.unionByName(places.withColumn("x", F.explode(loose)).select("host", "path", "x.*"))
+    hits = met.where(F.rlike(F.concat("host", "path"), F.col("pattern")))
+    longest = F.max(F.when(F.col("site"), F.struct(F.length("name").alias("n"), "name", "verdict")))
+    patterns = F.array_sort(F.collect_set(F.when(~F.col("site"), F.struct("number", "name"))))
+    best = hits.groupBy(F.col("host").alias("h_"), F.col("path").alias("p_")).agg(longest.alias("l_"), F.transform(patterns, lambda x: x["name"]).alias("fit_"))
+    both = parts.join(best, (F.col("host") == F.col("h_")) & (F.col("path") == F.col("p_")), "left")
+    return chosen(both, F.col("l_"), F.coalesce("fit_", F.array().cast("array<string>")))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages")).drop("patterns")
 
 
-def _sql() -> str:
-    rules = rules_of()
-    sites = ", ".join(f"('{r.name}', '{r.verdict}', '{r.pattern}')" for r in rules if r.site)
-    method = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in rules if not r.site)
-    return rf"""
+OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
   FROM pages),
-r(rule, verdict, pattern) AS (VALUES {sites}),
+r(rule, verdict, pattern) AS (VALUES ('org/', 'allow', '^(?:[^/]*\.)?org/'), ('example.org/es/', 'block', '^(?:[^/]*\.)?example\.org/es/'), ('example.org/en/1', 'block', '^(?:[^/]*\.)?example\.org/en/1'), ('com/fr/', 'allow', '^(?:[^/]*\.)?com/fr/'), ('com/de/', 'block', '^(?:[^/]*\.)?com/de/')),
 m AS (SELECT p.page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
       FROM p JOIN r ON regexp_matches(p.host || p.path, r.pattern) GROUP BY p.page_id)
 SELECT p.page_id, p.host, p.path, m.rule,
-       CASE WHEN m.rule IS NOT NULL THEN m.verdict WHEN {method} THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN m.rule IS NOT NULL THEN m.verdict WHEN regexp_matches(host || path, '(^|[./-])(ads?|adserver|doubleclick)[0-9]*\.') OR regexp_matches(host || path, '/(wp-)?login(\.[a-z]+)?$') OR regexp_matches(host || path, '(^|[./-])casino([./-]|$)') OR regexp_matches(host || path, '(^|[./-])porn([./-]|$)') OR regexp_matches(host || path, '/cart/checkout([/.]|$)') OR regexp_matches(host || path, '/cgi-bin/') THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN m USING (page_id)
 """
-
-
-OP10_SQL = _sql()
