@@ -86,6 +86,56 @@ def test_substring_dedup_in_batches(spark):
     assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(frame(again), index, frame(first + second + again)).collect()} == {5: 50, 6: 0}
 
 
+def brute_repeats(rows, window=35):
+    texts = [words(t) for _, t in rows]
+    seen = Counter(b" ".join(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
+    out = []
+    for (doc_id, _), w in zip(rows, texts):
+        gone = {j for i in range(len(w) - window + 1) if seen[b" ".join(w[i : i + window])] > 1 for j in range(i, i + window)}
+        out.append((doc_id, len(w), len(gone)))
+    return sorted(out, key=str)
+
+
+def test_substring_dedup_verifies(spark):
+    """Words that a polynomial hash takes for each other, and texts with null ids that 32 bits take for each other."""
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    some = lambda seed, n: " ".join(f"q{random.Random(seed * 1000 + i).randrange(5000)}" for i in range(n))
+    tail = some(1, 34)
+    rows = [(1, f"{thue} {tail}"), (2, f"{other} {tail}"), (3, f"{thue} {tail} {some(2, 5)}"), *((None, some(s, n)) for s, n in ((3, 60), (4, 36), (5, 50), (3, 60), (3, 60))), (4, some(3, 60)), (5, some(6, 20) + " " + some(4, 36))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for batches in (1, 3):
+        index = substring_dedup.WindowIndex(spark, common.shared_dir(spark, "t"), 4)
+        got = substring_dedup.dedup(docs, index, batches=batches)
+        assert table(got.select("doc_id", "n_words", "n_removed")) == brute_repeats(rows)
+        assert len(index.runs) == min(batches, 2)
+        names = list(index.names)
+        index.close()
+        assert names and not {t.name for t in spark.catalog.listTables()} & set(names)
+
+
+def test_substring_dedup_of_long_texts(spark, monkeypatch):
+    """Texts that are worked on in pieces give what they give whole."""
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(200)}" for _ in range(n))
+    passages = [some(rng.randint(30, 90)) for _ in range(6)]
+    texts = [" \n".join(x for _ in range(8) for x in (some(rng.randint(0, 60)), rng.choice(passages))) for _ in range(12)]
+    rows = [*enumerate(texts), (50, "w " * 400), (51, " " * 600 + passages[0] + "\t" * 700)]
+    for size in (200, 1 << 20):
+        monkeypatch.setattr(substring_dedup, "SLICE", size)
+        for text in (r[1].encode() for r in rows):
+            whole, spans = substring_dedup.Words([(0, 0, text.split())]), (np.array([0, 3, 90]), np.array([2, 4, 1]))
+            cut = substring_dedup.Words([(0, f, w) for f, w in substring_dedup.stretches(text)])
+            of = lambda w: {(a + i, h) for _, a, n, h, _ in zip(*(x.tolist() for x in w.anchors())) for i in range(n)}
+            assert of(whole) == of(cut)
+            kept = [x for i, x in enumerate(text.split()) if not any(a <= i < a + n + 34 for a, n in zip(*spans))]
+            assert substring_dedup.kept_words(text, *spans) == (len(text.split()), b" ".join(kept))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    index = substring_dedup.WindowIndex(spark, common.shared_dir(spark, "t"), 4)
+    assert table(substring_dedup.dedup(docs, index, batches=2).select("doc_id", "n_words", "n_removed")) == brute_repeats(rows)
+    index.close()
+
+
 def test_near_dedup(spark, odd, none):
     import xxhash
 
@@ -293,10 +343,109 @@ def test_secret_scan(spark, odd, none):
     assert clean[18].text == "<SECRET>' <SECRET> <SECRET> token: x" and clean[18].n_chars == len(clean[18].text) and clean[4].text == "one" and clean[4].n_chars is None
 
 
+def test_random_spans(spark):
+    """Keys of eight kinds beside ordinary names of eight forms: keys are found, names are left."""
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {
+        "hex": ("0123456789ABCDEF", 40), "base32": (upper + "234567", 40), "base64": (upper + lower + digits + "+/", 40), "url": (upper + lower + digits + "-_", 43), "alnum": (upper + lower + digits, 32),
+        "lower": (lower + digits, 32), "upper": (upper + digits, 32), "base58": ("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 44),
+    }
+    some = "get set user account settings by id name list order item status update create delete find all with from key map value index process handler service request response client server config manager factory builder test main data model view controller helper number date time file path read write".split()
+    pick = lambda n: [rng.choice(some) for _ in range(n)]
+    camel = lambda w: w[0] + "".join(x.capitalize() for x in w[1:])
+    forms = [
+        lambda: camel(pick(6)), lambda: "src/main/java/com/" + "/".join(pick(3)) + "/" + camel(pick(3)), lambda: "_".join(pick(6)), lambda: "-".join(pick(7)), lambda: "-".join(pick(5)) + f"-{rng.randint(1990, 2030)}",
+        lambda: "_".join(pick(5)).upper(), lambda: camel(pick(5)) + str(rng.randint(1, 99)), lambda: "".join(pick(7)),
+    ]
+    rows, truth = [], {}
+    for i in range(800):
+        kind = list(kinds)[i % 8]
+        alphabet, n = kinds[kind]
+        key = "".join(rng.choice(alphabet) for _ in range(n))
+        rows.append((i, f"the value {key} is used here"))
+        truth[i] = kind
+    for i in range(400):
+        name = forms[i % 8]()
+        rows.append((1000 + i, f"call {name} for it"))
+        truth[1000 + i] = "name"
+    found = Counter(truth[r.doc_id] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.n_random)
+    assert all(found[k] >= 90 for k in kinds), found
+    assert found["name"] <= 0.05 * sum(found.values()), found
+    # only names, and ramps: nothing is a discovery
+    ramps = [(5000, "x abcdefghijklmnopqrstuvwxyz0123456789 x"), (5001, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), (5002, "1" * 40), (5003, "ab" * 30), (5004, "20260101123456789012")]
+    names = [r for r in rows if r[0] >= 1000]
+    assert secret_scan.scan(spark.createDataFrame(names + ramps, "doc_id bigint, text string")).agg({"n_random": "sum"}).first()[0] <= 4
+
+
+def test_secrets_of_many_matches(spark):
+    """A text with 100,000 matches, and redaction against a plain one."""
+    import time
+
+    rng = random.Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    pieces = []
+    for i in range(100_000):
+        pieces.append((hexes(24), f"token: {hexes(8)}", "someOrdinaryMethodNameForIt", "日本")[i % 4] + rng.choice((" ", "\n", " ü ")))
+    texts = [(1, "".join(pieces)), (2, "".join(pieces[:40])), (3, None), (4, ""), (5, "x" * 9000 + " " + hexes(30) + "é" * 5000 + " password=abcdefgh0123456789abcdef0123 " + "y" * 4000), (6, hexes(30))]
+    docs = spark.createDataFrame([(*t, None, "own", "b", 1) for t in texts], "doc_id bigint, text string, n_chars bigint, every string, base string, clean int")
+    start = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert got[1].n_hex == 25_000 and got[1].n_assign == 25_000 and time.time() - start < 120
+    clean = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
+    for doc_id, text in texts:
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in got[doc_id].spans.split(",") if x)]
+        out, at = [], 0
+        for a, b in spans:
+            if a >= at:
+                out.append((text or "")[at:a] + "<SECRET>")
+            at = max(at, b)
+        out.append((text or "")[at:])
+        want = "".join(out) if spans else text
+        assert clean[doc_id].text == want and clean[doc_id].n_chars == (len(want) if spans else None)
+        assert (clean[doc_id].every, clean[doc_id].base, clean[doc_id].clean) == ("own", "b", 1)
+
+
+def test_own_names(spark):
+    """Columns named as those that stages make for themselves come through untouched."""
+    names = ["text_key", "keep_id", "keep_text", "first", "digest", "chars", "own_digest", "score", "every", "BASE", "clean", "keys", "sums", "own_score_", "own_first_", "own_base_", "own_keep_id_"]
+    rows = [(i, f"{'some words that are quite ordinary ' * 3} {i}") for i in range(5)] + [(4, "password=abcdefgh")]
+    docs = spark.createDataFrame([(*r, *[f"{r[0]}-{k}" for k in range(len(names))]) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    index = exact_dedup.DigestIndex(spark, common.shared_dir(spark, "t"), 4)
+    for out in (exact_dedup.keep_first(docs, index), near_dedup.keep_one(docs), near_dedup.keep_one(docs, 5, similarity=near_dedup.SIMILARITY), secret_scan.redact(docs), quality_model.keep_good(docs, quality_model.Model(), 0.0)):
+        assert out.columns == docs.columns
+        assert all(tuple(r)[2:] == tuple(f"{r.doc_id}-{k}" for k in range(len(names))) for r in out.collect())
+
+
+def test_shared_dir(spark):
+    """The session's setting comes first; without one only local mode has a folder."""
+    from scoreloom.sources import shared
+
+    class Context:
+        master = "spark://somewhere"
+        kept = None
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.kept
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session, "x")
+    Session.sparkContext.kept = "hdfs://a/b/"
+    assert shared.shared_dir(Session, "x").startswith("hdfs://a/b/x-")
+    Session.conf = {"spark.checkpoint.dir": "hdfs://c"}
+    assert shared.shared_dir(Session, "x").startswith("hdfs://c/x-")
+
+
 def test_exact_dedup(spark, odd, none):
     groups = defaultdict(list)
     for d, t in odd_rows():
-        groups[re.sub("[ \t\n\v\f\r]", "", t or "")].append((-len(t or ""), d is not None, d, t))
+        groups[re.sub("[ \t\n\v\f\r]", "", t or "")].append((-len(t or ""), d is None, d, t))
     want = []
     for key, rows in groups.items():
         best, seen = min(rows, key=lambda r: (r[0], r[1], r[2] or 0)), set()
@@ -313,6 +462,11 @@ def test_exact_dedup(spark, odd, none):
     exact_dedup.keep_first(odd, known)
     assert exact_dedup.keep_first(odd, known, 1).count() == 0
     assert exact_dedup.decide(odd.limit(5), known, 2).where("kept").count() == 0
+    # another index over the same files, and a compacted one, know the same digests
+    known.close()
+    for again in (exact_dedup.DigestIndex(spark, known.path, 4), exact_dedup.DigestIndex(spark, known.path, 4).compacted()):
+        assert exact_dedup.keep_first(odd, again, 3).count() == 0 and again.rows().count() == len(groups)
+        again.close()
 
 
 def test_token_files(spark, odd, none):
@@ -463,5 +617,7 @@ def test_url_filter(spark):
     assert table(url_filter.judge(pages).drop("patterns")) == sorted(((i, *brute(u)) for i, u in rows), key=str)
     assert url_filter.judge(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, []).collect()} == {"allow"}
-    with pytest.raises(ValueError):
-        url_filter.rules_of(patterns=[("x", ())] * 3000)
+    # more rules than a plan may hold: by a table of rules, with the same outcome
+    assert table(url_filter.judge(pages, most=0)) == table(url_filter.judge(pages))
+    many = url_filter.rules_of(patterns=[*url_filter.BLOCK_PATTERNS, *((rf"(^|[./-])none{i}([./-]|$)", (f"none{i}",)) for i in range(2500))])
+    assert table(url_filter.judge(pages, many)) == table(url_filter.judge(pages)) and url_filter.judge(pages.limit(0), many).count() == 0
