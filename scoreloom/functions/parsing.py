@@ -170,12 +170,3 @@ def header_usage(header: Column) -> dict[str, Column]:
         value = F.coalesce(*[F.try_element_at(pairs, F.lit(p)) for p in places]).try_cast("double")
         out[k] = F.when(is_json, found[k]).otherwise(value.try_cast("double" if k == "cost_usd" else "bigint"))
     return out | {"total_tokens": F.when(is_json, found["total_tokens"]).otherwise(F.coalesce(out["total_tokens"], out["prompt_tokens"] + out["completion_tokens"]))}
-
-
-def prompt_parts(question: str = "problem_statement", options: tuple[str, ...] = tuple(f"sol_{x}" for x in LETTERS)) -> Column:
-    """ordered message parts in JSON: the task in its language, the options, and what to answer with."""
-    german = F.coalesce(F.lower("language"), F.lit("de")) == "de"
-    ask = F.when(german, "Antworte mit A, B, C, D oder E.").otherwise("Answer with A, B, C, D or E.")
-    lines = F.array_compact(F.array(*[F.concat(F.lit(f"{x}) "), F.col(c)) for x, c in zip(LETTERS, options)]))
-    part = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
-    return F.to_json(F.array(part(F.col(question)), part(F.array_join(lines, "\n")), part(ask)))

@@ -126,10 +126,10 @@ def boolish(x: Column | str) -> Column:
 
 
 def key_text(x: Column | str) -> Column:
-    """numbers with an integer value as integer text, other text trimmed, NaN null."""
+    """numbers with an integer value (up to 2**63) as integer text, other text trimmed, NaN null."""
     t = F.trim(col(x).cast("string"), F.lit(BLANKS))
     n = t.try_cast("double")
-    return F.when(F.isnan(n), F.lit(None).cast("string")).when(n == F.floor(n), n.try_cast("bigint").cast("string")).otherwise(t)
+    return F.when(F.isnan(n), F.lit(None).cast("string")).when((n == F.floor(n)) & (F.abs(n) < 2.0**63), n.try_cast("bigint").cast("string")).otherwise(t)
 
 
 def parsed_date(x: Column | str) -> Column:

@@ -190,7 +190,8 @@ def quantile_bins(rows: DataFrame, value: str, q: int) -> DataFrame:
 
 
 def ema(rows: DataFrame, group: list[str], order: list[str], value: str, alpha: float = 0.2) -> DataFrame:
-    """Exponential mean of a group's values in order; a group's values are gathered, so groups must be bounded."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v_")))), lambda s: s["v_"])
-    step = F.aggregate("values", F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(alpha * v + (1 - alpha) * a))
-    return rows.where(F.col(value).isNotNull()).groupBy(*group).agg(values.alias("values")).select(*group, step.alias("ema"), F.size("values").alias("n"))
+    """Exponential mean of a group's values in order, as the sum of their weights; nothing is gathered."""
+    back = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
+    known = rows.where(F.col(value).isNotNull()).withColumn("age_", F.row_number().over(back) - 1).withColumn("first_", F.lead(F.lit(1)).over(back).isNull())
+    weight = F.pow(F.lit(1 - alpha), F.col("age_")) * F.when(F.col("first_"), 1.0).otherwise(alpha)
+    return known.groupBy(*group).agg(F.sum(F.col(value) * weight).alias("ema"), F.count(F.lit(1)).cast("int").alias("n"))

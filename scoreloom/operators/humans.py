@@ -170,12 +170,12 @@ def cohort(entries: DataFrame) -> DataFrame:
     )
 
 
-def weights(entries: DataFrame, mode: str) -> Column:
-    """H16."""
+def weighted(entries: DataFrame, mode: str) -> DataFrame:
+    """Entries with weight w: by run, each run's entries alike (macro), or by what could be had."""
     if mode == "macro":
-        runs = F.size(F.collect_set("run_id").over(Window.partitionBy()))
-        return 1.0 / (runs * F.count(F.lit(1)).over(Window.partitionBy("run_id")))
-    return F.when(F.col("llm_max") > 0, F.col("llm_max")).when(F.col("available") > 0, F.col("available")).otherwise(1.0)
+        cells = entries.groupBy("run_id").agg(F.count(F.lit(1)).alias("cells_"))
+        return entries.join(cells, "run_id").withColumn("w", F.lit(1.0) / (F.lit(cells.count()) * F.col("cells_"))).drop("cells_")
+    return entries.withColumn("w", F.when(F.col("llm_max") > 0, F.col("llm_max")).when(F.col("available") > 0, F.col("available")).otherwise(1.0))
 
 
 def outcome(gap: Column, tolerance: float = 1e-9) -> Column:

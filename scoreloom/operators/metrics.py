@@ -36,13 +36,13 @@ def start_totals(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def point_totals(rows: DataFrame, *by: str) -> DataFrame:
-    """Points with start capital, and the share of all that could be had."""
-    sums = rows.groupBy(*by).agg(F.sum("points_earned").alias("earned"), F.sum("points").alias("possible"))
-    starts = start_totals(rows, *by)
-    both = sums.join(starts, list(by), "left") if by else sums.join(starts)
-    start = F.coalesce("start_points", F.lit(0.0))
-    total, most = F.col("earned") + start, F.col("possible") + start
-    return both.select(*by, "earned", "possible", start.alias("start_points"), total.alias("total_points"), F.when(most > 1e-12, total / most).otherwise(0.0).alias("weighted_accuracy"))
+    """Points with start capital, and the share of all that could be had; one pass, summed by exam first."""
+    year, group = scoring.key_text("year"), scoring.key_text("group")
+    exams = rows.groupBy(*by, year.alias("y"), group.alias("g")).agg(F.sum("points_earned").alias("earned"), F.sum("points").alias("possible"), F.max((scoring.finite("points") > 0) & F.col("group").isNotNull()).alias("scored"))
+    start = F.when(F.col("scored"), scoring.start_capital("g"))
+    both = exams.groupBy(*by).agg(F.sum("earned").alias("earned"), F.sum("possible").alias("possible"), F.coalesce(F.sum(start), F.lit(0.0)).alias("start_points"))
+    total, most = F.col("earned") + F.col("start_points"), F.col("possible") + F.col("start_points")
+    return both.select(*by, "earned", "possible", "start_points", total.alias("total_points"), F.when(most > 1e-12, total / most).otherwise(0.0).alias("weighted_accuracy"))
 
 
 def latency(rows: DataFrame, *by: str) -> DataFrame:

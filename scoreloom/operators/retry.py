@@ -46,9 +46,9 @@ def id_issues(expected: DataFrame, got: DataFrame, key: str = "id") -> DataFrame
     return lost.unionByName(more)
 
 
-def merged(rows: DataFrame, retry: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Rows without a valid prediction take all shared columns of the first retry row that has a prediction."""
-    first = Window.partitionBy(key).orderBy(order or F.monotonically_increasing_id())
+def merged(rows: DataFrame, retry: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """Rows without a valid prediction take all shared columns of the retry row that is first by `order`, if it has a prediction."""
+    first = Window.partitionBy(key).orderBy(order)
     once = retry.withColumn("place_", F.row_number().over(first)).where("place_ = 1")
     fill = once.where(scoring.normalized("predicted").isNotNull())
     shared = [c for c in rows.columns if c in retry.columns and c not in (key, *META)]

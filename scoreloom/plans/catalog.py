@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import calibration_queries, dashboard_queries, data_queries, exam_queries, file_queries, human_queries, run_queries, stream_queries, text_queries  # noqa: F401
+from . import calibration_queries, dashboard_queries, data_queries, exam_queries, file_queries, human_queries, run_queries, runner_queries, stream_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -275,9 +275,11 @@ def z_scores(spark, sf):
     return d.z_scores(exam_scores(spark, sf), ["year", "group"], "total").select("run_id", "year", "group", F.round("z", 6).alias("z"))
 
 
-@query("W03_ema")
+@query("W03_ema", f"""
+WITH x AS (SELECT run_id, pct, row_number() OVER (PARTITION BY run_id ORDER BY year DESC, "group" DESC) - 1 AS age, row_number() OVER (PARTITION BY run_id ORDER BY year, "group") = 1 AS first FROM {EXAM})
+SELECT run_id, round(sum(pct * 0.8 ** age * CASE WHEN first THEN 1 ELSE 0.2 END), 9) AS ema, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY run_id""")
 def ema(spark, sf):
-    return d.ema(exam_scores(spark, sf), ["run_id"], ["year", "group"], "pct")
+    return d.ema(exam_scores(spark, sf), ["run_id"], ["year", "group"], "pct").withColumn("ema", F.round("ema", 9))
 
 
 @query("W04_quantile_bins", f"""

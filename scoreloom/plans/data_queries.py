@@ -10,14 +10,14 @@ from ..operators import retry as m
 from ..sources.adapters import results, table
 from .registry import query
 
-#: One run, some predictions spoilt; and retry rows for two thirds of what is missing.
-R = "(SELECT id, CASE WHEN ok % 50 = 1 THEN ' f ' WHEN ok % 50 = 2 THEN '  ' ELSE predicted END AS predicted, points_earned, is_correct, pk, ok FROM results WHERE run_id = 'AF')"
+#: All runs, some predictions spoilt; and retry rows for two thirds of what is missing.
+R = "(SELECT id, CASE WHEN ok % 50 = 1 THEN ' f ' WHEN ok % 50 = 2 THEN '  ' ELSE predicted END AS predicted, points_earned, is_correct, pk, ok FROM results)"
 MISSING = f"(SELECT id, CASE WHEN nullif(upper(trim(predicted)), '') IS NULL THEN 'missing' ELSE 'invalid' END AS why, nullif(upper(trim(predicted)), '') AS value, pk, ok FROM {R} WHERE coalesce(nullif(upper(trim(predicted)), '') NOT IN ('A', 'B', 'C', 'D', 'E', 'DECLINED'), true))"
 RETRY = f"(SELECT id, CASE WHEN pk % 5 = 0 THEN NULL ELSE 'C' END AS predicted, 1.5::DOUBLE AS points_earned, CAST(NULL AS BOOLEAN) AS is_correct FROM {MISSING} WHERE pk % 3 > 0)"
 
 
 def spoilt(spark, sf):
-    rows = results(spark, sf).where("run_id = 'AF'")
+    rows = results(spark, sf)
     p = F.when(F.col("pos.ok") % 50 == 1, " f ").when(F.col("pos.ok") % 50 == 2, "  ").otherwise(F.col("predicted"))
     return rows.select("id", p.alias("predicted"), "points_earned", "is_correct", F.col("pos.pk").alias("pk"))
 
@@ -37,15 +37,21 @@ def invalid_counts(spark, sf):
     return m.invalid_counts(spoilt(spark, sf))
 
 
-@query("J08_subset", f"SELECT id, answer FROM results WHERE run_id = 'AF' AND id IN (SELECT id FROM {MISSING})")
+@query("J08_subset", f"SELECT id, answer FROM results WHERE id IN (SELECT id FROM {MISSING})")
 def subset(spark, sf):
-    return m.subset(results(spark, sf).where("run_id = 'AF'").select("id", "answer"), m.missing(spoilt(spark, sf)))
+    return m.subset(results(spark, sf).select("id", "answer"), m.missing(spoilt(spark, sf)))
 
 
-@query("J09_M04_id_issues", f"SELECT DISTINCT id, 'missing' AS issue FROM {MISSING} WHERE id NOT IN (SELECT id FROM {RETRY})")
+@query("J09_M03_M04_id_issues", f"""
+SELECT DISTINCT id, 'missing' AS issue FROM {MISSING} WHERE id NOT IN (SELECT id FROM {RETRY})
+UNION ALL SELECT DISTINCT 'other-' || pk % 10, 'unexpected' FROM {MISSING} WHERE pk % 3 > 0""")
 def id_issues(spark, sf):
+    """Files of a retry name their rows question_id; some rows belong to no question that was asked."""
     rows = spoilt(spark, sf)
-    return m.id_issues(m.missing(rows), retried(rows))
+    lost = m.missing(rows).join(rows.select("id", "pk"), "id")
+    got = retried(rows).select("id").unionByName(lost.where("pk % 3 > 0").select(F.concat(F.lit("other-"), F.col("pk") % 10).alias("id")))
+    expected, got = (x.withColumnRenamed("id", "question_id") for x in (lost.select("id"), got))
+    return m.id_issues(expected, got, m.id_column(got.columns)).withColumnRenamed("question_id", "id")
 
 
 @query("M05_J10_merged", f"""

@@ -17,11 +17,11 @@ from .data_queries import IMAGES, questions
 from .human_queries import ENTRIES, entries, grades
 from .registry import query
 
-RUN = "SELECT id, year, \"group\", points, predicted, is_correct, points_earned, total_tokens, warnings FROM results WHERE run_id = 'AF'"
+RUN = "SELECT id, year, \"group\", points, predicted, is_correct, points_earned, total_tokens, warnings FROM results"
 
 
-def one_run(spark, sf):
-    return results(spark, sf).where("run_id = 'AF'").select("id", F.col("year").cast("string").alias("year"), "group", "points", "predicted", "is_correct", "points_earned", "total_tokens", "warnings")
+def stored(spark, sf):
+    return results(spark, sf).select("id", F.col("year").cast("string").alias("year"), "group", "points", "predicted", "is_correct", "points_earned", "total_tokens", "warnings")
 
 
 def _as_stored(rows):
@@ -31,34 +31,35 @@ def _as_stored(rows):
 @query("K01_K07_S03_S06_parquet_results", RUN)
 def parquet_results(spark, sf):
     folder = t.shared_dir(spark, "results")
-    sinks.results(one_run(spark, sf), folder, ("parquet", "jsonl"))
+    sinks.results(stored(spark, sf), folder, ("parquet", "jsonl"))
     return _as_stored(readers.run_results(spark, folder))
 
 
 @query("K02_K03_S04_S05_S13_S14_json_results", RUN)
 def json_results(spark, sf):
     folder = t.shared_dir(spark, "results")
-    sinks.results(one_run(spark, sf), folder, ("jsonl",))
+    sinks.results(stored(spark, sf), folder, ("jsonl",))
     return _as_stored(readers.any_table(spark, f"{folder}/results.jsonl"))
 
 
-@query("K06_export_csv", "SELECT id, points FROM results WHERE run_id = 'AF' AND multimodal")
+@query("K06_export_csv", "SELECT id, points FROM results WHERE multimodal")
 def export_csv(spark, sf):
     path = t.shared_dir(spark, "export")
-    sinks.export(results(spark, sf).where("run_id = 'AF' and multimodal").select("id", "points"), path, "csv")
+    sinks.export(results(spark, sf).where("multimodal").select("id", "points"), path, "csv")
     return spark.read.schema("id string, points double").option("header", True).csv(path)
 
 
 @query("K04_K08_K09_S07_S18_run_folders", """
 SELECT run_id, 'm' AS model, count(*) FILTER (WHERE predicted IS NOT NULL AND error IS NULL) AS answered, coalesce(count(*) FILTER (WHERE predicted IS NOT NULL AND error IS NULL AND is_correct) / count(*) FILTER (WHERE predicted IS NOT NULL AND error IS NULL), 0) AS accuracy
-FROM results WHERE run_id IN ('AF', 'RO') GROUP BY run_id""")
+FROM results GROUP BY run_id""")
 def run_folders(spark, sf):
     top, counts = t.shared_dir(spark, "runs"), metrics.status_counts(results(spark, sf), "run_id")
-    for run in ("AF", "RO"):  # a snapshot a run, as a runner leaves it
+    names = [r.run_id for r in counts.select("run_id").distinct().orderBy("run_id").collect()]  # one row a run
+    for run in names:  # a snapshot a run, as a runner leaves it
         one = counts.where(F.col("run_id") == run)
         sinks.as_json(one.select(F.col("answered").alias("answered_count"), "accuracy")).coalesce(1).write.text(f"{top}/{run}/metrics.json")
         sinks.as_json(one.select(F.lit("m").alias("model_id"))).coalesce(1).write.text(f"{top}/{run}/config.json")
-    return readers.pick_runs(readers.runs(spark, top), ["AF", "RO"]).select("run_id", F.col("config.model_id").alias("model"), F.col("metrics.answered_count").alias("answered"), F.col("metrics.accuracy").alias("accuracy"))
+    return readers.pick_runs(readers.runs(spark, top), names).select("run_id", F.col("config.model_id").alias("model"), F.col("metrics.answered_count").alias("answered"), F.col("metrics.accuracy").alias("accuracy"))
 
 
 @query("S08_S09_H03_H21_baselines", "SELECT year, grade, idx, lo, hi, n FROM human_bins")
@@ -146,13 +147,6 @@ def five_numbers(spark, sf):
     return h.five_numbers(out)
 
 
-@query("T11_throttled")
-def throttled(spark, sf):
-    from ..sources.adapters import usage_events
-
-    return t.throttled(usage_events(spark, sf), "model")
-
-
 @query("V07_answer_without_option", "SELECT CASE WHEN p_partkey % 97 = 0 THEN 'dup' ELSE CAST(p_partkey AS VARCHAR) END AS id FROM part WHERE p_partkey % 53 = 0 AND p_partkey % 14 > 0 AND p_partkey % 61 > 0 AND p_partkey % 19 > 0 AND p_partkey % 5 = 0")
 def answer_without_option(spark, sf):
     return questions(spark, sf).where(v.answer_without_option(IMAGES)).select("id")

@@ -145,7 +145,7 @@ def threshold_counts(spark, sf):
 @query("H16_weights", f"SELECT run_id, round(sum(w), 9) AS total FROM (SELECT run_id, 1.0::DOUBLE / ((SELECT count(DISTINCT run_id) FROM {SCORES}) * count(*) OVER (PARTITION BY run_id)) AS w FROM {VERSUS}) GROUP BY run_id")
 def weights(spark, sf):
     e = entries(spark, sf)
-    return e.withColumn("w", h.weights(e, "macro")).groupBy("run_id").agg(F.round(F.sum("w"), 9).alias("total"))
+    return h.weighted(e, "macro").groupBy("run_id").agg(F.round(F.sum("w"), 9).alias("total"))
 
 
 @query("H18_baseline_summary", f"SELECT grade, CAST(sum(students) AS BIGINT) AS students, round(sum(mean * students / max_points) / sum(students), 9) AS mean_pct FROM {STATS} GROUP BY grade")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from functools import partial
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dashboard as d
@@ -74,7 +75,14 @@ def recent(spark, sf):
 @query("T06_T07_stream_pace")
 def stream_pace(spark, sf):
     events = stream(spark, sf).withColumn("total", t.total_tokens()).withColumn("at", F.col("ts").cast("double"))
-    return t.drained(t.pace(events.select("model", "seq", "total", "latency_ms", "at")), "update", "pace")
+    paced = t.drained(t.pace(events.select("model", "seq", "total", "latency_ms", "at")), "update", "pace")
+    last = paced.withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("samples")))).where("place = 1").drop("place")
+    return t.estimate(last, F.lit(1000), F.lit(500_000.0), F.lit(500.0), workers=4, min_interval=0.5)
+
+
+@query("T11_throttled", "SELECT model, round(list_reduce(list_prepend(0.0::DOUBLE, list(CASE WHEN type = 'failure' THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY seq)), lambda wait, slow: CASE WHEN slow = 1 THEN CASE WHEN wait = 0 THEN 0.5 ELSE least(wait * 2, 30) END ELSE wait * 0.8 END::DOUBLE), 9) AS interval, count(*) AS events FROM usage GROUP BY model")
+def throttled(spark, sf):
+    return t.throttled(usage_events(spark, sf), "model").withColumn("interval", F.round("interval", 9))
 
 
 @query("K05_T10_windowed_events", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, type, count(*) AS n FROM usage GROUP BY ALL")

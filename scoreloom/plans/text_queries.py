@@ -77,8 +77,7 @@ FROM (SELECT ['3.5', ' 4 ', '2024.0', 'NaN', 'inf', 'yes', 'F', 'x'][1 + event_i
 def casts(spark, sf):
     t = F.get(F.array(*map(F.lit, ("3.5", " 4 ", "2024.0", "NaN", "inf", "yes", "F", "x"))), (F.col("event_id") % 8).cast("int"))
     rows = table(spark, sf, "events").select(t.alias("t"))
-    key = F.when(F.col("t") == "inf", "inf").otherwise(scoring.key_text("t"))
-    return rows.groupBy("t", scoring.finite("t").alias("finite"), F.when(F.col("t") != "inf", scoring.whole_number("t")).alias("whole"), scoring.boolish("t").alias("flag"), key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("t", scoring.finite("t").alias("finite"), scoring.whole_number("t").alias("whole"), scoring.boolish("t").alias("flag"), scoring.key_text("t").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("P11_P12_F16_F20_text_forms", """
@@ -90,13 +89,7 @@ def text_forms(spark, sf):
     return rows.groupBy("t", scoring.parsed_date("t").cast("timestamp_ntz").alias("day"), "s", scoring.humanized("s").alias("took")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F15_prompts")
-def prompts(spark, sf):
-    rows = results(spark, sf).where("run_id = 'AF'").select("id", "language", F.concat(F.lit("Q "), "question_id").alias("problem_statement"), *[F.lit(str(i)).alias(f"sol_{x}") for i, x in enumerate(scoring.LETTERS)])
-    return rows.select("id", parsing.prompt_parts().alias("parts"))
-
-
-@query("F21_T12_replayed_attempts", "SELECT ok AS id, count(*) AS attempts, arg_max(predicted, ln * 100000000 + pk * 1000 + sk) AS predicted, CAST(sum(total_tokens) AS BIGINT) AS tokens, sum(latency_ms) AS latency FROM results GROUP BY ok".replace("arg_max(predicted, ", "arg_max({'p': predicted}, ").replace(") AS predicted", ").p AS predicted"))
+@query("F21_replayed_attempts", "SELECT ok AS id, count(*) AS attempts, arg_max(predicted, ln * 100000000 + pk * 1000 + sk) AS predicted, CAST(sum(total_tokens) AS BIGINT) AS tokens, sum(latency_ms) AS latency FROM results GROUP BY ok".replace("arg_max(predicted, ", "arg_max({'p': predicted}, ").replace(") AS predicted", ").p AS predicted"))
 def replayed_attempts(spark, sf):
     order = F.col("pos.ln") * 100000000 + F.col("pos.pk") * 1000 + F.col("pos.sk")
     return results(spark, sf).groupBy(F.col("pos.ok").alias("id")).agg(F.count(F.lit(1)).alias("attempts"), F.max_by(F.struct("predicted"), order)["predicted"].alias("predicted"), F.sum("total_tokens").alias("tokens"), F.sum("latency_ms").alias("latency"))

@@ -55,11 +55,24 @@ def project(counted: DataFrame, total_items: int) -> DataFrame:
     })
 
 
-def throttled(events: DataFrame, *by: str, first: float = 0.5, most: float = 30.0) -> DataFrame:
-    """The interval that a limiter ends with: doubled by a throttle, cut by a fifth by a success. A group's events are folded in order."""
+def throttled(events: DataFrame, *by: str, first: float = 0.5, most: float = 30.0, chunk: int = 4096) -> DataFrame:
+    """The interval that a limiter ends with: doubled by a throttle (from 0 to `first`, `most` at most), cut by a fifth by a success.
+
+    What a stretch of events does to an interval d over 0 is least(cap, factor * d), and to 0
+    some number, and two such steps make another one; so stretches of `chunk` sequence
+    numbers are folded each on their own, and then the stretches of a group in order.
+    """
+    start = F.struct(F.lit(1.0).alias("factor"), F.lit(float("inf")).alias("cap"), F.lit(0.0).alias("zero"))
+
+    def step(f: Column, slow: Column) -> Column:
+        up = F.struct((f["factor"] * 2).alias("factor"), F.least(F.lit(most), f["cap"] * 2).alias("cap"), F.when(f["zero"] == 0, first).otherwise(F.least(F.lit(most), f["zero"] * 2)).alias("zero"))
+        return F.when(slow, up).otherwise(F.struct((f["factor"] * 0.8).alias("factor"), (f["cap"] * 0.8).alias("cap"), (f["zero"] * 0.8).alias("zero")))
+
     kinds = F.transform(F.array_sort(F.collect_list(F.struct("seq", (F.col("type") == "failure").alias("slow")))), lambda e: e["slow"])
-    step = lambda wait, slow: F.when(slow, F.when(wait == 0, first).otherwise(F.least(wait * 2, F.lit(most)))).otherwise(wait * 0.8)
-    return events.groupBy(*by).agg(F.aggregate(kinds, F.lit(0.0), step).alias("interval"), F.count(F.lit(1)).alias("events"))
+    parts = events.groupBy(*by, F.floor(F.col("seq") / chunk).alias("chunk_")).agg(F.count(F.lit(1)).alias("n_"), F.aggregate(kinds, start, step).alias("f_"))
+    after = lambda d, p: F.when(d == 0, p["f_"]["zero"]).otherwise(F.least(p["f_"]["cap"], p["f_"]["factor"] * d))
+    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk_", "f_"))), F.lit(0.0), after)
+    return parts.groupBy(*by).agg(folded.alias("interval"), F.sum("n_").alias("events"))
 
 
 def recent(events: DataFrame, k: int, *by: str) -> DataFrame:
@@ -113,31 +126,27 @@ class Pace:
         self.tokens = self.blend(self.tokens, rate)
         self.samples += 1
 
-    def estimate(self, items: int, tokens_left: float | None, mean_tokens: float | None, workers: int = 1, min_interval: float | None = None) -> dict:
-        """T07."""
-        tokens = self.tokens and self.tokens * max(1, workers)
-        requests = self.requests and self.requests * max(1, workers)
-        capped = False
-        if min_interval and workers > 0:
-            most = workers / max(min_interval, 1e-6)
-            if not requests or requests > most:
-                requests, capped = most, True
-            if tokens and mean_tokens and tokens > most * mean_tokens:
-                tokens, capped = most * mean_tokens, True
-        by_tokens = tokens_left / tokens if tokens_left is not None and tokens else None
-        by_items = items / requests if items > 0 and requests else None
-        both = by_tokens is not None and by_items is not None
-        seconds = 0.8 * by_tokens + 0.2 * by_items if both else by_items if by_tokens is None else by_tokens
-        middle, mad = self.spread()
-        sure = "low" if self.samples < 10 or seconds is None else "medium" if self.samples < 30 or (mad is not None and mad > 0.4 * middle) else "high"
-        return {"seconds": seconds, "confidence": sure, "tokens_per_second": tokens, "requests_per_second": requests, "capped": capped}
+
+def estimate(rows: DataFrame, items: Column, tokens_left: Column, mean_tokens: Column, workers: int = 1, min_interval: float | None = None) -> DataFrame:
+    """Rows of pace() with seconds to go and how sure that is: rates of all workers, capped by the limit on requests, blended four to one."""
+    most = F.lit(workers / max(min_interval, 1e-6) if min_interval and workers > 0 else None).cast("double")
+    positive = lambda c: F.when(c > 0, c)
+    tokens, requests = (positive(F.col(c) * max(1, workers)) for c in ("token_rate", "request_rate"))
+    # least() passes over nulls, so a missing limit caps nothing and a missing rate of requests is the limit
+    slower, fewer = F.least(tokens, most * positive(mean_tokens)), F.least(requests, most)
+    rated = rows.select("*", F.when(tokens.isNotNull(), slower).alias("tokens_per_second"), fewer.alias("requests_per_second"), (F.coalesce(slower < tokens, F.lit(False)) | (most.isNotNull() & F.coalesce(fewer < requests, F.lit(True)))).alias("capped"))
+    by_tokens, by_items = F.try_divide(tokens_left, F.col("tokens_per_second")), F.try_divide(positive(items), F.col("requests_per_second"))
+    seconds = F.coalesce(0.8 * by_tokens + 0.2 * by_items, by_tokens, by_items)
+    wide = F.coalesce(F.col("deviation") > 0.4 * F.col("middle"), F.lit(False))
+    sure = F.when((F.col("samples") < 10) | seconds.isNull(), "low").when((F.col("samples") < 30) | wide, "medium").otherwise("high")
+    return rated.withColumn("seconds", seconds).withColumn("confidence", sure)
 
 
 PACE_STATE = "last double, requests double, tokens double, samples bigint, rates array<double>"
 
 
 def pace(events: DataFrame) -> DataFrame:
-    """T06 on a stream: model, samples, token_rate, request_rate after each batch. events: model, seq, total, latency_ms, at."""
+    """T06 on a stream: model, samples, rates and their spread after each batch. events: model, seq, total, latency_ms, at."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p = Pace(state.get if state.exists else None)
@@ -145,9 +154,10 @@ def pace(events: DataFrame) -> DataFrame:
         for total, latency, at in zip(rows["total"], rows["latency_ms"], rows["at"]):
             p.add(*(None if pd.isna(v) else float(v) for v in (total, latency, at)))
         state.update(p.state())
-        yield pd.DataFrame({"model": [key[0]], "samples": [p.samples], "token_rate": [p.tokens], "request_rate": [p.requests]})
+        middle, deviation = p.spread()
+        yield pd.DataFrame({"model": [key[0]], "samples": [p.samples], "token_rate": [p.tokens], "request_rate": [p.requests], "middle": [middle], "deviation": [deviation]})
 
-    return events.groupBy("model").applyInPandasWithState(run, "model string, samples bigint, token_rate double, request_rate double", PACE_STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("model").applyInPandasWithState(run, "model string, samples bigint, token_rate double, request_rate double, middle double, deviation double", PACE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str, what: str) -> DataFrame:

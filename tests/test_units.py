@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import parsing, scoring
 from scoreloom.operators import filters, humans, quality, retry, stats
 from scoreloom.sources import readers, schemas, sinks
-from scoreloom.streaming.telemetry import Pace, counters, project
+from scoreloom.streaming.telemetry import Pace, counters, estimate, project, throttled
 
 
 def answers(spark, texts):
@@ -100,23 +100,49 @@ def test_retry(spark):
     assert sorted(r.id for r in retry.missing(rows).collect()) == ["q1", "q3"]
     assert [(r.value, r["count"]) for r in retry.invalid_counts(rows).collect()] == [("F", 1)]
     again = retry.with_origin(spark.createDataFrame([("q1", "C", True, 5.0), ("q3", None, None, None)], rows.schema), "20240601_1_m", "x")
-    got = {r.id: r for r in retry.merged(rows, again).collect()}
+    got = {r.id: r for r in retry.merged(rows, again, "predicted").collect()}
     assert (got["q1"].predicted, got["q1"].filled_by_retry, got["q1"].filled_timestamp, got["q1"].predicted_original) == ("C", True, "20240601", None)
     assert (got["q2"].predicted, got["q2"].filled_by_retry, got["q2"].filled_run_id) == ("B", False, None)
     assert [r.id for r in retry.unresolved(rows, again).collect()] == ["q3"]
 
 
-def test_pace():
+def test_pace(spark):
+    def go(p, items, tokens_left, mean_tokens, **limits):
+        middle, deviation = p.spread()
+        state = spark.createDataFrame([(p.samples, p.tokens, p.requests, middle, deviation)], "samples bigint, token_rate double, request_rate double, middle double, deviation double")
+        return estimate(state, F.lit(items), F.lit(tokens_left).cast("double"), F.lit(mean_tokens).cast("double"), **limits).first()
+
     p = Pace()
     for i in range(6):
         p.add(90, 900, i * 0.9)
-    e = p.estimate(3, 270, 90)
-    assert 2.6 <= e["seconds"] <= 2.8 and e["confidence"] == "low"
+    e = go(p, 3, 270, 90)
+    assert 2.6 <= e.seconds <= 2.8 and e.confidence == "low" and not e.capped
     q = Pace()
     for i in range(8):
         q.add(100, 1000, float(i))
     q.add(10_000, 10, 8.0)
-    assert q.samples == 8 and q.estimate(10, None, None, min_interval=0.2)["requests_per_second"] <= 5
+    assert q.samples == 8 and go(q, 10, None, None, min_interval=0.2).requests_per_second <= 5
+    # rates of all workers, capped by the limit on requests; no rate of requests is the limit itself
+    both = go(q, 10, 1000, 100, workers=4, min_interval=2.0)
+    assert both.requests_per_second == 2 and both.tokens_per_second == 200 and both.capped and both.seconds == pytest.approx(0.8 * 5 + 0.2 * 5)
+    none = go(Pace(), 10, None, None, workers=2, min_interval=1.0)
+    assert none.requests_per_second == 2 and none.capped and none.seconds == 5 and go(Pace(), 10, None, None).seconds is None
+
+
+def test_throttled(spark):
+    """Stretches folded on their own and then together come to what one fold over all events gives."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i * rng.randint(1, 3) if i % 50 == 0 else i * 3 + 1, "m" + str(i % 2), "failure" if rng.random() < 0.3 else "success") for i in range(3000)]
+    rows = sorted({r[0]: r for r in rows}.values())
+    want = {}
+    for _, model, kind in rows:
+        wait = want.get(model, 0.0)
+        want[model] = (0.5 if wait == 0 else min(30.0, wait * 2)) if kind == "failure" else wait * 0.8
+    events = spark.createDataFrame(rows, "seq bigint, model string, type string").repartition(3)
+    for chunk in (4096, 64, 1):
+        assert {r.model: r.interval for r in throttled(events, "model", chunk=chunk).collect()} == pytest.approx(want, rel=1e-9)
 
 
 def test_projection(spark):
