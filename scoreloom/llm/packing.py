@@ -2,8 +2,8 @@
 
 Documents are encoded in op4's vocabulary with an end token; one longer than the
 largest capacity is cut in pieces of that size and a rest, so nothing is dropped.
-Pieces are dealt into groups by a hash, so many that each holds about
-GROUP_TOKENS tokens, and each group is packed on its own: pieces in falling order
+Pieces are dealt into groups by a hash, so many that each holds about 2 *
+GROUP_TOKENS bytes of text, and so no more tokens, and each group is packed on its own: pieces in falling order
 of size; each goes to the open bin that it leaves least room in. Where none has
 room, a bin is opened, of the size whose cost for each token that it will hold is
 least: each permitted size is tried on the pieces still to come, largest that
@@ -20,8 +20,8 @@ one after the other (16 bits each where they fit), and of each piece doc_id,
 piece number and start.
 
 Rows: null text counts as empty; an empty text is a piece of its end token
-alone; repeated rows are each packed, and beyond SAME copies they are dealt over
-the groups by row; a null doc_id is kept as such; an empty table gives an empty
+alone; repeated rows are each packed, and where any have over SAME copies all rows are
+dealt by their place in the table, too; a null doc_id is kept as such; an empty table gives an empty
 result; columns other than doc_id and text are not read.
 """
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def encoder_for(path: str, pattern: str) -> tuple[StretchEncoder, int]:
 
 
 def pieces(docs: DataFrame, largest: int) -> DataFrame:
-    """doc_id, text_key, piece, size, ids: each document's ids and the end id, cut every `largest`."""
+    """doc_id, text_key, row, piece, size, ids: the ids of each of docs (with text_key and row) and the end id, cut every `largest`."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -85,10 +86,9 @@ def pieces(docs: DataFrame, largest: int) -> DataFrame:
                         size.append(min(largest, len(own) - k))
                         raw.append(packed_ids(own[k : k + largest]))
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "text_key", "piece", "size", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "text_key", "row")), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "text_key", "row", "piece", "size", "ids"])
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id bigint, text_key bigint, piece int, size int, ids binary")
+    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, row bigint, piece int, size int, ids binary")
 
 
 def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray]:
@@ -129,38 +129,46 @@ def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[n
 def bins(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row a bin: group, bin, capacity, used (ids in it), ids, and arrays doc_ids, pieces, starts."""
     capacities = tuple(sorted(capacities))
-    cut = common.written(pieces(docs, capacities[-1]), "pieces")
-    total = cut.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
-    keys = ["doc_id", "text_key", "piece"]
-    many = common.written(cut.groupBy("doc_id", "text_key", "piece").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > SAME), "copies")
-    salted = cut.withColumn("row", F.lit(0).cast("bigint"))
-    if groups > 1 and not many.isEmpty():
-        named = many.select(*[F.col(k).alias(f"{k}_") for k in keys])
-        numbered = cut.withColumn("row", F.monotonically_increasing_id())
-        same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_key") == F.col("text_key_")) & (F.col("piece") == F.col("piece_"))
-        salted = numbered.join(named, same, "left").select(*keys, "size", "ids", F.when(F.col("piece_").isNull(), F.lit(0)).otherwise(F.col("row")).alias("row"))
-    dealt = salted.withColumn("group", F.pmod(F.xxhash64(*keys, "row"), F.lit(groups)))
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        sizes = rows["size"].to_numpy().astype(np.int64)
-        tie = [rows[c].fill_null(-1).to_numpy() for c in (*keys, "row")]
-        order = np.lexsort([*reversed(tie), -sizes])
-        number, at = pack(sizes[order], capacities)
-        by_bin = np.lexsort([at, number])
-        order, number = order[by_bin], number[by_bin]
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    # a token is a byte at least, and each row has an end
+    groups = max(1, -(-(rows + (size or 0)) // (2 * group_tokens)))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.lit(0).cast("bigint").alias("row"))
+    if groups > 1 and not keyed.groupBy("doc_id", "text_key").count().where(F.col("count") > SAME).isEmpty():
+        keyed = keyed.withColumn("row", F.monotonically_increasing_id())
+    keys = ["doc_id", "text_key", "piece", "row"]
+    dealt = pieces(keyed, capacities[-1]).withColumn("group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+
+    def out(group: int, rows: list[tuple]) -> pa.RecordBatch:
+        """rows: doc_id, piece, size, ids of a group, by falling size."""
+        number, at = pack(np.array([r[2] for r in rows], np.int64), capacities)
+        order = np.lexsort([at, number]).tolist()
+        rows, number = [rows[i] for i in order], number[order]
         first = np.flatnonzero(np.diff(number, prepend=-1))
-        ends = np.append(first[1:], len(number))
-        doc_ids, piece, raw, held = (rows[c].take(pa.array(order)).to_pylist() for c in ("doc_id", "piece", "ids", "size"))
-        used = np.add.reduceat(np.array(held, np.int64), first)
-        out = {"group": [key[0].as_py()] * len(first), "bin": number[first], "capacity": pa.array(np.array(capacities)[np.searchsorted(capacities, used)], pa.int32()), "used": pa.array(used, pa.int32())}
-        out["ids"] = pa.array([packed_ids(np.concatenate([unpacked_ids(x) for x in raw[a:b]])) for a, b in zip(first, ends)], pa.binary())
-        out["doc_ids"] = pa.array([doc_ids[a:b] for a, b in zip(first, ends)], pa.list_(pa.int64()))
-        out["pieces"] = pa.array([piece[a:b] for a, b in zip(first, ends)], pa.list_(pa.int32()))
-        out["starts"] = pa.array([[0, *np.cumsum(held[a : b - 1]).tolist()] for a, b in zip(first, ends)], pa.list_(pa.int32()))
-        return pa.table(out)
-
-    return dealt.groupBy("group").applyInArrow(run, "group bigint, bin bigint, capacity int, used int, ids binary, doc_ids array<bigint>, pieces array<int>, starts array<int>")
+        each = [rows[i:j] for i, j in zip(first.tolist(), [*first[1:].tolist(), len(rows)])]
+        used = np.array([sum(r[2] for r in own) for own in each], np.int64)
+        columns = {
+            "group": pa.array(np.full(len(each), group)), "bin": pa.array(number[first]), "capacity": pa.array(np.array(capacities)[np.searchsorted(capacities, used)], pa.int32()), "used": pa.array(used, pa.int32()),
+            "ids": pa.array([packed_ids(np.concatenate([unpacked_ids(r[3]) for r in own])) for own in each], pa.binary()), "doc_ids": pa.array([[r[0] for r in own] for own in each], pa.list_(pa.int64())),
+            "pieces": pa.array([[r[1] for r in own] for own in each], pa.list_(pa.int32())), "starts": pa.array([[0, *accumulate(r[2] for r in own[:-1])] for own in each], pa.list_(pa.int32())),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for now, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "piece", "size", "ids"))):
+                if now != group:
+                    if held:
+                        yield out(group, held)
+                    group, held = now, []
+                held.append(row)
+        if held:
+            yield out(group, held)
+
+    # a group is a stretch of one partition, and the only one in memory
+    order = ["group", F.col("size").desc(), *keys]
+    ready = dealt.repartition("group").sortWithinPartitions(*order).select("group", "doc_id", "piece", "size", "ids")
+    return ready.mapInArrow(run, "group bigint, bin bigint, capacity int, used int, ids binary, doc_ids array<bigint>, pieces array<int>, starts array<int>")
 
 
 def rows_of(packed_bins: DataFrame) -> DataFrame:
