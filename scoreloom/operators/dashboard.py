@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.scoring import ratio
+from .quantiles import quantiles
+
+LETTERS = scoring.LETTERS
+
 
 def count() -> Column:
     return F.count(F.lit(1))
-LETTERS = scoring.LETTERS
 
 
 def subsets() -> Column:
@@ -68,24 +71,30 @@ def histogram(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return slots.join(counts, [*by, "bin"], "left").select(*by, "bin", low.alias("low"), high.alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def summary_columns(value: str, prefix: str = "") -> list[Column]:
-    """Quantiles of one value in one pass."""
-    cut = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(value).alias(f"{prefix}count"), F.avg(value).alias(f"{prefix}mean"), F.min(value).cast("double").alias(f"{prefix}min"), F.max(value).cast("double").alias(f"{prefix}max"), cut.alias(f"{prefix}cuts"), F.stddev_pop(value).alias(f"{prefix}stddev")]
+def _with(out: DataFrame, more: DataFrame, *by: str) -> DataFrame:
+    """out with the columns of more, one row a group; without groups both have one row at most."""
+    if by:
+        return out.join(more, list(by), "left")
+    return out.withColumn("one_", F.lit(1)).join(more.withColumn("one_", F.lit(1)), "one_", "left").drop("one_")
 
 
 def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    out = rows.groupBy(*by).agg(*summary_columns(value))
-    return out.select(*by, "count", "mean", F.get("cuts", F.lit(1)).alias("median"), "min", "max", F.get("cuts", F.lit(0)).alias("p25"), F.get("cuts", F.lit(2)).alias("p75"), F.round("stddev", 6).alias("stddev"))
+    """A26."""
+    out = rows.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), F.round(F.stddev_pop(value), 6).alias("stddev"))
+    both = _with(out, quantiles(rows, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, *by), *by)
+    return both.select(*by, "count", "mean", "median", "min", "max", "p25", "p75", "stddev")
 
 
 def subset_metrics(rows: DataFrame) -> DataFrame:
     """A27 without its distributions."""
     total = Window.partitionBy()
-    out = exploded_subsets(rows).groupBy("subset").agg(count().alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.count(F.when(F.col("multimodal"), 1)).alias("vision"), *summary_columns("points_earned", "points_"), *summary_columns("latency_ms", "latency_"))
+    subsets = exploded_subsets(rows)
+    out = subsets.groupBy("subset").agg(count().alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.count(F.when(F.col("multimodal"), 1)).alias("vision"), F.avg("points_earned").alias("points_mean"), F.avg("latency_ms").alias("latency_mean"))
+    for value, name in (("points_earned", "points_median"), ("latency_ms", "latency_median")):
+        out = _with(out, quantiles(subsets, value, {name: 0.5}, "subset"), "subset")
     # at most four rows here
     share = F.col("count") / F.max(F.when(F.col("subset") == "all", F.col("count"))).over(total)
-    return out.select("subset", "count", share.alias("share"), ratio(F.col("correct"), F.col("count")).alias("accuracy"), ratio(F.col("vision"), F.col("count")).alias("multimodal_share"), "points_mean", F.get("points_cuts", F.lit(1)).alias("points_median"), "latency_mean", F.get("latency_cuts", F.lit(1)).alias("latency_median"))
+    return out.select("subset", "count", share.alias("share"), ratio(F.col("correct"), F.col("count")).alias("accuracy"), ratio(F.col("vision"), F.col("count")).alias("multimodal_share"), "points_mean", "points_median", "latency_mean", "latency_median")
 
 
 def distribution(rows: DataFrame, key: str, by_range: bool = False, limit: int | None = None) -> DataFrame:
@@ -183,10 +192,11 @@ def z_scores(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def quantile_bins(rows: DataFrame, value: str, q: int) -> DataFrame:
-    """Bins by exact quantiles, equal edges dropped; the lowest value is in the first bin."""
-    cuts = rows.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("cuts"))
-    place = F.greatest(F.lit(1), F.size(F.filter("cuts", lambda c: c < F.col(value))))
-    return rows.join(F.broadcast(cuts)).withColumn("bin", place - 1).drop("cuts")
+    """Bins by exact quantiles, equal edges dropped; the lowest value is in the first bin. q + 1 edges come to the driver."""
+    edges = quantiles(rows, value, {f"q{i}": i / q for i in range(q + 1)}).first()
+    cuts = sorted({x for x in edges or () if x is not None})
+    below = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return rows.withColumn("bin", F.greatest(F.lit(1), below) - 1)
 
 
 def ema(rows: DataFrame, group: list[str], order: list[str], value: str, alpha: float = 0.2) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.scoring import ratio
+from .quantiles import quantiles
 
 TOKENS = ("total_tokens", "prompt_tokens", "completion_tokens", "reasoning_tokens")
 
@@ -47,7 +48,9 @@ def point_totals(rows: DataFrame, *by: str) -> DataFrame:
 
 def latency(rows: DataFrame, *by: str) -> DataFrame:
     """A05."""
-    return rows.where(answered()).groupBy(*by).agg(F.avg("latency_ms").alias("mean_latency"), F.median("latency_ms").alias("median_latency"))
+    known = rows.where(answered())
+    means, middle = known.groupBy(*by).agg(F.avg("latency_ms").alias("mean_latency")), quantiles(known, "latency_ms", {"median_latency": 0.5}, *by)
+    return means.join(middle, list(by), "left")
 
 
 def token_usage(rows: DataFrame, *by: str) -> DataFrame:

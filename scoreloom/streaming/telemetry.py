@@ -160,8 +160,8 @@ def pace(events: DataFrame) -> DataFrame:
     return events.groupBy("model").applyInPandasWithState(run, "model string, samples bigint, token_rate double, request_rate double, middle double, deviation double", PACE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str, what: str) -> DataFrame:
-    """Runs a stream over all there is and gives its sink's last batch as a table."""
+def drained(stream: DataFrame, mode: str, what: str, key: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over all there is and gives what its sink has: of complete batches the last one, of updates the last one of each key."""
     spark, path = stream.sparkSession, shared_dir(stream.sparkSession, what)
 
     def put(rows: DataFrame, batch: int) -> None:
@@ -169,5 +169,9 @@ def drained(stream: DataFrame, mode: str, what: str) -> DataFrame:
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     rows = spark.read.parquet(f"{path}/out")
-    last = rows.agg(F.max("batch_")).first()[0]
-    return rows.where(F.col("batch_") == last).drop("batch_") if mode == "complete" else rows
+    if mode == "complete":
+        return rows.where(F.col("batch_") == rows.agg(F.max("batch_")).first()[0]).drop("batch_")
+    if key:
+        names = [c for c in rows.columns if c != "batch_"]
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*names), "batch_").alias("x")).select("x.*")
+    return rows.drop("batch_")
