@@ -2,13 +2,15 @@
 
 The base rules are counts of one text. The method compares its histograms of
 character classes and of frequent words with references by Jensen-Shannon
-distance. References are summed over all rows of the table that pass the base
-rules, one for each of LANGUAGES (rows of any other language are not in a
-reference but are judged). A text is judged by the nearest reference, so a
-wrong or missing language does it no harm, and only if it is long enough for
-the histogram to mean something.
-
-Rows: null text counts as empty and fails the base rules; repeated rows are
+distance. References are sums over documents that are known to be good (the
+query takes those that labels call so), one for each of LANGUAGES; a language
+without such a document has the table's rows that pass the base rules instead
+(rows of any other language are not in a reference but are judged). A text is
+judged by the nearest reference, so a wrong or missing language does it no harm,
+and only if it is long enough for the histogram to mean something.
+
+Rows: null text counts as empty and fails the base rules; a null doc_id is known
+to be good by no label; repeated rows are
 judged each on their own; an empty table, or one without a reference, gives
 base verdicts only; columns other than doc_id, text and lang are not read, and
 a table without lang has one reference.
@@ -52,15 +54,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
-def references(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of each language as shares: at most as many rows as LANGUAGES come to the driver."""
-    good = counted.where(~base_failed() & F.col("lang").isin(*LANGUAGES))
+def references(counted: DataFrame, good: DataFrame | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Histograms of each language as shares. good: doc_id. At most two rows for each of LANGUAGES come to the driver."""
+    passed = counted.where(~base_failed() & F.col("lang").isin(*LANGUAGES))
     sums = [F.sum(F.get("chars", F.lit(i))) for i in range(len(CLASSES))] + [F.sum(F.get("words", F.lit(i))) for i in range(len(WORDS) + 1)]
+    found = {r[0]: r[1:] for r in passed.groupBy("lang").agg(*sums).collect()}
+    if good is not None:
+        known = passed.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+        found |= {r[0]: r[1:] for r in known.groupBy("lang").agg(*sums).collect()}
     out = {}
-    for lang, *values in good.groupBy("lang").agg(*sums).collect():
+    for lang, values in sorted(found.items()):
         chars, words = np.array(values[: len(CLASSES)], float), np.array(values[len(CLASSES) :], float)
         out[lang] = chars / chars.sum(), words / words.sum()
-    return dict(sorted(out.items()))
+    return out
 
 
 def distance(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -73,10 +79,10 @@ def distance(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (to_middle(rows) + to_middle(np.broadcast_to(reference, rows.shape))) / 2))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and the distances char_distance and word_distance."""
+def judge(docs: DataFrame, good: DataFrame | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, and the distances char_distance and word_distance. good: doc_id of documents known to be good."""
     counted = common.written(counts(docs), "quality-counts")
-    known = references(counted)
+    known = references(counted, good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,4 +104,4 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "documents"))
+    return judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels").where("quality = 1"))

@@ -247,10 +247,48 @@ def test_quality_rules(odd, none):
     assert quality_rules.distance(p, q)[0] == pytest.approx(0.5**0.5) and quality_rules.distance(p, p[0])[0] == 0
 
 
+def test_quality_rules_against_plain_distances(spark):
+    """kept by a plain restatement: references of labelled rows, Jensen-Shannon distances by the sum, length guards."""
+    import math
+
+    docs = common.table(spark, SF, "documents").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(10**6 + i, ("zq9 " + "@@ ## $$ " * (i % 3)) * 100 if i % 2 else "lorem " + " ".join(f"x{j}" for j in range(300)), "en") for i in range(200)], "doc_id bigint, text string, lang string")
+    rows = docs.unionByName(junk)
+    good = common.table(spark, SF, "labels").where("quality = 1")
+    labelled = {r.doc_id for r in good.collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(rows, good).collect()}
+    counted = {r.doc_id: r for r in quality_rules.counts(rows).collect()}
+    failed = lambda r: r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+    sums = {}
+    for r in counted.values():
+        if r.lang in quality_rules.LANGUAGES and not failed(r) and r.doc_id in labelled:
+            chars, freq = sums.setdefault(r.lang, ([0] * len(r.chars), [0] * len(r.words)))
+            for total, part in ((chars, r.chars), (freq, r.words)):
+                for i, v in enumerate(part):
+                    total[i] += v
+    shares = lambda x: [v / max(1, sum(x)) for v in x]
+
+    def distance(p, q):
+        half = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b) if x > 0)
+        return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+    assert len(sums) == 4
+    for doc_id, r in counted.items():
+        chars = min(distance(shares(r.chars), shares(c)) for c, _ in sums.values())
+        freq = min(distance(shares(r.words), shares(w)) for _, w in sums.values())
+        far = sum(r.chars) >= 200 and chars > 0.32 or r.n_words >= 60 and freq > 0.45
+        assert got[doc_id].kept == (not failed(r) and not far) and got[doc_id].char_distance == pytest.approx(chars, abs=1e-9) and got[doc_id].word_distance == pytest.approx(freq, abs=1e-9)
+    # more junk than documents changes no reference
+    assert not any(got[10**6 + i].kept for i in range(200)) and all(got[d].kept for d in labelled if d in got and not failed(counted[d]))
+    # without labels the table's own rows are the references
+    assert quality_rules.judge(rows, good.limit(0)).count() == len(got)
+
+
 def test_quality_rules_keep_clean(spark):
     docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
-    good = quality_rules.judge(docs).join(labels, "doc_id").where("quality = 1 and not base_failed")
-    assert good.where("not kept").count() <= 0.01 * good.count()
+    for known in (None, labels.where("quality = 1")):
+        good = quality_rules.judge(docs, known).join(labels, "doc_id").where("quality = 1 and not base_failed")
+        assert good.where("not kept").count() <= 0.01 * good.count()
 
 
 def test_bpe(odd, none):
@@ -594,6 +632,97 @@ def test_quality_model(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(odd_rows())
 
 
+def test_quality_model_against_plain_fit():
+    """The fit and the scores against row-by-row code with the same rules."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=300), rng.integers(0, 4, 300), rng.random(300), np.ones(300)])
+    y = ((x[:, 0] + 2 * (x[:, 1] > 1) * (x[:, 2] > 0.5) + rng.normal(size=300) * 0.3) > 0.8).astype(float)
+    q, monkey = quality_model, {"ROUNDS": 12, "PAIR_ROUNDS": 6, "PAIRS": 2}
+    old = {k: getattr(q, k) for k in monkey}
+    for k, v in monkey.items():
+        setattr(q, k, v)
+    try:
+        model = q.fit(x, y)
+    finally:
+        for k, v in old.items():
+            setattr(q, k, v)
+    edges = [sorted(set(np.quantile(x[:, i], np.linspace(0, 1, q.BINS + 1)[1:-1]).tolist())) for i in range(4)]
+    place = [[sum(v >= e for e in edges[i]) for i, v in enumerate(row)] for row in x.tolist()]
+    coarse = [[b * q.PAIR_BINS // (len(edges[i]) + 1) for i, b in enumerate(row)] for row in place]
+    share = y.mean()
+    f = [np.log(share / (1 - share))] * len(y)
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+
+    def slopes():
+        p = [1 / (1 + np.exp(-v)) for v in f]
+        return [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+
+    score = lambda g, h: g * g / (h + q.RIDGE)
+
+    def tree(bins, depth):
+        """bins: (g, h, n) of each; the values of each."""
+        total = [sum(b[k] for b in bins) for k in range(3)]
+        best = None
+        for cut in range(1, len(bins)):
+            left, right = ([sum(b[k] for b in part) for k in range(3)] for part in (bins[:cut], bins[cut:]))
+            if left[2] >= q.LEAF_ROWS and right[2] >= q.LEAF_ROWS:
+                gain = score(*left[:2]) + score(*right[:2])
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, cut
+        if depth and best and best[0] > score(*total[:2]) + 1e-9:
+            return tree(bins[: best[1]], depth - 1) + tree(bins[best[1] :], depth - 1)
+        return [-total[0] / (total[1] + q.RIDGE)] * len(bins)
+
+    for _ in range(12):
+        for i, t in enumerate(tables):
+            g, h = slopes()
+            bins = [[sum(g[r] for r in range(300) if place[r][i] == b), sum(h[r] for r in range(300) if place[r][i] == b), sum(place[r][i] == b for r in range(300))] for b in range(len(t))]
+            for b, v in enumerate(tree(bins, 2)):
+                t[b] += q.RATE * v
+                for r in range(300):
+                    if place[r][i] == b:
+                        f[r] += q.RATE * v
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(model.tables, tables))
+    pairs = [(i, j, np.zeros((q.PAIR_BINS, q.PAIR_BINS))) for i, j, _ in model.pairs]
+    assert 0 < len(pairs) <= 2 and all(i > j for i, j, _ in pairs)
+
+    def cross(i, j, g, h):
+        best = None
+        for a in range(q.PAIR_BINS - 1):
+            for b in range(q.PAIR_BINS - 1):
+                parts = {k: [0.0, 0.0] for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+                for r in range(300):
+                    k = (int(coarse[r][i] > a), int(coarse[r][j] > b))
+                    parts[k][0] += g[r]
+                    parts[k][1] += h[r]
+                gain = sum(score(*p) for p in parts.values())
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, a, b, parts
+        return best
+
+    for _ in range(6):
+        for i, j, t in pairs:
+            g, h = slopes()
+            _, a, b, parts = cross(i, j, g, h)
+            for u in range(q.PAIR_BINS):
+                for v in range(q.PAIR_BINS):
+                    pg, ph = parts[int(u > a), int(v > b)]
+                    t[u, v] += q.RATE * -pg / (ph + q.RIDGE)
+            for r in range(300):
+                pg, ph = parts[int(coarse[r][i] > a), int(coarse[r][j] > b)]
+                f[r] += q.RATE * -pg / (ph + q.RIDGE)
+    assert np.allclose(model.score(x), [1 / (1 + np.exp(-v)) for v in f], atol=1e-8)
+
+
+def test_quality_model_with_repeated_ids(spark):
+    """Rows with one labelled doc_id bring one row to the driver, whatever their number, and the fit is that of one."""
+    docs, labels = common.table(spark, SF, "documents").select("doc_id", "text"), common.table(spark, SF, "labels")
+    first = labels.where("quality is not null").orderBy("doc_id").first().doc_id
+    many = docs.unionByName(docs.where(f"doc_id = {first}").crossJoin(spark.range(300)).select("doc_id", "text")).repartition(3)
+    a, b = quality_model.train(docs, labels), quality_model.train(many, labels)
+    assert a.intercept == b.intercept and all((x == y).all() for x, y in zip(a.tables, b.tables))
+
+
 def test_url_filter(spark):
     urls = [
         None, "", "nothing", "http://example.org/es/a", "https://a.Example.ORG/en/1x?y", "http://example.org", "http://notorg/x", "http://x.org/", "http://shop.com/de/1", "http://com/fr/", "http://a.com/es/?q=/de/",
