@@ -183,6 +183,38 @@ def test_gray_index():
         assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if bucket[i] == bucket[j] and (int(code[i]) ^ int(code[j])).bit_count() <= 3}
 
 
+def test_blocks(spark):
+    """Codes that differ in three bits at most share a bucket in each of the schemes."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        pairs.append((x, x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    frame = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a bigint, b bigint")
+    from pyspark.sql import functions as F
+
+    for parts, equal in ((4, 1), (5, 2), (6, 3), (8, 5)):
+        assert sum(bits for _, bits in near_dedup.blocks(parts, parts)[0]) == 64
+        shared = frame.select(F.arrays_overlap(near_dedup._keys(F.col("a"), parts, equal), near_dedup._keys(F.col("b"), parts, equal)).alias("x"))
+        assert shared.where("x").count() == len(pairs)
+
+
+def test_parts_of_token_files(spark):
+    """A doc_id, or none, that fills several parts is dealt over them; order and starts stay right."""
+    last = np.array([5, 7, 7, 7, 9], np.int64)
+    keys = np.array([0, 1 << 62, -(1 << 62), -1, 0, 0, 0], np.int64)
+    assert token_files.part_of(np.array([7, 7, 7, 7, 5, 6, 10]), keys, last).tolist() == [1, 1, 3, 3, 0, 1, 5]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (i % 7)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    path = common.shared_dir(spark, "t")
+    token_files.write(docs, path, P.path("byte_bpe_50k.json"), 8)
+    got = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))] and len(got) == 600
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order) and len({r.part for r in spark.read.parquet(path).select("part").collect()}) > 4
+
+
 def test_dense_bucket(spark):
     """More near fingerprints than a bucket may hold: dealt anew and in chunks, nothing lost."""
     rng = random.Random(2)
