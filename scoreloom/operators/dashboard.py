@@ -60,8 +60,8 @@ def histogram(rows: DataFrame, value: str, *by: str) -> DataFrame:
     edges = known.groupBy(*by).agg(count().alias("n"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     flat = F.abs(F.col("hi") - F.col("lo")) <= 1e-9 * F.greatest(F.abs("hi"), F.abs("lo"))
     edges = edges.withColumn("bins", F.when(flat, 1).otherwise(F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.sqrt("n")).cast("int")))))
-    # a few rows, one for each group
-    both = known.join(F.broadcast(edges), list(by)) if by else known.join(F.broadcast(edges))
+    # one row in all without groups; with them Spark goes by their size
+    both = known.join(edges, list(by)) if by else known.join(F.broadcast(edges))
     step = (F.col("hi") - F.col("lo")) / F.col("bins")
     place = F.when(F.col("bins") == 1, 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / step), F.col("bins") - 1)).cast("int")
     counts = both.groupBy(*by, place.alias("bin")).agg(count().alias("count"))

@@ -131,3 +131,38 @@ def id_midpoints(spark, sf):
     ranged = lambda c: F.when(F.col("idx") % 3 == 0, F.col(c))
     name = F.when(F.col("idx") % 3 == 1, F.concat(F.lit("b_"), F.col("lo").cast("int"), F.lit("-"), F.round("hi").cast("int"))).otherwise("top")
     return human_bins(spark, sf).select("year", "grade", "idx", h.id_midpoint(name, ranged("lo"), ranged("hi")).alias("mid"))
+
+
+@query("O14_bucket_order", """
+SELECT "group", CASE "group" WHEN '3-4' THEN 0 WHEN '5-6' THEN 1 WHEN '7-8' THEN 2 WHEN '9-10' THEN 3 WHEN '11-13' THEN 4 ELSE CASE WHEN "group" IS NULL THEN 99 ELSE 98 END END AS place, count(*) AS n FROM results GROUP BY ALL""")
+def bucket_order(spark, sf):
+    """Labels that are no bucket come after all buckets, and no label after those."""
+    return results(spark, sf).groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumn("place", scoring.bucket_order("group"))
+
+
+@query("S02_S12_resolved_path", "SELECT 'given' AS how, count(*) AS n FROM part UNION ALL SELECT 'under a root', count(*) FROM part UNION ALL SELECT 'by name', count(*) FROM part")
+def resolved_path(spark, sf):
+    """A table by its path, by a path under one of the roots, and by its name alone."""
+    top, name = sf.rstrip("/").rsplit("/", 1)
+    ways = {"given": (f"{sf}/part.parquet", ()), "under a root": (f"{name}/part.parquet", ("/nowhere", top)), "by name": ("elsewhere/part.parquet", ("/nowhere", sf))}
+    out = None
+    for how, (path, roots) in ways.items():
+        one = spark.read.parquet(readers.resolved(spark, path, roots)).agg(F.lit(how).alias("how"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("S20_dotenv", "SELECT n_name AS name, CASE WHEN n_nationkey = 0 THEN 'set before' ELSE 'value ' || n_nationkey END AS value FROM nation")
+def environment(spark, sf):
+    """A settings file of the driver, a line a nation; what is set already stays."""
+    import os
+    import tempfile
+
+    names = [(r.n_name, r.n_nationkey) for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    forms = ("{}=value {}", "export {}='value {}'", '  {} = "value {}"  ')
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, ".env")
+        with open(path, "w") as f:
+            f.write("# settings\n\n" + "\n".join(forms[k % 3].format(n, k) for n, k in names))
+        got = readers.dotenv(path, {names[0][0]: "set before"})
+    return spark.createDataFrame(sorted(got.items()), "name string, value string")
