@@ -166,3 +166,13 @@ def environment(spark, sf):
             f.write("# settings\n\n" + "\n".join(forms[k % 3].format(n, k) for n, k in names))
         got = readers.dotenv(path, {names[0][0]: "set before"})
     return spark.createDataFrame(sorted(got.items()), "name string, value string")
+
+
+@query("H03_range_overrides", "SELECT year, grade, idx, CASE WHEN idx % 4 = 0 THEN lo + 0.25 ELSE lo END::DOUBLE AS lo, CASE WHEN idx % 4 = 0 THEN hi + 0.5 ELSE hi END::DOUBLE AS hi, n FROM human_bins")
+def range_overrides(spark, sf):
+    """Every fourth bin has a range of the grade's own beside the default."""
+    bins = human_bins(spark, sf)
+    given = lambda lo, hi: F.struct(lo.alias("min"), hi.alias("max"))
+    own = F.when(F.col("idx") % 4 == 0, F.create_map(F.col("grade"), given(F.col("lo") + 0.25, F.col("hi") + 0.5))).otherwise(F.create_map(F.lit("none"), given(F.lit(0.0), F.lit(0.0))))
+    ranged = bins.withColumn("ranges_by_grade", own).withColumn("range_default", given(F.col("lo"), F.col("hi")))
+    return h.with_range(ranged).select("year", "grade", "idx", "lo", "hi", "n")
