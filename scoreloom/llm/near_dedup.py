@@ -4,8 +4,8 @@ Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit
 blocks, so each distinct fingerprint goes to four buckets, and any link is seen
 in one of them; with more fingerprints buckets are by two of five blocks, then by
 three of six. Rows of a bucket over CAP are dealt anew by five of eight blocks,
-and what is still over CAP is cut in chunks whose pairs are searched one by one;
-no row is dropped and no task holds more than 2 * CAP rows of a bucket.
+and what is still over CAP is cut in stretches along the Gray order, whose pairs are
+searched one by one where their shared bits allow a link; no row is dropped and no task holds more than 2 * CAP rows of a bucket.
 
 In a bucket rows are sorted by Gray rank, which sets codes with few different
 bits side by side. FAN rows make a leaf node, FAN nodes the next, and a node
@@ -139,12 +139,29 @@ def _keys(fp: Column, parts: int, equal: int) -> Column:
     return F.array(*keys)
 
 
+def chunk_pairs(dense: DataFrame, cap: int, distance: int) -> DataFrame:
+    """g, part, fp: the rows of buckets over cap in stretches of cap along the Gray order, and of two stretches all rows where both may hold a link.
+
+    A stretch is a node of the Gray tree: it has the bits that all its rows share, and two stretches
+    that differ in more shared bits than the distance are left as a whole.
+    """
+    place = F.row_number().over(Window.partitionBy("g").orderBy(gray_rank(F.col("fp")))) - 1
+    rows = common.written(dense.select("g", "fp", F.floor(place / cap).cast("bigint").alias("chunk")), "chunks")
+    nodes = rows.groupBy("g", "chunk").agg(F.bit_and("fp").alias("value"), F.bitwise_not(F.bit_and("fp").bitwiseXOR(F.bit_or("fp"))).alias("mask"))
+    other = nodes.select("g", *[F.col(c).alias(f"{c}_") for c in ("chunk", "value", "mask")])
+    differ = F.bit_count(F.col("value").bitwiseXOR(F.col("value_")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask_")))
+    near = nodes.join(other, "g").where((F.col("chunk") <= F.col("chunk_")) & (differ <= distance))
+    part = F.shiftleft("chunk", 31).bitwiseOR(F.col("chunk_"))
+    sides = near.select("g", part.alias("part"), F.explode(F.array_distinct(F.array("chunk", "chunk_"))).alias("chunk"))
+    return rows.join(sides, ["g", "chunk"]).select("g", "part", "fp")
+
+
 def bucketed(distinct: DataFrame, cap: int = CAP, distance: int = DISTANCE) -> DataFrame:
     """kind, g, part, fp: rows to be searched with each other are those with equal kind, g and part.
 
     Buckets by one of four blocks hold CAP rows up to some 65 million fingerprints, by two of
     five up to some 10**11, by three of six beyond. Rows of a larger bucket are dealt anew by five
-    of eight, and what is still larger is cut in chunks whose pairs are searched one by one.
+    of eight, and what is still larger is cut along the Gray order: see chunk_pairs().
     """
     n = distinct.count()
     equal = 1 if n <= cap << 15 else 2 if n <= cap << 25 else 3
@@ -152,14 +169,11 @@ def bucketed(distinct: DataFrame, cap: int = CAP, distance: int = DISTANCE) -> D
     cold, hot = _split_hot(rows, cap)
     deeper = hot.select("fp").distinct().select("fp", F.explode(_keys(F.col("fp"), 5 + distance, 5)).alias("g"))
     cool, dense = _split_hot(common.written(deeper, "deeper-blocks"), cap)
-    chunks = F.ceil(F.col("n") / cap).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pairs = dense.withColumn("chunks", chunks).withColumn("own", chunk).select("fp", "g", "chunks", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
+    pairs = chunk_pairs(dense, cap, distance)
     return (
-        cold.select(F.lit(0).alias("kind"), "g", F.lit(0).alias("part"), "fp")
-        .unionByName(cool.select(F.lit(1).alias("kind"), "g", F.lit(0).alias("part"), "fp"))
-        .unionByName(pairs.select(F.lit(2).alias("kind"), "g", part.alias("part"), "fp"))
+        cold.select(F.lit(0).alias("kind"), "g", F.lit(0).cast("bigint").alias("part"), "fp")
+        .unionByName(cool.select(F.lit(1).alias("kind"), "g", F.lit(0).cast("bigint").alias("part"), "fp"))
+        .unionByName(pairs.select(F.lit(2).alias("kind"), "g", "part", "fp"))
     )
 
 
