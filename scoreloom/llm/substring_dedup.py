@@ -366,7 +366,7 @@ def dedup(docs: DataFrame, index: WindowIndex, corpus: DataFrame | None = None,
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = WindowIndex(spark, common.shared_dir(spark, "window-index"), buckets)
     try:
         return dedup(docs, index, batches=BATCHES).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
