@@ -167,7 +167,8 @@ def bins(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group_tokens
 
     # a group is a stretch of one partition, and the only one in memory
     order = ["group", F.col("size").desc(), *keys]
-    ready = dealt.repartition("group").sortWithinPartitions(*order).select("group", "doc_id", "piece", "size", "ids")
+    parts = min(groups, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ready = dealt.repartitionById(parts, F.pmod("group", F.lit(parts)).cast("int")).sortWithinPartitions(*order).select("group", "doc_id", "piece", "size", "ids")
     return ready.mapInArrow(run, "group bigint, bin bigint, capacity int, used int, ids binary, doc_ids array<bigint>, pieces array<int>, starts array<int>")
 
 
