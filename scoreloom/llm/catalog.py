@@ -11,6 +11,7 @@ from .quality_rules import op3_quality_rules
 from .secret_scan import op5_secret_scan
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_files import op7_token_files
+from .toxicity import op11_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
+    "op11_toxicity": op11_toxicity,
 }
 
 ORACLES: dict[str, str] = {
