@@ -9,6 +9,7 @@ from .packing import op8_packing
 from .quality_model import op9_quality_model
 from .quality_rules import op3_quality_rules
 from .secret_scan import op5_secret_scan
+from .spelling import OP13_SQL, op13_spelling
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_files import op7_token_files
 from .toxicity import op11_toxicity
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
     "op11_toxicity": op11_toxicity,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_url_filter": OP10_SQL,
+    "op13_spelling": OP13_SQL,
 }
