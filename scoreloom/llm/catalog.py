@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .near_dedup import op2_near_dedup
 from .packing import op8_packing
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality_model import op9_quality_model
 from .quality_rules import op3_quality_rules
 from .secret_scan import op5_secret_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
     "op11_toxicity": op11_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling": op13_spelling,
 }
 
@@ -34,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_url_filter": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_spelling": OP13_SQL,
 }
