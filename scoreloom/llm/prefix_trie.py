@@ -44,7 +44,7 @@ from . import common
 #: Conversations that share by number, and the most turns that one takes from another.
 GROUP, MOST_TAKEN = 20, 3
 #: A node with more members is heavy; of a large table, one with more than this share of all.
-LEAST_HEAVY, MOST_UPPER = 4096, 20_000
+LEAST_HEAVY, MOST_UPPER = 256, 20_000
 #: Nodes of whole shards worked on at once; members in a stretch of a list.
 FOREST, STRETCH = 1 << 17, 4096
 _NODE = "ka bigint, kb bigint, pa bigint, pb bigint, depth bigint, conv_id bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, total bigint, top boolean"
