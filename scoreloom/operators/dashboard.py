@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.scoring import ratio
-from .quantiles import quantiles
+from .quantiles import quantiles, quantiles_of
 
 LETTERS = scoring.LETTERS
 
@@ -86,15 +86,25 @@ def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def subset_metrics(rows: DataFrame) -> DataFrame:
-    """A27 without its distributions."""
+    """A27 without its distributions. Rows are summed and their values counted by class; the subset of all is made of the classes' sums."""
     total = Window.partitionBy()
-    subsets = exploded_subsets(rows)
-    out = subsets.groupBy("subset").agg(count().alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.count(F.when(F.col("multimodal"), 1)).alias("vision"), F.avg("points_earned").alias("points_mean"), F.avg("latency_ms").alias("latency_mean"))
-    for value, name in (("points_earned", "points_median"), ("latency_ms", "latency_median")):
-        out = _with(out, quantiles(subsets, value, {name: 0.5}, "subset"), "subset")
+    kinds = rows.withColumn("kind", subsets()[1])
+    whole = F.explode(F.array(F.lit("all"), "kind")).alias("subset")
+    known = lambda c: [F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n")]
+    sums = kinds.groupBy("kind").agg(count().alias("count"), F.count(F.when(F.col("is_correct"), 1)).alias("correct"), F.count(F.when(F.col("multimodal"), 1)).alias("vision"), *known("points_earned"), *known("latency_ms"))
+    out = sums.select(whole, "*").groupBy("subset").agg(*[F.sum(c).alias(c) for c in sums.columns if c != "kind"])
+    values = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v_")) for c in ("points_earned", "latency_ms")]))
+    counts = kinds.select("kind", values).where("v_ is not null").groupBy("kind", "name", "v_").agg(count().alias("n_"))
+    counts = counts.select(whole, "name", "v_", "n_").groupBy("subset", "name", "v_").agg(F.sum("n_").alias("n_"))
+    middle = quantiles_of(counts, {"median": 0.5}, "subset", "name").groupBy("subset").agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(m) for c, m in (("points_earned", "points_median"), ("latency_ms", "latency_median"))])
     # at most four rows here
+    out = out.join(middle, "subset", "left")
     share = F.col("count") / F.max(F.when(F.col("subset") == "all", F.col("count"))).over(total)
-    return out.select("subset", "count", share.alias("share"), ratio(F.col("correct"), F.col("count")).alias("accuracy"), ratio(F.col("vision"), F.col("count")).alias("multimodal_share"), "points_mean", "points_median", "latency_mean", "latency_median")
+    mean = lambda c: ratio(F.col(f"{c}_sum"), F.col(f"{c}_n"))
+    return out.select(
+        "subset", "count", share.alias("share"), ratio(F.col("correct"), F.col("count")).alias("accuracy"), ratio(F.col("vision"), F.col("count")).alias("multimodal_share"),
+        mean("points_earned").alias("points_mean"), "points_median", mean("latency_ms").alias("latency_mean"), "latency_median",
+    )
 
 
 def distribution(rows: DataFrame, key: str, by_range: bool = False, limit: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.scoring import ratio
+from .quantiles import quantiles
 
 def count() -> Column:
     return F.count(F.lit(1))
@@ -95,7 +96,8 @@ def token_efficiency(rows: DataFrame, *by: str) -> DataFrame:
 def declined_profile(rows: DataFrame) -> DataFrame:
     """E23."""
     gone = rows.where("declined")
-    return gone.groupBy("modality").agg(count().alias("count"), F.avg("worth").alias("mean_points"), F.median("worth").alias("median_points"))
+    out = gone.groupBy("modality").agg(count().alias("count"), F.avg("worth").alias("mean_points"))
+    return out.join(quantiles(gone, "worth", {"median_points": 0.5}, "modality"), "modality", "left")
 
 
 def missing_cause(columns: list[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import grade_numbers, ratio, start_capital
+from .quantiles import quantiles
 
 GRADE = ["year", "grade"]
 
@@ -160,14 +161,16 @@ def cohort(entries: DataFrame) -> DataFrame:
     """Over the runs of a (year, grade): means by maximum (micro) and by run (macro), quantiles, best and worst run."""
     w = F.when(F.col("llm_max") > 0, F.col("llm_max")).otherwise(1.0)
     micro = lambda c: ratio(F.sum(F.col(c) * w), F.sum(F.when(F.col(c).isNotNull(), w)))
-    quantile = lambda p: F.when(F.count("percentile") >= 2, F.percentile("percentile", F.lit(p)))
     best, worst = F.struct(F.col("percentile"), F.col("order").alias("o")), F.struct(F.col("percentile"), -F.col("order"))
     ordered = entries.withColumn("order", -F.dense_rank().over(Window.partitionBy("year", "grade").orderBy("run_id")))
-    return ordered.groupBy(*GRADE).agg(
+    out = ordered.groupBy(*GRADE).agg(
         F.count(F.lit(1)).alias("runs"), micro("llm_pct").alias("micro_pct"), F.avg("llm_pct").alias("macro_pct"), micro("percentile").alias("micro_percentile"), F.avg("percentile").alias("macro_percentile"),
-        quantile(0.5).alias("median"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"), F.min("percentile").alias("low"), F.max("percentile").alias("high"),
+        F.count("percentile").alias("known"), F.min("percentile").alias("low"), F.max("percentile").alias("high"),
         F.max_by("run_id", best).alias("best_run"), F.min_by("run_id", worst).alias("worst_run"),
     )
+    cuts = quantiles(entries, "percentile", {"median": 0.5, "p25": 0.25, "p75": 0.75}, *GRADE)
+    two = [F.when(F.col("known") >= 2, F.col(c)).alias(c) for c in ("median", "p25", "p75")]
+    return out.join(cuts, GRADE, "left").select(*(c for c in out.columns if c != "known"), *two)
 
 
 def weighted(entries: DataFrame, mode: str) -> DataFrame:
