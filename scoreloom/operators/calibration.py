@@ -2,7 +2,7 @@
 
 Difficulty is minus the z-score of an exam's share of points within its group.
 Fits of one variable, and of one beside the year, are moments, so they are plain
-aggregates; only bootstraps and fits of more variables see a group's rows.
+aggregates; bootstraps and fits of more variables are sums as well (resampling).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import resampling, stats
 from .dashboard import leave_one_out
 
 #: Limits of the decision rules.
@@ -51,7 +51,7 @@ def difficulties(series: DataFrame) -> DataFrame:
 
 def composition_residuals(exams: DataFrame, terms: list[str], key: list[str]) -> DataFrame:
     """What a linear fit on an exam's make-up leaves of its value, within group; as difficulty. exams: group, value, key, terms."""
-    rest = stats.residuals(exams, "value", terms, "group", key)
+    rest = resampling.residuals(exams, "value", terms, "group", key)
     per = Window.partitionBy("group")
     spread = F.stddev_pop("residual").over(per)
     return rest.withColumn("difficulty", F.when(spread > NO_SPREAD, -(F.col("residual") - F.avg("residual").over(per)) / spread).otherwise(0.0))
@@ -122,22 +122,15 @@ def _verdict(passed: Column, of: int, usable: float) -> Column:
     return F.when(passed >= of * usable, "usable").when(passed >= of * 0.5, "uncertain").otherwise("not_usable")
 
 
-def trend_intervals(pairs: DataFrame, times: int = 2000) -> DataFrame:
-    """The 95 % percentile interval of the year's coefficient beside llm, by group and series."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        good = rows.dropna(subset=["human", "llm"]).sort_values(["year", "llm", "human"])
-        out = pd.DataFrame({"group": [rows["group"].iloc[0]], "series": [rows["series"].iloc[0]], "gamma_low": [np.nan], "gamma_high": [np.nan]})
-        if len(good) >= 3:
-            y, x = good["human"].to_numpy(float), np.column_stack([np.ones(len(good)), good["llm"].to_numpy(float), good["year"].to_numpy(float) - rows["year"].mean()])
-            picked = stats.draws("|".join(out.iloc[0, :2]), len(y), times)
-            # pinv gives the least-norm solution of each resample, as lstsq does, all at once
-            gamma = np.einsum("bij,bj->bi", np.linalg.pinv(x[picked]), y[picked])[:, 2]
-            out["gamma_low"], out["gamma_high"] = np.percentile(gamma, [2.5, 97.5])
-        return out
-
-    shape = "group string, series string, gamma_low double, gamma_high double"
-    return pairs.select(*KEY, "year", "human", "llm").groupBy(*KEY).applyInPandas(run, shape)
+def trend_intervals(pairs: DataFrame, times: int = resampling.TIMES) -> DataFrame:
+    """The 95 % percentile intervals of the year's coefficient beside llm (gamma), and of intercept and slope of human on llm alone, by group and series."""
+    years = pairs.groupBy(*KEY).agg(F.avg("year").alias("middle"))
+    rows = pairs.join(years, KEY).withColumn("since", F.col("year") - F.col("middle"))
+    order = ["year", "llm", "human"]
+    trend = resampling.of_terms(rows, "human", ["llm", "since"], KEY, times, order).select(*KEY, F.col("c2.low").alias("gamma_low"), F.col("c2.high").alias("gamma_high"))
+    fit = resampling.of_terms(rows, "human", ["llm"], KEY, times, order)
+    ends = [F.col(f"c{i}")[e].alias(f"{n}_{e}") for i, n in enumerate(("alpha", "beta")) for e in ("low", "high")]
+    return years.select(*KEY).join(trend, KEY, "left").join(fit.select(*KEY, *ends), KEY, "left")
 
 
 def decisions(fits: DataFrame, trends: DataFrame) -> DataFrame:
@@ -184,32 +177,16 @@ def alignment_intervals(pairs: DataFrame, times: int = 2000) -> DataFrame:
     return r.unionByName(slope).select(F.split_part("key", F.lit("|"), F.lit(1)).alias("group"), F.split_part("key", F.lit("|"), F.lit(2)).alias("series"), "kind", "value", "low", "high", "n")
 
 
-def composition_effects(pairs: DataFrame, terms: list[str], times: int = 2000) -> DataFrame:
+def composition_effects(pairs: DataFrame, terms: list[str], times: int = resampling.TIMES) -> DataFrame:
     """Human on llm alone and beside the terms of an exam's make-up: coefficients, intervals of beta, and what the terms change."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key = {"group": rows["group"].iloc[0], "series": rows["series"].iloc[0]}
-        out: dict[str, float | None] = {}
-        for name, columns in (("base", ["llm"]), ("comp", ["llm", *terms])):
-            good = rows.dropna(subset=["human", *columns]).sort_values(["year", "llm", "human"])
-            out |= {f"beta_{name}": None, f"beta_{name}_low": None, f"beta_{name}_high": None, f"r2_{name}": None} | ({f"coef_{t}": None for t in terms} if name == "comp" else {})
-            if len(good) < len(columns) + 1:
-                continue
-            y, x = good["human"].to_numpy(float), good[columns].to_numpy(float)
-            coef, r2 = stats.least_squares(x, y)
-            picked = stats.draws("|".join(key.values()), len(y), times)
-            many = np.einsum("bij,bj->bi", np.linalg.pinv(np.column_stack([np.ones(len(y)), x])[picked]), y[picked])[:, 1]
-            out[f"beta_{name}"], out[f"r2_{name}"] = float(coef[1]), r2
-            out[f"beta_{name}_low"], out[f"beta_{name}_high"] = map(float, np.percentile(many, [2.5, 97.5]))
-            if name == "comp":
-                out |= {f"coef_{t}": float(v) for t, v in zip(terms, coef[2:])}
-        less = lambda a, b: None if out[a] is None or out[b] is None else out[a] - out[b]
-        return pd.DataFrame([key | out | {"delta_beta": less("beta_comp", "beta_base"), "delta_r2": less("r2_comp", "r2_base")}], columns=names)
-
-    fields = [f"{c}_{m}{e}" for m in ("base", "comp") for c, e in (("beta", ""), ("beta", "_low"), ("beta", "_high"), ("r2", ""))] + [f"coef_{t}" for t in terms] + ["delta_beta", "delta_r2"]
-    names = [*KEY, *fields]
-    shape = ", ".join(["`group` string", "series string", *(f"`{f}` double" for f in fields)])
-    return pairs.select(*KEY, "year", "human", "llm", *terms).groupBy(*KEY).applyInPandas(run, shape)
+    order = ["year", "llm", "human"]
+    out = pairs.select(*KEY).distinct()
+    for name, columns in (("base", ["llm"]), ("comp", ["llm", *terms])):
+        fit = resampling.of_terms(pairs, "human", columns, KEY, times, order)
+        more = [F.col(f"c{i + 2}.value").alias(f"coef_{t}") for i, t in enumerate(terms)] if name == "comp" else []
+        beta = [F.col("c1")[v].alias(f"beta_{name}{e}") for v, e in (("value", ""), ("low", "_low"), ("high", "_high"))]
+        out = out.join(fit.select(*KEY, *beta, F.col("r2").alias(f"r2_{name}"), *more), KEY, "left")
+    return out.withColumns({"delta_beta": F.col("beta_comp") - F.col("beta_base"), "delta_r2": F.col("r2_comp") - F.col("r2_base")})
 
 
 def two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:

@@ -1,19 +1,16 @@
 """Correlation, regression, bootstrap and decision rules.
 
-Moments that SQL has are aggregates; only regressions with several terms and
-bootstraps go through applyInPandas, one bounded group (a grade bucket) a call.
+Moments that SQL has are aggregates; regressions with several terms and bootstraps
+are sums that add up as well (resampling).
 """
 
 from __future__ import annotations
 
-from zlib import crc32
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ratio
+from . import resampling
 
 
 def pearson(x: str, y: str) -> Column:
@@ -29,87 +26,17 @@ def line(rows: DataFrame, x: str, y: str, *by: str, least: int = 3) -> DataFrame
     return out.where(F.col("n") >= least).withColumn("t", t)
 
 
-def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients with the intercept first, and R squared (0 where y has no spread)."""
-    design = np.column_stack([np.ones(len(x)), x])
-    coef = np.linalg.lstsq(design, y, rcond=None)[0]
-    rest, spread = ((y - design @ coef) ** 2).sum(), ((y - y.mean()) ** 2).sum()
-    return coef, float(1 - rest / spread) if spread > 0 else 0.0
-
-
-def residuals(rows: DataFrame, y: str, terms: list[str], by: str, key: list[str]) -> DataFrame:
-    """Residuals of y on the terms within each group; less its mean where rows are too few."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        good = group.dropna(subset=[y, *terms]).sort_values(key)
-        value, x = good[y].to_numpy(float), good[terms].to_numpy(float)
-        if len(good) > len(terms):
-            coef, _ = least_squares(x, value)
-            rest = value - np.column_stack([np.ones(len(x)), x]) @ coef
-        else:
-            rest = value - value.mean() if len(value) else value
-        return good[[by, *key]].assign(residual=rest)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(by, *key).schema.fields)
-    return rows.select(by, *key, y, *terms).groupBy(by).applyInPandas(run, f"{fields}, residual double")
-
-
-def draws(key: str, n: int, times: int, seed: int = 2025) -> np.ndarray:
-    """Row numbers of `times` resamples; the seed depends on the key alone, not on call order."""
-    return np.random.default_rng([seed, crc32(key.encode())]).integers(0, n, (times, n))
-
-
-def _corr(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    a, b = x - x.mean(axis=-1, keepdims=True), y - y.mean(axis=-1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return (a * b).sum(axis=-1) / np.sqrt((a * a).sum(axis=-1) * (b * b).sum(axis=-1))
-
-
-def _slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    a = x - x.mean(axis=-1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return (a * (y - y.mean(axis=-1, keepdims=True))).sum(axis=-1) / (a * a).sum(axis=-1)
-
-
-def interval(kind: str, key: str, x: np.ndarray, y: np.ndarray, times: int = 2000) -> tuple[float, float, float]:
-    """The value and its 95 % percentile interval; resamples without spread are left out."""
-    good = ~(np.isnan(x) | np.isnan(y))
-    x, y = x[good], y[good]
-    if len(x) < (3 if kind == "r" else 2) or x.std() == 0 or y.std() == 0:
-        return np.nan, np.nan, np.nan
-    f, rows = {"r": _corr, "slope": _slope}[kind], draws(key, len(x), times)
-    got = f(x[rows], y[rows])
-    got = got[np.isfinite(got) & (x[rows].std(axis=1) > 0) & (y[rows].std(axis=1) > 0)]
-    low, high = np.percentile(got, [2.5, 97.5]) if len(got) else (np.nan, np.nan)
-    return float(f(x, y)), float(low), float(high)
-
-
-def bootstrap(rows: DataFrame, kind: str, x: str, y: str, by: str, times: int = 2000) -> DataFrame:
+def bootstrap(rows: DataFrame, kind: str, x: str, y: str, by: str, times: int = resampling.TIMES) -> DataFrame:
     """N07, N08, N15, N20 by group: value, low, high, n."""
+    return resampling.of_two(rows.select(by, x, y), kind, x, y, [by], times)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values([x, y])
-        value, low, high = interval(kind, str(group[by].iloc[0]), ordered[x].to_numpy(float), ordered[y].to_numpy(float), times)
-        return pd.DataFrame({by: [group[by].iloc[0]], "value": [value], "low": [low], "high": [high], "n": [len(group)]})
-
-    return rows.select(by, x, y).groupBy(by).applyInPandas(run, f"`{by}` string, value double, low double, high double, n long")
-
-
-def bootstrap_fit(rows: DataFrame, y: str, terms: list[str], by: str, times: int = 2000) -> DataFrame:
-    """Each coefficient with its interval, and R squared."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        good = group.dropna(subset=[y, *terms]).sort_values([y, *terms])
-        key, value, x = str(group[by].iloc[0]), good[y].to_numpy(float), good[terms].to_numpy(float)
-        if len(good) < len(terms) + 1:
-            return pd.DataFrame(columns=[by, "term", "value", "low", "high"])
-        coef, r2 = least_squares(x, value)
-        many = np.array([least_squares(x[i], value[i])[0] for i in draws(key, len(value), times)])
-        low, high = np.percentile(many, [2.5, 97.5], axis=0)
-        out = [(key, t, c, a, b) for t, c, a, b in zip(["intercept", *terms], coef, low, high)]
-        return pd.DataFrame([*out, (key, "r2", r2, None, None)], columns=[by, "term", "value", "low", "high"])
 
-    return rows.select(by, y, *terms).groupBy(by).applyInPandas(run, f"`{by}` string, term string, value double, low double, high double")
+def bootstrap_fit(rows: DataFrame, y: str, terms: list[str], by: str, times: int = resampling.TIMES) -> DataFrame:
+    """Each coefficient with its interval, and R squared; a row each."""
+    found = resampling.of_terms(rows.select(by, y, *terms), y, terms, [by], times)
+    none = F.lit(None).cast("double")
+    parts = [F.struct(F.lit(t).alias("term"), *(F.col(f"c{i}")[v].alias(v) for v in ("value", "low", "high"))) for i, t in enumerate(["intercept", *terms])]
+    return found.select(by, F.inline(F.array(*parts, F.struct(F.lit("r2").alias("term"), F.col("r2").alias("value"), none.alias("low"), none.alias("high")))))
 
 
 def agreement(rows: DataFrame, x: str, y: str, *by: str, threshold: float = 1.0) -> DataFrame:

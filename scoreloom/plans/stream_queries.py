@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..operators import dashboard as d
-from ..operators import stats
+from ..operators import resampling, stats
 from ..sources.adapters import usage_events
 from ..streaming import telemetry as t
 from .dashboard_queries import EXAM, exam_scores
@@ -129,7 +129,7 @@ def scale_difficulty(spark, sf):
 WITH x AS (SELECT run_id, year, "group", total, possible FROM {EXAM}), l AS (SELECT "group", regr_slope(total, possible) AS b, regr_intercept(total, possible) AS a FROM x GROUP BY "group")
 SELECT x."group", run_id, year, round(total - a - b * possible, 4) AS residual FROM x JOIN l ON l."group" = x."group" """)
 def residuals(spark, sf):
-    return stats.residuals(exam_scores(spark, sf), "total", ["possible"], "group", ["run_id", "year"]).withColumn("residual", F.round("residual", 4))
+    return resampling.residuals(exam_scores(spark, sf), "total", ["possible"], "group", ["run_id", "year"]).withColumn("residual", F.round("residual", 4))
 
 
 for _kind in ("r", "slope"):

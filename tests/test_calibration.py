@@ -76,9 +76,10 @@ def test_intervals(pairs):
     a, b = (sorted(map(tuple, c.trend_intervals(p, 300).collect())) for p in (pairs, pairs.repartition(1)))
     assert [r[:2] for r in a] == [r[:2] for r in b] and np.allclose([r[2:] for r in a], [r[2:] for r in b], equal_nan=True)
     fits = {(r["group"], r.series): r for r in c.calibration(pairs).collect()}
-    for group, series, low, high in a:
+    for group, series, low, high, *ends in a:
         if group in ("3-4", "5-6"):
             assert low <= fits[group, series].gamma <= high
+            assert ends[0] <= fits[group, series].alpha <= ends[1] and ends[2] <= fits[group, series].beta <= ends[3]
     for r in c.alignment_intervals(pairs.where("group in ('3-4', '5-6')"), 300).collect():
         assert r.low <= r.value <= r.high and r.kind in ("r", "slope")
 

@@ -4,12 +4,11 @@ import json
 import math
 from datetime import datetime
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import parsing, scoring
-from scoreloom.operators import filters, humans, quality, retry, stats
+from scoreloom.operators import filters, humans, quality, retry
 from scoreloom.sources import readers, schemas, sinks
 from scoreloom.streaming.telemetry import Pace, counters, estimate, project, throttled
 
@@ -168,11 +167,3 @@ def test_filter_parsing():
 def test_blobs(spark):
     rows = spark.createDataFrame([("data:x",), ("http://a",), ("QUJDREVGR0hJSktMTU5P",), ("a/b.png",), (" ",), (None,)], "t string")
     assert [r[0] for r in rows.select(quality.blob_kind(F.col("t"))).collect()] == ["data_url", "http_url", "base64", "path", None, None]
-
-
-def test_bootstrap_is_stable():
-    x = np.arange(12.0)
-    y = x + np.sin(x)
-    a, b = stats.interval("r", "k", x, y), stats.interval("r", "k", x, y)
-    assert a == b and a[1] <= a[0] <= a[2]
-    assert np.isnan(stats.interval("r", "k", x, x * 0)[0])
