@@ -73,8 +73,8 @@ def recent(spark, sf):
 
 @query("T06_T07_stream_pace")
 def stream_pace(spark, sf):
-    events = stream(spark, sf).withColumn("total", t.total_tokens()).withColumn("at", F.col("ts").cast("double"))
-    last = t.drained(t.pace(events.select("model", "seq", "total", "latency_ms", "at")), "update", "pace", ("model",))
+    events = stream(spark, sf).withColumn("total", t.total_tokens())
+    last = t.drained(t.pace(events.select("model", "seq", "total", "latency_ms", "ts")), "update", "pace", ("model",))
     return t.estimate(last, F.lit(1000), F.lit(500_000.0), F.lit(500.0), workers=4, min_interval=0.5)
 
 

@@ -1,23 +1,28 @@
 """Live usage telemetry (T01 to T09, T13) on Structured Streaming.
 
-Counters are a streaming aggregate by model; the time estimate keeps its state
-in an arbitrary stateful operator, as it depends on the order of events.
+Counters are a streaming aggregate by model; the time estimate keeps running
+rates and a bounded buffer of events in state, as it depends on their order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.scoring import ratio
 from ..sources.shared import shared_dir
 
 SAMPLE, RATES, ALPHA = 512, 128, 0.2
+#: Events of a key that wait for earlier ones.
+WAITING = 4096
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def total_tokens() -> Column:
@@ -142,36 +147,120 @@ def estimate(rows: DataFrame, items: Column, tokens_left: Column, mean_tokens: C
     return rated.withColumn("seconds", seconds).withColumn("confidence", sure)
 
 
-PACE_STATE = "last double, requests double, tokens double, samples bigint, rates array<double>"
+class PaceInOrder(StatefulProcessor):
+    """T06 with state: running rates of a key (value state) and events that wait for their turn (list state).
 
+    An event is applied once the watermark has passed it, in the order of time and
+    number, so that what arrives late but before the watermark takes its place. At
+    most `waiting` events wait; of more, the earliest are applied at once, and what
+    is still earlier than those is left out, as is what comes behind the watermark.
+    Events without a time are applied as they come. Rows told count the waiting
+    events as well, so that they stand for all that has come.
+    """
+
+    def __init__(self, waiting: int = WAITING):
+        self.most = waiting
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rates = handle.getValueState("rates", "last double, requests double, tokens double, samples bigint, rates array<double>, upto double")
+        self.waiting = handle.getListState("waiting", "at double, seq bigint, total double, latency_ms double")
+
+    def held(self) -> tuple[Pace, float, list[tuple]]:
+        state = tuple(self.rates.get()) if self.rates.exists() else None
+        pace = Pace(state[:-1] if state else None)
+        return pace, state[-1] if state else float("-inf"), [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+
+    def settle(self, key: tuple, pace: Pace, upto: float, events: list[tuple], watermark: float) -> pd.DataFrame:
+        """Applies what is due, keeps the rest, and tells where that leads."""
+        events.sort()
+        due = max(sum(e[0] <= watermark for e in events), len(events) - self.most)
+        for at, _, total, latency in events[:due]:
+            pace.add(total, latency, at)
+        rest = events[due:]
+        upto = events[due - 1][0] if due else upto
+        self.rates.update((*pace.state(), upto))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(int(rest[-1][0] * 1000) + 1)
+        ahead = Pace(pace.state())
+        for at, _, total, latency in rest:
+            ahead.add(total, latency, at)
+        middle, deviation = ahead.spread()
+        return pd.DataFrame({"model": [key[0]], "samples": [ahead.samples], "token_rate": [ahead.tokens], "request_rate": [ahead.requests], "middle": [middle], "deviation": [deviation]}).astype({c: "float64" for c in ("token_rate", "request_rate", "middle", "deviation")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        pace, upto, events = self.held()
+        value = lambda v: None if pd.isna(v) else float(v)
+        for part in rows:
+            for at, seq, total, latency in zip(part["at"], part["seq"], part["total"], part["latency_ms"]):
+                if pd.isna(at):
+                    pace.add(value(total), value(latency), None)
+                elif at >= upto:
+                    events.append((float(at), int(seq), value(total), value(latency)))
+            if len(events) > 2 * self.most:
+                # long batches are worked off as they are read
+                events.sort()
+                for at, _, total, latency in events[: -self.most]:
+                    pace.add(total, latency, at)
+                    upto = at
+                events = events[-self.most :]
+        yield self.settle(key, pace, upto, events, timerValues.getCurrentWatermarkInMs() / 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.settle(key, *self.held(), timerValues.getCurrentWatermarkInMs() / 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def pace(events: DataFrame, delay: str = "1 hour", waiting: int = WAITING) -> DataFrame:
+    """T06 on a stream: model, samples, rates and their spread after each batch. events: model, seq, ts, total, latency_ms; delay: how late an event may come."""
+    given = events.withWatermark("ts", delay).select("model", "ts", F.col("ts").cast("double").alias("at"), F.col("seq").cast("bigint").alias("seq"), F.col("total").cast("double").alias("total"), F.col("latency_ms").cast("double").alias("latency_ms"))
+    return given.groupBy("model").transformWithStateInPandas(PaceInOrder(waiting), "model string, samples bigint, token_rate double, request_rate double, middle double, deviation double", "Update", "EventTime")
+
+
+class BatchSink:
+    """A sink for foreachBatch that a batch may reach more than once.
+
+    A batch has a folder of its own, which is overwritten when the batch is run
+    again, and a marker that is written after its rows; rows() reads what markers
+    name, so a batch is there once and whole, or not at all.
+    """
 
-def pace(events: DataFrame) -> DataFrame:
-    """T06 on a stream: model, samples, rates and their spread after each batch. events: model, seq, total, latency_ms, at."""
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p = Pace(state.get if state.exists else None)
-        rows = pd.concat(list(parts)).sort_values("seq")
-        for total, latency, at in zip(rows["total"], rows["latency_ms"], rows["at"]):
-            p.add(*(None if pd.isna(v) else float(v) for v in (total, latency, at)))
-        state.update(p.state())
-        middle, deviation = p.spread()
-        yield pd.DataFrame({"model": [key[0]], "samples": [p.samples], "token_rate": [p.tokens], "request_rate": [p.requests], "middle": [middle], "deviation": [deviation]})
+    def put(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch_={batch}")
+        self.spark.range(1).select(F.lit(batch).cast("int").alias("batch_")).write.mode("overwrite").parquet(f"{self.path}/done/{batch}")
 
-    return events.groupBy("model").applyInPandasWithState(run, "model string, samples bigint, token_rate double, request_rate double, middle double, deviation double", PACE_STATE, "update", GroupStateTimeout.NoTimeout)
+    def rows(self) -> DataFrame:
+        done = self.spark.read.parquet(f"{self.path}/done/*")
+        return self.spark.read.parquet(f"{self.path}/rows").join(done, "batch_", "left_semi")
 
 
 def drained(stream: DataFrame, mode: str, what: str, key: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over all there is and gives what its sink has: of complete batches the last one, of updates the last one of each key."""
     spark, path = stream.sparkSession, shared_dir(stream.sparkSession, what)
-
-    def put(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch_", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    rows = spark.read.parquet(f"{path}/out")
+    sink = BatchSink(spark, f"{path}/out")
+    with state_in_files(spark):
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(sink.put).start().awaitTermination()
+    rows = sink.rows()
     if mode == "complete":
         return rows.where(F.col("batch_") == rows.agg(F.max("batch_")).first()[0]).drop("batch_")
     if key:
         names = [c for c in rows.columns if c != "batch_"]
         return rows.groupBy(*key).agg(F.max_by(F.struct(*names), "batch_").alias("x")).select("x.*")
     return rows.drop("batch_")
+
+
+@contextmanager
+def state_in_files(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, streams keep their state in RocksDB, which state of several columns needs."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
