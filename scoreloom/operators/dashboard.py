@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,11 +116,12 @@ def distribution(rows: DataFrame, key: str, by_range: bool = False, limit: int |
 
 
 def facets(rows: DataFrame) -> DataFrame:
-    """Sorted distinct values of each attribute."""
-    parts = {c: rows.select(F.col(c).cast("string").alias("value")) for c in ("year", "group", "language", "reasoning_mode", "predicted")}
-    parts["warnings"] = rows.select(F.explode("warnings").alias("value"))
-    every = reduce(DataFrame.unionByName, [df.where("value is not null").select(F.lit(c).alias("attribute"), "value").distinct() for c, df in parts.items()])
-    return every.groupBy("attribute").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    """Sorted distinct values of each attribute; one scan, whose rows are made distinct before they are sent."""
+    pair = lambda name, value: F.struct(F.lit(name).alias("attribute"), value.alias("value"))
+    single = F.array(*[pair(c, F.col(c).cast("string")) for c in ("year", "group", "language", "reasoning_mode", "predicted")])
+    every = F.concat(single, F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: pair("warnings", w)))
+    found = rows.select(F.inline(every)).where("value is not null").distinct()
+    return found.groupBy("attribute").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
 def overview_facets(runs: DataFrame, active: Column, keys: list[str]) -> DataFrame:

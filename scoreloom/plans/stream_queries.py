@@ -59,18 +59,34 @@ def cost_projection(spark, sf):
 TOTALS = "(SELECT *, coalesce(nullif(given_tokens, 0), coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS total FROM usage)"
 
 
-@query("T03_token_sample", f"""
+TOKEN_SAMPLE = f"""
 SELECT m.model, mean, median, CAST(p90 AS BIGINT) AS p90, samples FROM (SELECT model, avg(total) AS mean FROM {TOTALS} WHERE total > 0 GROUP BY model) m
-JOIN (SELECT model, median(total) AS median, quantile_disc(total, 0.9) AS p90, count(*) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS place FROM {TOTALS} WHERE total > 0) WHERE place <= 512 GROUP BY model) s USING (model)""")
+JOIN (SELECT model, median(total) AS median, quantile_disc(total, 0.9) AS p90, count(*) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS place FROM {TOTALS} WHERE total > 0) WHERE place <= 512 GROUP BY model) s USING (model)"""
+
+
+@query("T03_token_sample", TOKEN_SAMPLE)
 def token_sample(spark, sf):
     return t.token_sample(usage_events(spark, sf), "model")
 
 
-@query("T04_recent", "SELECT model, seq, type, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS INTEGER) AS place FROM usage) WHERE place <= 5")
+RECENT = "SELECT model, seq, type, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS INTEGER) AS place FROM usage) WHERE place <= 5"
+
+
+@query("T04_recent", RECENT)
 def recent(spark, sf):
     return t.recent(usage_events(spark, sf), 5, "model").select("model", "seq", "type", "place")
 
 
+@query("T03_stream_token_sample", TOKEN_SAMPLE)
+def stream_token_sample(spark, sf):
+    return t.drained(t.token_sample_of_stream(stream(spark, sf)), "update", "sample", ("model",))
+
+
+@query("T04_stream_recent", RECENT)
+def stream_recent(spark, sf):
+    return t.drained(t.recent_of_stream(stream(spark, sf), 5), "update", "recent", ("model", "place"))
+
+
 @query("T06_T07_stream_pace")
 def stream_pace(spark, sf):
     events = stream(spark, sf).withColumn("total", t.total_tokens())

@@ -6,7 +6,8 @@ rates and a bounded buffer of events in state, as it depends on their order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from statistics import median
 
@@ -220,6 +221,62 @@ def pace(events: DataFrame, delay: str = "1 hour", waiting: int = WAITING) -> Da
     return given.groupBy("model").transformWithStateInPandas(PaceInOrder(waiting), "model string, samples bigint, token_rate double, request_rate double, middle double, deviation double", "Update", "EventTime")
 
 
+class LastEvents(StatefulProcessor):
+    """T03, T04 with state: of a key the `size` events of the highest numbers (list state), whenever they come, and sums over all (value state).
+
+    tell makes rows of the key, the events (seq, total, type) with the newest first, their number and the sum of all totals.
+    """
+
+    def __init__(self, size: int, known: bool, tell: Callable[[str, list[tuple], int, float], pd.DataFrame]):
+        self.size, self.known, self.tell = size, known, tell
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getListState("last", "seq bigint, total double, type string")
+        self.sums = handle.getValueState("sums", "n bigint, total double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = [tuple(x) for x in self.last.get()] if self.last.exists() else []
+        n, total = tuple(self.sums.get()) if self.sums.exists() else (0, 0.0)
+        for part in rows:
+            part = part[part["total"] > 0] if self.known else part
+            n, total = n + len(part), total + float(part["total"].sum())
+            newest = part.nlargest(self.size, "seq")
+            last += [(int(s), None if pd.isna(x) else float(x), k) for s, x, k in zip(newest["seq"], newest["total"], newest["type"])]
+            last = sorted(last, key=lambda e: -e[0])[: self.size]
+        if last:
+            self.last.put(last)
+            self.sums.update((n, total))
+            yield self.tell(key[0], last, n, total)
+
+    def close(self) -> None:
+        pass
+
+
+def _last(events: DataFrame, processor: LastEvents, shape: str) -> DataFrame:
+    given = events.select("model", F.col("seq").cast("bigint").alias("seq"), total_tokens().cast("double").alias("total"), "type")
+    return given.groupBy("model").transformWithStateInPandas(processor, shape, "Update", "None")
+
+
+def recent_of_stream(events: DataFrame, k: int) -> DataFrame:
+    """T04 on a stream: model, seq, type, place of the newest k events of a model after each batch."""
+
+    def tell(model: str, last: list[tuple], n: int, total: float) -> pd.DataFrame:
+        return pd.DataFrame({"model": model, "seq": [e[0] for e in last], "type": [e[2] for e in last], "place": range(1, len(last) + 1)})
+
+    return _last(events, LastEvents(k, False, tell), "model string, seq bigint, type string, place int")
+
+
+def token_sample_of_stream(events: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """T03 on a stream: model, mean over all known totals, median and nearest-rank 90th percentile over the last `size`, and how many those are."""
+
+    def tell(model: str, last: list[tuple], n: int, total: float) -> pd.DataFrame:
+        values = sorted(e[1] for e in last)
+        rank = max(0, math.ceil(0.9 * len(values)) - 1)
+        return pd.DataFrame({"model": [model], "mean": [total / n], "median": [float(median(values))], "p90": [int(values[rank])], "samples": [len(values)]})
+
+    return _last(events, LastEvents(size, True, tell), "model string, mean double, median double, p90 bigint, samples bigint")
+
+
 class BatchSink:
     """A sink for foreachBatch that a batch may reach more than once.
 

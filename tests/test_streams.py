@@ -96,3 +96,22 @@ def test_a_batch_that_is_run_again(spark):
     assert sorted((r.x, r.batch_) for r in sink.rows().collect()) == [(1, 0), (2, 0), (3, 0), (4, 1)]
     sink.put(frame(5), 2)
     assert sorted(r.x for r in sink.rows().select(F.col("x")).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_last_events_of_batches(spark):
+    """What is kept over batches that come in any order is what one pass over all events gives."""
+    shape = "model string, seq bigint, type string, given_tokens bigint, prompt_tokens bigint, completion_tokens bigint"
+    rng = random.Random(6)
+    rows = [(f"m{i % 2}", i, rng.choice(["success", "failure"]), rng.choice([None, 0, 7 * i + 1]), None, rng.choice([None, 3])) for i in range(300)]
+    rng.shuffle(rows)
+    path = shared_dir(spark, "events")
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], shape).coalesce(1).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    whole = spark.createDataFrame(rows, shape)
+    got = t.drained(t.token_sample_of_stream(stream, 20), "update", "sample", ("model",))
+    names = ["model", "mean", "median", "p90", "samples"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, t.token_sample(whole, "model", size=20).select(names).collect()))
+    got = t.drained(t.recent_of_stream(stream, 4), "update", "recent", ("model", "place"))
+    names = ["model", "seq", "type", "place"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, t.recent(whole, 4, "model").select(names).collect()))

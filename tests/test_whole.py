@@ -82,3 +82,14 @@ def test_bootstrap_resamples(spark, monkeypatch):
     monkeypatch.setattr(stats, "bootstrap", spy)
     catalog.QUERIES["N15_N20_alignment"](spark, SF)
     assert seen == [2000] and inspect.signature(stats.bootstrap_fit).parameters["times"].default == 2000
+
+
+def test_facets_scan_once(spark):
+    """All attributes come from one scan of the rows."""
+    from scoreloom.operators import dashboard
+
+    rows = spark.createDataFrame([(2000, "a", "en", None, "A", ["w", "w"]), (2001, None, "en", "x", "", None)], "year int, `group` string, language string, reasoning_mode string, predicted string, warnings array<string>")
+    found = dashboard.facets(rows)
+    assert {r.attribute: r["values"] for r in found.collect()} == {"year": ["2000", "2001"], "group": ["a"], "language": ["en"], "reasoning_mode": ["x"], "predicted": ["", "A"], "warnings": ["w"]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Union" not in plan
