@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,6 +57,82 @@ def image_size(data: Column | str) -> Column:
     return F.when(png.isNotNull(), png).otherwise(F.pandas_udf(_sizes, "struct<width:int,height:int>")(F.when(png.isNull(), col(data))))
 
 
+#: Channels of a PNG's colour types.
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def _whole_png(data: bytes) -> bool:
+    """Chunks with right checksums up to the end mark, and pixels that inflate to as many bytes as the header asks for."""
+    at, header, packed = 8, None, []
+    while at + 12 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        kind, body, after = data[at + 4 : at + 8], data[at + 8 : at + 8 + size], at + 12 + size
+        if after > len(data) or zlib.crc32(body, zlib.crc32(kind)) != int.from_bytes(data[after - 4 : after], "big"):
+            return False
+        if kind == b"IHDR" and size == 13:
+            header = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            packed.append(body)
+        elif kind == b"IEND":
+            break
+        at = after
+    else:
+        return False
+    if header is None or header[3] not in _CHANNELS or not header[0] or not header[1]:
+        return False
+    width, height, depth, colour, _, _, interlaced = header
+    line = lambda n: 1 + -(-n * depth * _CHANNELS[colour] // 8)
+    # passes of an interlaced image: first column and line, and steps of either
+    passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if interlaced else ((0, 0, 1, 1),)
+    sizes = ((-(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in passes)
+    wanted = sum(line(w) * h for w, h in sizes if w > 0 and h > 0)
+    inflate, got = zlib.decompressobj(), 0
+    try:
+        for part in packed:
+            # a megabyte at a time, so that a small file can't fill the memory
+            while part:
+                got += len(inflate.decompress(part, 1 << 20))
+                part = inflate.unconsumed_tail
+        return got + len(inflate.flush()) >= wanted
+    except zlib.error:
+        return False
+
+
+def _whole_jpeg(data: bytes) -> bool:
+    """Segments up to the scans, a frame among them, and the end mark after the last scan."""
+    at, frame = 2, False
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if kind == 0xFF:
+            at += 1
+        elif kind == 0xDA:
+            return frame and data.find(b"\xff\xd9", at + 2 + size) >= 0
+        elif size < 2:
+            return False
+        else:
+            frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
+            at += 2 + size
+    return False
+
+
+def _whole(data: bytes | None) -> bool | None:
+    if data is None:
+        return None
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return _whole_png(data)
+    if data[:3] == b"\xff\xd8\xff":
+        return _whole_jpeg(data)
+    if data[:4] == b"GIF8":
+        return _size(data)[0] is not None and data.rstrip(b"\0")[-1:] == b";"
+    # other kinds by their first bytes alone, as SQL does
+    return data[:2] == b"BM" or (data[:4] == b"RIFF" and data[8:12] == b"WEBP")
+
+
+def decodes(data: Column | str) -> Column:
+    """Whether an image can be read to its end: PNG by chunks and pixels, JPEG and GIF by their marks."""
+    return F.pandas_udf(lambda parts: parts.map(lambda x: None if x is None else _whole(bytes(x))), "boolean")(col(data))
+
+
 def _scaled(data: bytes | None) -> bytes | None:
     """The image in a new size, as PNG if it has an alpha channel, else as JPEG; null where it can't be read or there is no library."""
     try:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.images import decodes
 
 BLANKS = scoring.BLANKS
+#: Fixed value: images that a validation decodes.
+DECODE_LIMIT = 200
 OPTIONS = tuple(f"sol_{x}" for x in scoring.LETTERS)
 REQUIRED = ("id", "year", "group", "points", "problem_number", "problem_statement", "answer", "multimodal", "language", *OPTIONS)
 
@@ -31,10 +34,20 @@ def blob_kind(c: Column) -> Column:
 
 
 def decodable(data: Column) -> Column:
-    """By the first bytes, as no image library is at hand."""
+    """V14, by the first bytes alone; decode_issues() reads images to their end."""
     return scoring.mime_type(data) != "application/octet-stream"
 
 
+def decode_issues(images: DataFrame, *order: str, limit: int = DECODE_LIMIT) -> DataFrame:
+    """Of the first `limit` images in order those that can't be read to their end; images without bytes don't count.
+
+    The first ones are kept in each partition before they are put together, so no row is numbered; images: data, and
+    the columns of the order (row, then place in the row), which come back with severity and code.
+    """
+    first = images.where(F.length("data") > 0).orderBy(*order).limit(limit)
+    return first.where(~decodes("data")).select(*order, F.lit("error").alias("severity"), F.lit("image_decode_failed").alias("code"))
+
+
 def rules(images: list[str] | None = None) -> list[tuple[str, str, Column]]:
     """(severity, code, condition that a row fails by)."""
     images = images if images is not None else [f"{c}_image" for c in OPTIONS]

@@ -137,3 +137,28 @@ def blobs(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.get(texts, (F.col("p_partkey") % 4).cast("int")).alias("t")).withColumn("kind", v.blob_kind(F.col("t")))
     data = F.when(F.col("kind") == "base64", scoring.bytes_of("t"))
     return rows.withColumn("data", data).select("k", "kind", F.when(F.col("data").isNotNull(), scoring.mime_type("data")).alias("mime"), F.when(F.col("data").isNotNull(), v.decodable(F.col("data"))).alias("decodable"))
+
+
+def small_images(spark, sf):
+    """row, place, data: PNGs of one grey pixel from part, whole, cut off, with a wrong checksum, and none."""
+    hexed = lambda n, digits: F.lpad(F.hex(n), digits, "0")
+    grey = F.col("p_size").cast("int") % 256
+
+    def chunk(kind, body, flip=0):
+        named = F.concat(F.hex(F.lit(kind)), body)
+        return F.concat(hexed(F.length(body) / 2, 8), named, hexed(F.crc32(F.unhex(named)).bitwiseXOR(F.lit(flip).cast("bigint")), 8))
+
+    # a stored block of two bytes (filter 0, the pixel) and its checksum
+    packed = F.concat(F.lit("7801010200FDFF00"), hexed(grey, 2), hexed((grey + 2) * 65536 + grey + 1, 8))
+    whole = lambda flip: F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", F.lit("00000001000000010800000000")), chunk("IDAT", packed, flip), chunk("IEND", F.lit("")))
+    kind = F.col("p_partkey") % 4
+    text = F.when(kind == 0, whole(0)).when(kind == 1, F.expr("substring(w, 1, length(w) - 30)")).when(kind == 2, whole(1))
+    return table(spark, sf, "part").withColumn("w", whole(0)).select(F.col("p_partkey").alias("row"), F.lit(0).alias("place"), F.unhex(text).alias("data"))
+
+
+@query("V14_decode_capped", """
+SELECT "row", 0 AS place, 'error' AS severity, 'image_decode_failed' AS code
+FROM (SELECT p_partkey AS "row" FROM part WHERE p_partkey % 4 <> 3 ORDER BY p_partkey LIMIT 200) WHERE "row" % 4 IN (1, 2)""")
+def decode_capped(spark, sf):
+    """The limit is the feature: a validation decodes its first 200 images in row order."""
+    return v.decode_issues(small_images(spark, sf), "row", "place")

@@ -4,11 +4,12 @@ import base64
 import json
 import random
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
 from scoreloom.functions import images, prompts
-from scoreloom.operators import attempts
+from scoreloom.operators import attempts, quality
 
 
 def plain_replay(rows, max_tokens=None):
@@ -92,3 +93,37 @@ def test_messages(spark):
     ]
     assert got[1][1]["content"] == [text("Question: How\nmany?"), text("Answer choices:"), text("A) "), text("B) 2"), text("C) x"), text("D) x"), text("E) x"), text(en["last"])]
     assert got[2][1]["content"][0] == text("Question:") and len(got[2][1]["content"]) == 8
+
+
+def png_of(width, height, depth=8, colour=2, interlaced=0, lines=None):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    raw = lines if lines is not None else (b"\0" + bytes(range(256)) * 99)[: 1 + -(-width * depth * channels // 8)] * height
+    packed = zlib.compress(raw)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)) + chunk(b"IDAT", packed[:7]) + chunk(b"IDAT", packed[7:]) + chunk(b"IEND", b"")
+
+
+def test_images_read_to_their_end(spark):
+    good = png_of(30, 20)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10" + b"J" * 14 + b"\xff\xc0\x00\x0b\x08\x00\x01\x00\x01\x01aaa" + b"\xff\xda\x00\x04aa" + b"scan"
+    seven = sum((1 + w * 3) * h for w, h in ((1, 1), (1, 1), (2, 1), (2, 2), (4, 2), (4, 4), (8, 4)))
+    cases = [
+        (good, True), (good[:-1], False), (good[:-12], False), (good[:60], False), (good[:40] + b"?" + good[41:], False), (png_of(30, 20, lines=b"\0" * 50), False), (png_of(9, 2, 1, 0), True),
+        (good[:25] + b"\x05" + good[26:], False), (png_of(8, 8, interlaced=1, lines=b"\0" * seven), True), (png_of(8, 8, interlaced=1, lines=b"\0" * (seven - 1)), False),
+        (jpeg + b"\xff\xd9", True), (jpeg, False), (b"\xff\xd8\xff\xd9", False), (b"GIF89a\x01\x00\x01\x00;", True), (b"GIF89a\x01\x00\x01\x00", False), (b"no image", False), (b"", False), (None, None),
+    ]
+    rows = spark.createDataFrame([(i, None if d is None else bytearray(d)) for i, (d, _) in enumerate(cases)], "i int, data binary").repartition(5)
+    assert {r.i: r.ok for r in rows.select("i", images.decodes("data").alias("ok")).collect()} == {i: ok for i, (_, ok) in enumerate(cases)}
+
+
+def test_first_images_in_order(spark):
+    """Of images in many partitions the first ones in order are decoded, whatever is between them."""
+    good, bad = png_of(3, 3), png_of(3, 3)[:-1]
+    rows = [(i, p, None if (i + p) % 5 == 0 else bytearray(bad if i % 7 == 0 else good)) for i in range(300) for p in range(3)]
+    frame = spark.createDataFrame(rows, "row int, place int, data binary").repartition(17)
+    first = [r for r in rows if r[2] is not None]
+    for limit in (1, 50, 400, 5000):
+        got = {(r["row"], r.place) for r in quality.decode_issues(frame, "row", "place", limit=limit).collect()}
+        assert got == {r[:2] for r in first[:limit] if bytes(r[2]) == bad}
+    plan = quality.decode_issues(frame, "row", "place")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
