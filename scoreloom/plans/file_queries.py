@@ -49,9 +49,21 @@ def export_csv(spark, sf):
     return spark.read.schema("id string, points double").option("header", True).csv(path)
 
 
-@query("K04_K08_K09_S07_S18_run_folders", """
+RUN_FOLDERS = """
 SELECT run_id, 'm' AS model, count(*) FILTER (WHERE predicted IS NOT NULL AND error IS NULL) AS answered, coalesce(count(*) FILTER (WHERE predicted IS NOT NULL AND error IS NULL AND is_correct) / count(*) FILTER (WHERE predicted IS NOT NULL AND error IS NULL), 0) AS accuracy
-FROM results GROUP BY run_id""")
+FROM results GROUP BY run_id"""
+
+
+@query("K04_S07_snapshots", RUN_FOLDERS)
+def run_snapshots(spark, sf):
+    """All runs by one write, read by its manifest."""
+    top = t.shared_dir(spark, "runs")
+    counts = metrics.status_counts(results(spark, sf), "run_id")
+    sinks.snapshots(counts.select("run_id", F.struct(F.col("answered").alias("answered_count"), "accuracy").alias("metrics"), F.struct(F.lit("m").alias("model_id")).alias("config")), top)
+    return readers.snapshots(spark, top).select("run_id", F.col("config.model_id").alias("model"), F.col("metrics.answered_count").alias("answered"), F.col("metrics.accuracy").alias("accuracy"))
+
+
+@query("K04_K08_K09_S07_S18_run_folders", RUN_FOLDERS)
 def run_folders(spark, sf):
     top, counts = t.shared_dir(spark, "runs"), metrics.status_counts(results(spark, sf), "run_id")
     names = [r.run_id for r in counts.select("run_id").distinct().orderBy("run_id").collect()]  # one row a run

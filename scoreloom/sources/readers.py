@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .sinks import SNAPSHOT
 
 REQUIRED = tuple(x.strip("` ").split(" ")[0].strip("`") for x in schemas.QUESTIONS.split(", "))
 
@@ -77,6 +78,14 @@ def runs(spark: SparkSession, top: str) -> DataFrame:
     return pack(metrics, "metrics").join(pack(config, "config"), "run_id").orderBy("run_id")
 
 
+def snapshots(spark: SparkSession, top: str) -> DataFrame:
+    """S07 of sinks.snapshots(): run_id, metrics, config of the runs that the manifest names and that have both; of a run written twice the last."""
+    last = spark.read.schema("part string, run_id string, at timestamp").parquet(f"{top}/manifest").groupBy("run_id").agg(F.max_by("part", F.struct("at", "part")).alias("part"))
+    texts = spark.read.schema(SNAPSHOT).text(f"{top}/snapshots").join(last, ["run_id", "part"], "left_semi")
+    of = lambda f, shape: F.from_json(F.max(F.when(F.col("file") == f, F.col("value"))), shape).alias(f)
+    return texts.groupBy("run_id").agg(of("metrics", schemas.METRICS), of("config", schemas.CONFIG)).where("metrics is not null and config is not null").orderBy("run_id")
+
+
 def invariants() -> dict[str, Column]:
     """What must hold of a baseline."""
     ids = F.transform("grades", lambda g: g["id"])

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of snapshot folders; run names are text even where they look like numbers.
+SNAPSHOT = "value string, part string, run_id string, file string"
+
 
 def results(rows: DataFrame, folder: str, kinds: tuple[str, ...] = ("parquet",), overwrite: bool = False) -> None:
     """Results.parquet, .jsonl or .csv; refuses to overwrite unless told. An empty frame keeps its columns."""
@@ -40,6 +44,20 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
+def snapshots(rows: DataFrame, top: str) -> None:
+    """Metrics and config of many runs in one write. rows: run_id, metrics, config (structs).
+
+    Texts go to a folder of this write, by run and file, and only then does the
+    manifest name its runs, so that a write that dies half-way shows none of them.
+    """
+    part = uuid.uuid4().hex
+    texts = F.inline(F.array(*[F.struct(F.lit(f).alias("file"), F.to_json(f).alias("value")) for f in ("metrics", "config")]))
+    rows.select("run_id", texts).repartition("run_id").write.partitionBy("run_id", "file").text(f"{top}/snapshots/part={part}")
+    written = rows.sparkSession.read.option("basePath", f"{top}/snapshots").schema(SNAPSHOT).text(f"{top}/snapshots/part={part}")
+    names = written.select("part", "run_id").distinct().withColumn("at", F.lit(datetime.now(timezone.utc)))
+    names.write.mode("append").parquet(f"{top}/manifest")
+
+
 def appended(stream: DataFrame, path: str, checkpoint: str):
     """JSON lines as they come; a batch that fails leaves nothing."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

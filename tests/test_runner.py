@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import images, prompts
 from scoreloom.operators import attempts, quality
+from scoreloom.sources import readers, sinks
+from scoreloom.sources.shared import shared_dir
 
 
 def plain_replay(rows, max_tokens=None):
@@ -127,3 +129,15 @@ def test_first_images_in_order(spark):
         assert got == {r[:2] for r in first[:limit] if bytes(r[2]) == bad}
     plan = quality.decode_issues(frame, "row", "place")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_snapshots(spark):
+    """Runs of one write are there together; a write that died before its manifest shows none, one that came again the last."""
+    top = shared_dir(spark, "runs")
+    rows = lambda *x: spark.createDataFrame([(r, (n, 0.5), ("m",)) for r, n in x], "run_id string, metrics struct<answered_count:bigint,accuracy:double>, config struct<model_id:string>")
+    sinks.snapshots(rows(("20240101", 1), ("b/c é", 2)), top)
+    spark.createDataFrame([('{"answered_count":9}', "x", "metrics")], "value string, run_id string, file string").write.partitionBy("run_id", "file").text(f"{top}/snapshots/part=dead")
+    read = lambda: {r.run_id: (r.metrics.answered_count, r.config.model_id) for r in readers.snapshots(spark, top).collect()}
+    assert read() == {"20240101": (1, "m"), "b/c é": (2, "m")}
+    sinks.snapshots(rows(("20240101", 5)), top)
+    assert read() == {"20240101": (5, "m"), "b/c é": (2, "m")}
