@@ -88,7 +88,7 @@ def test_odd_rows(spark, stage):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         path = f"{SF}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     got = catalog.QUERIES[name](spark, SF)
