@@ -23,9 +23,13 @@ of pairs at 0.8 differs in about 9 bits. Rows are then sets of shingles, named
 by a hash; each goes to BANDS buckets by ROWS of its minima under seeded orders
 (a pair at 0.8 shares none of them in 3 cases of a million), buckets with the
 same rows are searched once, and links are verified on the whole sets. In a
-bucket a search from row to row looks at what it hasn't reached only. A bucket
-over SET_CAP rows or SET_BYTES is cut in chunks, and its pairs of chunks are
-searched one by one.
+bucket a search from row to row looks at what it hasn't reached only. In a bucket
+over SET_CAP rows or SET_BYTES all rows are measured against a few pivots; those
+that link to one leave the bucket, and the others go on with pivots of their own
+until few are left. Rows near a pivot's links, but not linked by then, are searched
+beside those links that the triangle inequality allows. What ROUNDS rounds leave
+of a bucket (thousands of rows that are close, but linked to none) is cut in
+chunks, whose pairs are searched one by one.
 
 Rows: null text counts as empty and has fingerprint zero, linked like any
 other; repeated rows share a component; a null doc_id never names a component
@@ -55,8 +59,9 @@ FAN = 8
 BLOCK_ROWS = 1 << 14
 PAIRS = 1 << 17
 BANDS, ROWS = 24, 4
-SET_CAP = 4096
+SET_CAP = 512
 SET_BYTES = 1 << 25
+PIVOTS, ROUNDS = 4, 8
 #: The similarity that near copies have at least, 4/5.
 SIMILARITY = (4, 5)
 
@@ -360,25 +365,8 @@ def similar(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) ->
     return labels
 
 
-def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SET_CAP, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """u, v: links that connect the shingle sets of the similarity or over. key: text_key, text; marked: text_key, fp, size, bands."""
-    distinct = marked.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    distinct = common.written(distinct, "sets")
-    rows = distinct.select("fp", "size", F.explode("bands").alias("g"))
-    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
-    buckets = sums.where("n > 1").groupBy("n", "x", "y", "size").agg(F.min("g").alias("g"))
-    chunks = F.greatest(F.ceil(F.col("n") / cap), F.ceil(F.col("size") * 8 / SET_BYTES)).cast("int")
-    dealt = rows.drop("size").join(buckets.select("g", chunks.alias("chunks")), "g").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own != other")
-    part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
-    dealt = common.written(dealt.select("g", part.alias("part"), "fp"), "bands")
-
-    def make() -> Callable[[str], tuple]:
-        return lambda text: (np.unique(shingle_hashes(text, shingle)).tobytes(),)
-
-    named = distinct.select("fp", "text_key").join(dealt.select("fp").distinct(), "fp", "left_semi")
-    texts = key.select("text_key", "text").join(named, "text_key")
-    sets = common.map_rows(texts, ["fp"], make, "shingles binary").dropDuplicates(["fp"])
+def searched(rows: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """u, v: links that connect what is similar among rows with equal g and part. rows: g, part, fp; sets: fp, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, fps, held = None, [], []
@@ -400,8 +388,143 @@ def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SE
         if held:
             yield out()
 
-    searched = dealt.join(sets, "fp").select("g", "part", "fp", "shingles").repartition("g", "part").sortWithinPartitions("g", "part", "fp")
-    return searched.mapInArrow(run, "u bigint, v bigint")
+    placed = rows.join(sets, "fp").select("g", "part", "fp", "shingles").repartition("g", "part").sortWithinPartitions("g", "part", "fp")
+    return placed.mapInArrow(run, "u bigint, v bigint")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, cap: int, similarity: tuple[int, int]) -> DataFrame:
+    """fp, pivot, far (Jaccard distance), linked of each of the pairs (fp, pivot).
+
+    A pivot goes to each part of its rows, so a task holds one pivot and one row at a time, however many rows a pivot has.
+    """
+    num, den = similarity
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / cap).cast("int").alias("parts"))
+    rows = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part"), "fp", F.lit(1).alias("kind"))
+    heads = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("fp"), F.lit(0).alias("kind"))
+    place = ["pivot", "part", "kind"]
+    placed = rows.unionByName(heads).join(sets, "fp").select(*place, "fp", "shingles").repartition("pivot", "part").sortWithinPartitions(*place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
+        for batch in batches:
+            fps, pivots, far, linked = [], [], [], []
+            for pivot, _, kind, fp, shingles in zip(*(batch.column(i) for i in range(5))):
+                own = np.frombuffer(shingles.as_py(), np.uint64)
+                if not kind.as_py():
+                    head = own
+                    continue
+                both = int((head[np.minimum(np.searchsorted(head, own), len(head) - 1)] == own).sum())
+                either = len(head) + len(own) - both
+                fps.append(fp.as_py())
+                pivots.append(pivot.as_py())
+                far.append(1 - both / either)
+                linked.append(den * both >= num * either)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((fps, pivots, far, linked), kinds)], ["fp", "pivot", "far", "linked"])
+
+    return placed.mapInArrow(run, "fp bigint, pivot bigint, far double, linked boolean")
+
+
+def _too_large(rows: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """rows (g, fp, size) of buckets that one task may search, and those of larger ones with their number of chunks."""
+    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
+    chunks = F.greatest(F.ceil(F.col("n") / cap), F.ceil(F.col("all") * 8 / SET_BYTES)).cast("int")
+    both = rows.join(sums.select("g", chunks.alias("chunks")), "g")
+    return both.where("chunks <= 1"), both.where("chunks > 1")
+
+
+def _pairs_of_chunks(hot: DataFrame) -> DataFrame:
+    """g, part, fp: each two chunks of a bucket side by side. hot: g, fp, chunks."""
+    dealt = hot.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("own != other")
+    part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
+    return dealt.select("g", part.alias("part"), "fp")
+
+
+def star_rounds(hot: DataFrame, sets: DataFrame, cap: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Rows still to be searched (g, part, fp), and all distances to pivots (fp, pivot, far, linked).
+
+    hot: g, fp, size of the buckets that are too large. In each round a bucket's pivots are the rows with the least
+    hash in each of PIVOTS slots, the same in all buckets, so that a pair is measured once however many buckets have
+    it. A row leaves the bucket once a pivot links to it.
+    """
+    spark, seen, left, now = hot.sparkSession, [], [], hot
+    for turn in range(ROUNDS):
+        small, large = _too_large(now, cap)
+        left.append(small.select("g", F.lit(0).alias("part"), "fp"))
+        now = common.written(large.select("g", "fp", "size"), "open")
+        if now.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("fp", F.lit(-turn - 1)), F.lit(PIVOTS))
+        least = now.groupBy("g", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp")).alias("least"))
+        pivots = least.groupBy("g").agg(F.collect_list("least.fp").alias("pivots"))
+        asked = common.written(now.join(pivots, "g").select("g", "fp", "size", F.explode("pivots").alias("pivot")), "asked")
+        far = common.written(measured(asked.select("fp", "pivot").distinct(), sets, cap, similarity), "far")
+        seen.append(far)
+        reached = asked.join(far, ["fp", "pivot"]).groupBy("g", "fp", "size").agg(F.bool_or("linked").alias("linked"))
+        now = common.written(reached.where("not linked").drop("linked"), "rest")
+    else:
+        small, large = _too_large(now, cap)
+        left += [small.select("g", F.lit(0).alias("part"), "fp"), _pairs_of_chunks(large)]
+    rows, far = left[0], spark.createDataFrame([], "fp bigint, pivot bigint, far double, linked boolean")
+    for more in left[1:]:
+        rows = rows.unionByName(more)
+    for more in seen:
+        far = far.unionByName(more)
+    return rows, far
+
+
+def border_rows(far: DataFrame, roots: DataFrame, cap: int, similarity: tuple[int, int]) -> DataFrame:
+    """g, part, fp: what stars can't tell. Rows that no pivot links to may link to rows round a pivot.
+
+    Distances obey the triangle inequality: a row at distance b of a pivot links to none at distance a where b - a is
+    over the limit of a link, so only pairs within it are searched, and only where the row isn't in the pivot's component yet.
+    """
+    reach = 1 - similarity[0] / similarity[1] + 1e-9
+    named = roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    outer = far.where((~F.col("linked")) & (F.col("far") <= 2 * reach)).distinct()
+    outer = outer.join(named, "fp", "left").join(named.select(F.col("fp").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
+    outer = outer.where(F.coalesce("root", "fp") != F.coalesce("pivot_root", "pivot")).select("pivot", "fp", "far")
+    outer = common.written(outer, "border")
+    nearest = outer.groupBy("pivot").agg(F.min("far").alias("nearest"), F.ceil(F.count(F.lit(1)) / cap).cast("int").alias("outers"))
+    inner = far.where("linked").select("fp", "pivot", "far").distinct().join(nearest, "pivot").where(F.col("far") >= F.col("nearest") - reach)
+    inner = common.written(inner.select("pivot", "fp", "outers"), "round-pivots")
+    inners = inner.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / cap).cast("int").alias("inners"), F.first("outers").alias("outers"))
+
+    sides = [
+        inner.drop("outers").join(inners, "pivot").select("pivot", "fp", "outers", F.pmod(F.xxhash64("fp"), "inners").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outers") - 1)).alias("o")),
+        outer.join(inners, "pivot").select("pivot", "fp", "outers", F.pmod(F.xxhash64("fp"), "outers").alias("o"), F.explode(F.sequence(F.lit(0), F.col("inners") - 1)).alias("i")),
+    ]
+    both = sides[0].unionByName(sides[1])
+    return both.select(F.col("pivot").alias("g"), (F.col("i") * F.col("outers") + F.col("o")).alias("part"), "fp")
+
+
+def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SET_CAP, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """u, v: links that connect the shingle sets of the similarity or over. key: text_key, text; marked: text_key, fp, size, bands."""
+    distinct = marked.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    distinct = common.written(distinct, "sets")
+    rows = distinct.select("fp", "size", F.explode("bands").alias("g"))
+    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
+    buckets = sums.where("n > 1").groupBy("n", "x", "y", "size").agg(F.min("g").alias("g"))
+    cold, hot = _too_large(common.written(rows.join(buckets.select("g"), "g"), "bands"), cap)
+
+    def make() -> Callable[[str], tuple]:
+        return lambda text: (np.unique(shingle_hashes(text, shingle)).tobytes(),)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        named = distinct.select("fp", "text_key").join(wanted.select("fp").distinct(), "fp", "left_semi")
+        texts = key.select("text_key", "text").join(named, "text_key")
+        return common.map_rows(texts, ["fp"], make, "shingles binary").dropDuplicates(["fp"])
+
+    links = searched(cold.select("g", F.lit(0).alias("part"), "fp"), sets_of(cold), similarity)
+    hot = common.written(hot.select("g", "fp", "size"), "large-buckets")
+    if hot.isEmpty():
+        return links
+    sets = common.written(sets_of(hot), "large-buckets-sets")
+    left, far = star_rounds(hot, sets, cap, similarity)
+    linked = far.where("linked").select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    roots = stars(links.unionByName(searched(left, sets, similarity)).unionByName(linked))
+    return roots.unionByName(searched(border_rows(far, roots, cap, similarity), sets, similarity))
 
 
 # components
