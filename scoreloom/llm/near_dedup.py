@@ -24,7 +24,7 @@ by a hash; each goes to BANDS buckets by ROWS of its minima under seeded orders
 (a pair at 0.8 shares none of them in 3 cases of a million), buckets with the
 same rows are searched once, and links are verified on the whole sets. In a
 bucket a search from row to row looks at what it hasn't reached only. In a bucket
-over SET_CAP rows or SET_BYTES all rows are measured against a few pivots; those
+over SET_CAP rows or SET_BYTES all rows are measured against a few central ones, its pivots; those
 that link to one leave the bucket, and the others go on with pivots of their own
 until few are left. Rows near a pivot's links, but not linked by then, are searched
 beside those links that the triangle inequality allows. What ROUNDS rounds leave
@@ -426,10 +426,10 @@ def measured(pairs: DataFrame, sets: DataFrame, cap: int, similarity: tuple[int,
 
 
 def _too_large(rows: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """rows (g, fp, size) of buckets that one task may search, and those of larger ones with their number of chunks."""
+    """rows (g, fp, size) of buckets that one task may search, and those of larger ones, with their rows (n) and number of chunks."""
     sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
     chunks = F.greatest(F.ceil(F.col("n") / cap), F.ceil(F.col("all") * 8 / SET_BYTES)).cast("int")
-    both = rows.join(sums.select("g", chunks.alias("chunks")), "g")
+    both = rows.join(sums.select("g", "n", chunks.alias("chunks")), "g")
     return both.where("chunks <= 1"), both.where("chunks > 1")
 
 
@@ -444,24 +444,25 @@ def _pairs_of_chunks(hot: DataFrame) -> DataFrame:
 def star_rounds(hot: DataFrame, sets: DataFrame, cap: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Rows still to be searched (g, part, fp), and all distances to pivots (fp, pivot, far, linked).
 
-    hot: g, fp, size of the buckets that are too large. In each round a bucket's pivots are the rows with the least
-    hash in each of PIVOTS slots, the same in all buckets, so that a pair is measured once however many buckets have
-    it. A row leaves the bucket once a pivot links to it.
+    hot: g, fp, size, central (rows in the large buckets of a row) of the buckets that are too large. In each round a
+    bucket's pivots are the most central rows of PIVOTS slots by hash: rows in the midst of near copies share most
+    buckets with others. Slots and order are the same in all buckets, so that a pair is measured once however many
+    buckets have it. A row leaves the bucket once a pivot links to it.
     """
     spark, seen, left, now = hot.sparkSession, [], [], hot
     for turn in range(ROUNDS):
         small, large = _too_large(now, cap)
         left.append(small.select("g", F.lit(0).alias("part"), "fp"))
-        now = common.written(large.select("g", "fp", "size"), "open")
+        now = common.written(large.select("g", "fp", "size", "central"), "open")
         if now.isEmpty():
             break
         slot = F.pmod(F.xxhash64("fp", F.lit(-turn - 1)), F.lit(PIVOTS))
-        least = now.groupBy("g", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp")).alias("least"))
+        least = now.groupBy("g", slot.alias("slot")).agg(F.min(F.struct(-F.col("central"), F.xxhash64("fp", F.lit(turn)), "fp")).alias("least"))
         pivots = least.groupBy("g").agg(F.collect_list("least.fp").alias("pivots"))
-        asked = common.written(now.join(pivots, "g").select("g", "fp", "size", F.explode("pivots").alias("pivot")), "asked")
+        asked = common.written(now.join(pivots, "g").select("g", "fp", "size", "central", F.explode("pivots").alias("pivot")), "asked")
         far = common.written(measured(asked.select("fp", "pivot").distinct(), sets, cap, similarity), "far")
         seen.append(far)
-        reached = asked.join(far, ["fp", "pivot"]).groupBy("g", "fp", "size").agg(F.bool_or("linked").alias("linked"))
+        reached = asked.join(far, ["fp", "pivot"]).groupBy("g", "fp", "size", "central").agg(F.bool_or("linked").alias("linked"))
         now = common.written(reached.where("not linked").drop("linked"), "rest")
     else:
         small, large = _too_large(now, cap)
@@ -517,9 +518,10 @@ def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SE
         return common.map_rows(texts, ["fp"], make, "shingles binary").dropDuplicates(["fp"])
 
     links = searched(cold.select("g", F.lit(0).alias("part"), "fp"), sets_of(cold), similarity)
-    hot = common.written(hot.select("g", "fp", "size"), "large-buckets")
+    hot = common.written(hot.select("g", "fp", "size", "n"), "large-buckets")
     if hot.isEmpty():
         return links
+    hot = hot.join(hot.groupBy("fp").agg(F.sum("n").alias("central")), "fp").drop("n")
     sets = common.written(sets_of(hot), "large-buckets-sets")
     left, far = star_rounds(hot, sets, cap, similarity)
     linked = far.where("linked").select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
