@@ -18,12 +18,15 @@ Components come from alternating large and small stars over written tables, by
 joins that Spark can split. Exact copies share a fingerprint and are one row
 throughout; fingerprints, edges and components never come to the driver.
 
-keep_one() can link by Jaccard similarity of shingle sets instead, as SimHash
-of pairs at 0.8 differs in about 9 bits. Rows are then sets of shingles, named
-by a hash; each goes to BANDS buckets by ROWS of its minima under seeded orders
-(a pair at 0.8 shares none of them in 3 cases of a million), buckets with the
-same rows are searched once, and links are verified on the whole sets. In a
-bucket a search from row to row looks at what it hasn't reached only. In a bucket
+keep_one() can link by Jaccard similarity of shingle sets instead. SimHash of
+pairs at 0.8 differs in 15 to 19 of 100 bits, too many for four blocks of 64, so
+fingerprints are then wider: a row goes to the buckets of many keys of sampled
+bits, is sorted there by the Gray rank of further bits, and the same index finds
+what is near in these. Rows are sets of shingles, named by a hash. What near
+codes connect in a bucket is a group (a pair at 0.8 is in none in 3 cases of a
+million at most, by calculation from FLIP), groups with the same rows are searched
+once, and links are verified on the whole sets. In a group a search from row to row
+looks at what it hasn't reached only. In a group (called bucket from here on)
 over SET_CAP rows or SET_BYTES all rows are measured against a few central ones, its pivots; those
 that link to one leave the bucket, and the others go on with pivots of their own
 until few are left. Rows near a pivot's links, but not linked by then, are searched
@@ -39,6 +42,7 @@ other columns are kept by keep_one() and not read otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, combinations
@@ -58,7 +62,11 @@ CAP = 2000
 FAN = 8
 BLOCK_ROWS = 1 << 14
 PAIRS = 1 << 17
-BANDS, ROWS = 24, 4
+#: Words of 64 bits of a wide fingerprint: those that bucket keys take bits from, and those that are compared.
+KEY_WORDS, CODE_WORDS = 16, 3
+FULL = 128
+#: Share of differing bits of a link at SIMILARITY at most (four of five shingles; 0.15 to 0.17 for larger sets), and the links that may be missed.
+FLIP, MISS = 0.1875, 1e-6
 SET_CAP = 512
 SET_BYTES = 1 << 25
 PIVOTS, ROUNDS = 4, 8
@@ -293,38 +301,135 @@ def edges(distinct: DataFrame, cap: int = CAP, distance: int = DISTANCE) -> Data
 
 
 @lru_cache(maxsize=1)
-def orders() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and offsets that put hashes in BANDS * ROWS orders."""
-    rng = np.random.default_rng(SEED)
-    factor, offset = rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
-    return factor * np.uint64(2) + np.uint64(1), offset
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS bucket keys of a set of shingle hashes, none of an empty one."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    factor, offset = orders()
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for i in range(0, len(shingles), 512):
-        np.minimum(least, (shingles[i : i + 512] * factor + offset).min(axis=1), out=least)
-    raw = least.astype("<u8").tobytes()
-    width = 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(raw[b * width : (b + 1) * width], b) for b in range(BANDS)], np.uint64).view(np.int64)
+def seeds() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors that make further hashes of a shingle's, one for each word of a wide fingerprint."""
+    first, second = np.random.default_rng(SEED).integers(0, 1 << 63, (2, KEY_WORDS + CODE_WORDS), np.uint64)
+    return first * np.uint64(2) + np.uint64(1), second * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingle hashes, KEY_WORDS + CODE_WORDS words of 64 bits; a tie is as in the smallest hash."""
+    first, second = seeds()
+    ones, least = np.zeros(64 * len(first), np.int64), None
+    for i in range(0, len(shingles), 255):
+        more = shingles[i : i + 255, None] * first
+        more = (more ^ (more >> np.uint64(32))) * second
+        more ^= more >> np.uint64(29)
+        found = np.unpackbits(more.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        least = found[0] if least is None else least
+        ones += found.sum(axis=0, dtype=np.uint8)
+    if least is None:
+        return np.zeros(len(first), np.uint64)
+    return np.packbits(2 * ones + least > len(shingles), bitorder="little").view(np.uint64)
+
+
+@lru_cache(maxsize=8)
+def reach(bits: int) -> int:
+    """Differing bits of so many that a link exceeds in MISS of the cases at most."""
+    rest = 1.0
+    for r in range(bits):
+        rest -= math.comb(bits, r) * FLIP**r * (1 - FLIP) ** (bits - r)
+        if rest < MISS:
+            return r
+    return bits
+
+
+def sampled_bits(n: int) -> np.ndarray:
+    """Places of the bits of each bucket key, one row a key.
+
+    So many bits that a bucket has some FULL of n fingerprints, and so many keys that a link shares none in MISS of the cases at most.
+    """
+    bits = max(8, math.ceil(math.log2(max(n, 1) / FULL)))
+    keys = math.ceil(math.log(MISS) / math.log1p(-((1 - FLIP) ** bits)))
+    rng, a_turn = np.random.default_rng(SEED), 64 * KEY_WORDS // bits
+    turns = [rng.permutation(64 * KEY_WORDS)[: a_turn * bits].reshape(a_turn, bits) for _ in range(-(-keys // a_turn))]
+    return np.concatenate(turns)[:keys]
+
+
+def sampled_buckets(sets: DataFrame, n: int) -> DataFrame:
+    """g, fp, a, code: each of n sets (fp, a, code) in the bucket of each key, with the words that are compared."""
+    places = sampled_bits(n)
+    keys, bits = places.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power, number = np.int64(1) << np.arange(bits), np.arange(keys, dtype=np.int64) << bits
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                fp, a, raw = (batch.slice(i, 256).column(k) for k in range(3))
+                words = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(fp), -1)
+                ones = np.unpackbits(words[:, : 8 * KEY_WORDS], axis=1, bitorder="little")
+                g = ones[:, places] @ power + number
+                each = np.repeat(np.arange(len(fp)), keys)
+                rest = pa.array([x.tobytes() for x in words[:, 8 * KEY_WORDS :]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), *(c.take(pa.array(each)) for c in (fp, a, rest))], ["g", "fp", "a", "code"])
+
+    return sets.select("fp", "a", "code").mapInArrow(run, "g bigint, fp bigint, a bigint, code binary")
+
+
+def gray_groups(rows: DataFrame, cap: int = CAP) -> DataFrame:
+    """g, fp: in each bucket of rows (g, fp, a, code) what near codes connect; a bucket over cap rows is a group as it is.
+
+    Rows come by bucket and Gray rank of a; the index finds pairs that are near in a, and a and code have to be near together.
+    """
+    narrow = reach(64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            bucket, code = np.concatenate([[0], np.cumsum(rows[1:, 0] != rows[:-1, 0])]), rows[:, 2:].copy().view(np.uint64)
+            size = np.bincount(bucket)
+            labels = (np.cumsum(size) - size)[bucket]
+            small = np.flatnonzero(size[bucket] <= cap)
+            labels[small] = small
+            for x, y in GrayIndex(bucket[small], code[small, 0]).links(narrow) if len(small) else ():
+                x, y = small[x], small[y]
+                near = np.bitwise_count(code[x] ^ code[y]).sum(axis=1, dtype=np.int64) <= reach(64 * code.shape[1])
+                labels = joined(labels, x[near], y[near])
+            own = np.flatnonzero((np.bincount(labels, minlength=len(labels)) > 1)[labels])
+            # a row that begins a bucket over cap isn't known where the bucket comes in several pieces: zero stands for it
+            first = np.where(size[bucket] > cap, 0, rows[labels, 1])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[own, 0], first[own], rows[own, 1])], ["g", "first", "fp"])
+
+        held, passing = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            more = np.column_stack([*(batch.column(i).to_numpy() for i in range(3)), code])
+            held = more if held is None else np.concatenate([held, more])
+            if passing is not None:
+                own = int(np.searchsorted(held[:, 0] != passing, True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[:own, 0], np.zeros(own, np.int64), held[:own, 1])], ["g", "first", "fp"])
+                held, passing = held[own:], passing if own == len(held) else None
+            if len(held) < BLOCK_ROWS:
+                continue
+            whole = np.flatnonzero(held[1:, 0] != held[:-1, 0])
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if len(held) - cut > cap:
+                cut, passing = len(held), held[-1, 0]
+            yield out(held[:cut])
+            held = held[cut:]
+        if held is not None and len(held):
+            yield out(held)
+
+    ready = rows.select("g", "fp", "a", "code").repartition("g").sortWithinPartitions("g", gray_rank(F.col("a")))
+    return ready.mapInArrow(run, "g bigint, first bigint, fp bigint").select(F.xxhash64("g", "first").alias("g"), "fp")
 
 
 def shingle_sets(docs: DataFrame, keep: list[str], shingle: int) -> DataFrame:
-    """The columns in keep, fp (hash of the shingle set), size (shingles in it) and bands."""
+    """The columns in keep, fp (hash of the shingle set), size (shingles in it), and a and code (last word and others of its wide fingerprint)."""
 
     def make() -> Callable[[str], tuple]:
         def one(text: str) -> tuple:
             shingles = np.unique(shingle_hashes(text, shingle))
             fp = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
-            return fp - (1 << 64) if fp >> 63 else fp, len(shingles), band_keys(shingles)
+            return fp - (1 << 64) if fp >> 63 else fp, len(shingles), *parted(wide_fingerprint(shingles))
+
+        def parted(words: np.ndarray) -> tuple[int, bytes]:
+            return int(words[-1].astype(np.int64)), words[:-1].tobytes()
 
         return one
 
-    return common.map_rows(docs, keep, make, "fp bigint, size bigint, bands array<bigint>")
+    return common.map_rows(docs, keep, make, "fp bigint, size bigint, a bigint, code binary")
 
 
 def similar(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
@@ -501,13 +606,21 @@ def border_rows(far: DataFrame, roots: DataFrame, cap: int, similarity: tuple[in
 
 
 def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SET_CAP, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """u, v: links that connect the shingle sets of the similarity or over. key: text_key, text; marked: text_key, fp, size, bands."""
-    distinct = marked.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    """u, v: links that connect the shingle sets of the similarity or over. key: text_key, text; marked: text_key, fp, size, a, code."""
+    num, den = similarity
+    if num * SIMILARITY[1] < den * SIMILARITY[0]:
+        raise ValueError("FLIP is for links at SIMILARITY or over")
+    distinct = marked.groupBy("fp").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("size", "a", "code")])
     distinct = common.written(distinct, "sets")
-    rows = distinct.select("fp", "size", F.explode("bands").alias("g"))
+    # of two different sets the smaller one, of s shingles, is at s / (s + 1) at most
+    able = distinct.where(F.col("size") * (den - num) >= num)
+    groups = common.written(gray_groups(sampled_buckets(able, able.count())), "gray-groups")
+    # fewer once they are compared in all words
+    groups = common.written(gray_groups(groups.join(able.select("fp", "a", "code"), "fp")), "near-groups")
+    rows = groups.join(distinct.select("fp", "size"), "fp").select("fp", "size", "g")
     sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
-    buckets = sums.where("n > 1").groupBy("n", "x", "y", "size").agg(F.min("g").alias("g"))
-    cold, hot = _too_large(common.written(rows.join(buckets.select("g"), "g"), "bands"), cap)
+    buckets = sums.groupBy("n", "x", "y", "size").agg(F.min("g").alias("g"))
+    cold, hot = _too_large(common.written(rows.join(buckets.select("g"), "g"), "groups"), cap)
 
     def make() -> Callable[[str], tuple]:
         return lambda text: (np.unique(shingle_hashes(text, shingle)).tobytes(),)
