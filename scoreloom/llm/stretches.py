@@ -26,7 +26,7 @@ _CUT = "\x00"
 #: Stretches and ids remembered; over either, all are forgotten.
 MOST, MOST_IDS = 1 << 20, 1 << 23
 #: Bytes of text that are worked on at once; a longer text is cut.
-SLICE = 1 << 23
+SLICE = 1 << 22
 _edge = re.compile(r"(?<=[!-~]) (?=[!-~])").search
 
 
