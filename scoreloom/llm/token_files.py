@@ -154,7 +154,8 @@ class LibraryCodec:
 
     #: Marks that begin no contraction.
     marks = ".,;:!?%&#*$|"
-    most = 1 << 19
+    #: Words remembered; stretches are, too, so this is for what they share.
+    most = 1 << 17
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
