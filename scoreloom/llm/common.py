@@ -12,6 +12,8 @@ from ..sources.shared import shared_dir
 #: White space of the word rules: blank, tab, line feed, vertical tab, form feed, return.
 #: bytes.split() without arguments splits at exactly these.
 BLANKS = "[\\x20\\x09-\\x0D]"
+#: Rows whose new values a task holds at once.
+ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +65,7 @@ def map_rows(df: DataFrame, keep: list[str], make: Callable[[], Callable[[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             rows = [one(text) for text in texts_of(batch)]
             columns = [batch.column(c) for c in keep]
             columns += [pa.array(list(v), k) for v, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]

@@ -16,3 +16,25 @@ def test_slices_are_small():
 
 def test_words_remembered():
     assert LibraryCodec.most <= 1 << 17
+
+
+def test_rows_held(spark):
+    """New values of 5,000 rows in one batch are held some 1,024 at a time."""
+    from scoreloom.llm import common
+
+    def make():
+        alive = [0]
+
+        class Counted(int):
+            def __del__(self):
+                alive[0] -= 1
+
+        def one(text):
+            alive[0] += 1
+            return (Counted(alive[0]),)
+
+        return one
+
+    frame = spark.range(5000).coalesce(1).selectExpr("id AS doc_id", "'a' AS text")
+    out = [r.held for r in common.map_rows(frame, ["doc_id"], make, "held bigint").collect()]
+    assert len(out) == 5000 and max(out) <= 2 * common.ROWS
