@@ -24,9 +24,12 @@ fingerprints are then wider: a row goes to the buckets of many keys of sampled
 bits, is sorted there by the Gray rank of further bits, and the same index finds
 what is near in these. Rows are sets of shingles, named by a hash. What near
 codes connect in a bucket is a group (a pair at 0.8 is in none in 3 cases of a
-million at most, by calculation from FLIP), groups with the same rows are searched
-once, and links are verified on the whole sets. In a group a search from row to row
-looks at what it hasn't reached only. In a group (called bucket from here on)
+million at most, by calculation from FLIP). What groups connect is searched as one
+where it has no more than SET_CAP rows and SET_BYTES, so that a row is sent once however
+many groups have it; up to CHUNKS times as much is cut in chunks, whose pairs are searched
+one by one. Links are verified on the whole sets. A search from row to row
+looks at what it hasn't reached only. Of what is larger, groups are searched: those with
+the same rows once, and small ones only if their rows aren't in one component yet. In a group (called bucket from here on)
 over SET_CAP rows or SET_BYTES all rows are measured against a few central ones, its pivots; those
 that link to one leave the bucket, and the others go on with pivots of their own
 until few are left. Rows near a pivot's links, but not linked by then, are searched
@@ -64,12 +67,16 @@ BLOCK_ROWS = 1 << 14
 PAIRS = 1 << 17
 #: Words of 64 bits of a wide fingerprint: those that bucket keys take bits from, and those that are compared.
 KEY_WORDS, CODE_WORDS = 16, 3
+#: Words that the rows of a group are compared in.
+CHECK_WORDS = 8
 FULL = 128
 #: Share of differing bits of a link at SIMILARITY at most (four of five shingles; 0.15 to 0.17 for larger sets), and the links that may be missed.
 FLIP, MISS = 0.1875, 1e-6
 SET_CAP = 512
 SET_BYTES = 1 << 25
 PIVOTS, ROUNDS = 4, 8
+#: Chunks of what groups connect, up to which all pairs of chunks are searched: a row is then sent 8 times at most, as by two rounds of pivots.
+CHUNKS = 9
 #: The similarity that near copies have at least, 4/5.
 SIMILARITY = (4, 5)
 
@@ -605,6 +612,12 @@ def border_rows(far: DataFrame, roots: DataFrame, cap: int, similarity: tuple[in
     return both.select(F.col("pivot").alias("g"), (F.col("i") * F.col("outers") + F.col("o")).alias("part"), "fp")
 
 
+def unjoined(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (g, ...) of the buckets that are not in one component yet. roots: u, v as of stars()."""
+    named = rows.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("g", F.coalesce("root", "fp").alias("root"))
+    return rows.join(named.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high"), "g", "left_semi")
+
+
 def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SET_CAP, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """u, v: links that connect the shingle sets of the similarity or over. key: text_key, text; marked: text_key, fp, size, a, code."""
     num, den = similarity
@@ -615,31 +628,43 @@ def similar_edges(key: DataFrame, marked: DataFrame, shingle: int, cap: int = SE
     # of two different sets the smaller one, of s shingles, is at s / (s + 1) at most
     able = distinct.where(F.col("size") * (den - num) >= num)
     groups = common.written(gray_groups(sampled_buckets(able, able.count())), "gray-groups")
-    # fewer once they are compared in all words
-    groups = common.written(gray_groups(groups.join(able.select("fp", "a", "code"), "fp")), "near-groups")
-    rows = groups.join(distinct.select("fp", "size"), "fp").select("fp", "size", "g")
-    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
-    buckets = sums.groupBy("n", "x", "y", "size").agg(F.min("g").alias("g"))
-    cold, hot = _too_large(common.written(rows.join(buckets.select("g"), "g"), "groups"), cap)
+    # fewer once they are compared in more words
+    words = able.select("fp", "a", F.substring("code", -8 * (CHECK_WORDS - 1), 8 * (CHECK_WORDS - 1)).alias("code"))
+    groups = common.written(gray_groups(groups.join(words, "fp")), "near-groups")
 
     def make() -> Callable[[str], tuple]:
         return lambda text: (np.unique(shingle_hashes(text, shingle)).tobytes(),)
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        named = distinct.select("fp", "text_key").join(wanted.select("fp").distinct(), "fp", "left_semi")
-        texts = key.select("text_key", "text").join(named, "text_key")
-        return common.map_rows(texts, ["fp"], make, "shingles binary").dropDuplicates(["fp"])
+    named = distinct.select("fp", "text_key").join(groups.select("fp").distinct(), "fp", "left_semi")
+    texts = key.select("text_key", "text").join(named, "text_key")
+    sets = common.written(common.map_rows(texts, ["fp"], make, "shingles binary").dropDuplicates(["fp"]), "near-sets")
+
+    # a row is in many groups that share most of their rows: what these connect is searched once, so a set is sent once
+    least = groups.groupBy("g").agg(F.min("fp").alias("v"))
+    roots = stars(groups.join(least, "g").select(F.col("fp").alias("u"), "v"))
+    whole = roots.select(F.col("v").alias("g"), F.col("u").alias("fp")).unionByName(roots.select(F.col("v").alias("g"), F.col("v").alias("fp")).distinct())
+    small, large = _too_large(whole.join(distinct.select("fp", "size"), "fp").select("g", "fp", "size"), cap)
+    placed = common.written(small.unionByName(large).select("g", "fp", "size", "chunks"), "candidates")
+    few = placed.where("chunks <= 1").select("g", F.lit(0).alias("part"), "fp")
+    links = searched(few.unionByName(_pairs_of_chunks(placed.where((F.col("chunks") > 1) & (F.col("chunks") <= CHUNKS)))), sets, similarity)
+    large = placed.where(F.col("chunks") > CHUNKS).select("fp", "size")
+    if large.isEmpty():
+        return links
 
-    links = searched(cold.select("g", F.lit(0).alias("part"), "fp"), sets_of(cold), similarity)
+    rows = groups.join(large, "fp").select("fp", "size", "g")
+    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
+    buckets = sums.groupBy("n", "x", "y", "size").agg(F.min("g").alias("g"))
+    cold, hot = _too_large(common.written(rows.join(buckets.select("g"), "g"), "groups"), cap)
+    cold = cold.select("g", F.lit(0).alias("part"), "fp")
     hot = common.written(hot.select("g", "fp", "size", "n"), "large-buckets")
     if hot.isEmpty():
-        return links
+        return links.unionByName(searched(cold, sets, similarity))
     hot = hot.join(hot.groupBy("fp").agg(F.sum("n").alias("central")), "fp").drop("n")
-    sets = common.written(sets_of(hot), "large-buckets-sets")
     left, far = star_rounds(hot, sets, cap, similarity)
     linked = far.where("linked").select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
-    roots = stars(links.unionByName(searched(left, sets, similarity)).unionByName(linked))
-    return roots.unionByName(searched(border_rows(far, roots, cap, similarity), sets, similarity))
+    roots = stars(searched(left, sets, similarity).unionByName(linked))
+    still = unjoined(cold, roots).unionByName(border_rows(far, roots, cap, similarity))
+    return links.unionByName(roots).unionByName(searched(still, sets, similarity))
 
 
 # components

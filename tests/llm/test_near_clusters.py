@@ -70,3 +70,29 @@ def test_rows_a_member(spark):
         left, far = near_dedup.star_rounds(hot, sets, 50, near_dedup.SIMILARITY)
         asked[n] = left.count() + far.count()
     assert asked[1600] <= 5 * asked[400] and asked[1600] <= 8 * 1600
+
+
+def test_sets_are_sent_a_few_times(spark, monkeypatch):
+    """A row is in dozens of groups, of which no two have the same rows; it is searched once, or 8 times in a cluster of up to 9 chunks."""
+    rng, sent = random.Random(9), []
+    texts = cluster(rng, 40, 4) + cluster(rng, 260, 9)
+    search = near_dedup.searched
+
+    def counted(rows, *rest):
+        sent.append(rows.count())
+        return search(rows, *rest)
+
+    monkeypatch.setattr(near_dedup, "searched", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    kept = near_dedup.keep_one(docs, shingle=5, cap=50, similarity=near_dedup.SIMILARITY)
+    want = least_of_components(texts)
+    assert 5 < len(want) < 260
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert 40 <= sum(sent) <= 40 + 8 * 260
+
+
+def test_joined_buckets_are_left(spark):
+    """Buckets whose rows are in one component already aren't searched again."""
+    rows = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 20), (3, 21)], "g bigint, fp bigint")
+    roots = spark.createDataFrame([(11, 10), (21, 19), (20, 19)], "u bigint, v bigint")
+    assert sorted(map(tuple, near_dedup.unjoined(rows, roots).collect())) == [(2, 10), (2, 12)]
