@@ -45,12 +45,14 @@ class StretchEncoder:
 
     def numbers(self, texts: pa.Array, known: tuple[pa.Array, np.ndarray], before: str) -> tuple[np.ndarray, tuple[pa.Array, np.ndarray]]:
         """Number of each stretch; the known ones with those that are new."""
-        at = pc.index_in(texts, value_set=known[0])
-        if not at.null_count:
-            return known[1][at.to_numpy()], known
-        lacks = pc.is_null(at)
-        missed = texts.filter(lacks)
-        new = pc.unique(missed)
+        coded = texts.dictionary_encode()
+        # the known are looked up among those of the slice, which are fewer, so that no table of all known is made for each slice
+        at, out = pc.index_in(known[0], value_set=coded.dictionary), np.full(len(coded.dictionary), -1, np.int32)
+        out[at.drop_null().to_numpy()] = known[1][at.is_valid().to_numpy(zero_copy_only=False)]
+        lacks = np.flatnonzero(out < 0)
+        if not len(lacks):
+            return out[coded.indices.to_numpy()], known
+        new = coded.dictionary.take(pa.array(lacks))
         ids, sizes, encode = array("I"), [], self.encode
         for t in new.to_pylist():
             got = encode(t[1:] if t[:1] == _CUT else before + t) if t or before else ()
@@ -59,11 +61,8 @@ class StretchEncoder:
         numbers = np.arange(len(new), dtype=np.int32) + np.int32(len(self.ends) - 1)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int32)])
         self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
-        out = np.empty(len(texts), np.int32)
-        lacks, found = lacks.to_numpy(zero_copy_only=False), at.drop_null().to_numpy()
-        out[~lacks] = known[1][found]
-        out[lacks] = numbers[pc.index_in(missed, value_set=new).to_numpy()]
-        return out, (pa.concat_arrays([known[0], new]), np.concatenate([known[1], numbers]))
+        out[lacks] = numbers
+        return out[coded.indices.to_numpy()], (pa.concat_arrays([known[0], new]), np.concatenate([known[1], numbers]))
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which texts are to be encoded whole; for the others the number of each stretch, and each text's first."""

@@ -54,25 +54,33 @@ def bits(x: np.ndarray) -> np.ndarray:
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """(blocks, BLOCK) values of up to `width` bits to (blocks, words) u64."""
-    out = np.zeros((len(values), BLOCK * width // 64), np.uint64)
+    out = np.zeros((BLOCK * width // 64, len(values)), np.uint64)
+    values = np.ascontiguousarray(values.T)  # places of all blocks side by side
     for j in range(BLOCK if width else 0):
         word, shift = divmod(j * width, 64)
-        out[:, word] |= values[:, j] << np.uint64(shift)
+        out[word] |= values[j] << np.uint64(shift)
         if shift + width > 64:
-            out[:, word + 1] |= values[:, j] >> np.uint64(64 - shift)
-    return out
+            out[word + 1] |= values[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T)
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(words), BLOCK), np.uint64)
-    mask = np.uint64((1 << width) - 1)
+    out = np.zeros((BLOCK, len(words)), np.uint64)
+    mask, words = np.uint64((1 << width) - 1), np.ascontiguousarray(words.T)
     for j in range(BLOCK if width else 0):
         word, shift = divmod(j * width, 64)
-        v = words[:, word] >> np.uint64(shift)
+        v = words[word] >> np.uint64(shift)
         if shift + width > 64:
-            v = v | (words[:, word + 1] << np.uint64(64 - shift))
-        out[:, j] = v & mask
-    return out
+            v = v | (words[word + 1] << np.uint64(64 - shift))
+        out[j] = v & mask
+    return out.T
+
+
+def exception_places(end: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block of each exception, and places of its position and value, in units of two bytes. end: of the blocks."""
+    block = np.repeat(np.arange(len(count)), count)
+    rank = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    return block, end[block] - 3 * count[block] + rank, end[block] - 2 * count[block] + 2 * rank
 
 
 def encode_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -87,20 +95,21 @@ def encode_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarra
     width = bits(np.partition(rest, at, axis=1)[:, at]) if blocks else np.zeros(0, np.int64)
     over = rest >> width.astype(np.uint64)[:, None] > 0
     exceptions = over.sum(axis=1)
-    body: list[bytes] = [b""] * blocks
+    starts = np.zeros(blocks + 1, "<u8")
+    np.cumsum(BLOCK // 8 * width + 6 * exceptions, out=starts[1:])
+    # all sizes are even
+    at_, body = (starts // 2).astype(np.int64), np.empty(int(starts[-1]) // 2, "<u2")
     packed = np.where(over, np.uint64(0), rest)
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        for i, row in zip(own.tolist(), pack(packed[own], int(w))):
-            body[i] = row.tobytes()
-    for i in np.flatnonzero(exceptions).tolist():
-        where = np.flatnonzero(over[i])
-        body[i] += where.astype("<u2").tobytes() + rest[i, where].astype("<u4").tobytes()
-    starts = np.zeros(blocks + 1, "<u8")
-    np.cumsum([len(x) for x in body], out=starts[1:])
+        body[at_[own][:, None] + np.arange(BLOCK * int(w) // 16)] = pack(packed[own], int(w)).astype("<u8", copy=False).view("<u2")
+    block, position, value = exception_places(at_[1:], exceptions)
+    where = np.nonzero(over)[1]
+    body[position] = where
+    body[value[:, None] + np.arange(2)] = rest[block, where].astype("<u4").view("<u2").reshape(-1, 2)
     head = b"PFR1" + np.array([len(doc_ids)], "<u4").tobytes() + np.array([n], "<u8").tobytes() + np.array([blocks], "<u4").tobytes()
     docs = np.array([x or 0 for x in doc_ids], "<i8").tobytes() + bytes(x is None for x in doc_ids) + counts.astype("<u4").tobytes()
-    return b"".join([head, docs, low.astype("<u4").tobytes(), width.astype("u1").tobytes(), exceptions.astype("<u2").tobytes(), starts.tobytes(), *body])
+    return b"".join([head, docs, low.astype("<u4").tobytes(), width.astype("u1").tobytes(), exceptions.astype("<u2").tobytes(), starts.tobytes(), body.tobytes()])
 
 
 class Segment:
@@ -125,16 +134,14 @@ class Segment:
     def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids of the blocks from first to before last, found by their starts."""
         last = self.blocks if last is None else last
-        out, buffer = np.zeros((last - first, BLOCK), np.uint64), np.frombuffer(self.raw, "u1", offset=self.at)
-        width = self.width[first:last]
+        out, body = np.zeros((last - first, BLOCK), np.uint64), np.frombuffer(self.raw, "<u2", offset=self.at)
+        width, starts = self.width[first:last], self.starts[first : last + 1] // 2
         for w in np.unique(width):
-            own, size = np.flatnonzero(width == w), BLOCK * int(w) // 8
-            words = buffer[self.starts[first + own][:, None] + np.arange(size)].view("<u8") if size else np.zeros((len(own), 0), np.uint64)
+            own, size = np.flatnonzero(width == w), BLOCK * int(w) // 16
+            words = body[starts[own][:, None] + np.arange(size)].view("<u8") if size else np.zeros((len(own), 0), np.uint64)
             out[own] = unpack(words, int(w))
-        for i in np.flatnonzero(self.exceptions[first:last]).tolist():
-            k = int(self.exceptions[first + i])
-            end = int(self.starts[first + i + 1]) + self.at
-            out[i, np.frombuffer(self.raw, "<u2", k, end - 6 * k)] = np.frombuffer(self.raw, "<u4", k, end - 4 * k)
+        block, position, value = exception_places(starts[1:], self.exceptions[first:last].astype(np.int64))
+        out[block, body[position]] = body[value[:, None] + np.arange(2)].view("<u4")[:, 0]
         out += self.low[first:last, None]
         return out.reshape(-1)[: max(0, self.n - first * BLOCK)].astype("<u4")
 
